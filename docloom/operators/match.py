@@ -131,14 +131,16 @@ class Profile:
     single_slot: bool
 
 
-_POSITIONAL = (F.size("tokens") > 1) | F.col("initial") | F.col("near_key").isNotNull()
+def _positional() -> Column:
+    """Clauses that need token positions; the others only need counts."""
+    return (F.size("tokens") > 1) | F.col("initial") | F.col("near_key").isNotNull()
 
 
 def profile(clauses: DataFrame) -> Profile:
     """One pass over the query table; every result has a fixed size."""
     per_query = clauses.groupBy("query_id").agg(
-        F.bool_or(~_POSITIONAL).alias("simple"),
-        F.bool_or(_POSITIONAL).alias("positional"),
+        F.bool_or(~_positional()).alias("simple"),
+        F.bool_or(_positional()).alias("positional"),
         F.bool_or(F.col("near_key").isNotNull()).alias("near"),
         F.collect_set(
             F.when(F.col("prefix"), F.length(F.element_at("tokens", -1)))
@@ -170,7 +172,7 @@ def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFram
     occur among the prefixes, and the cut is compared.
     """
     patterns = clauses.select(
-        "pattern", "tokens", "cols", "prefix", "initial", _POSITIONAL.alias("positional")
+        "pattern", "tokens", "cols", "prefix", "initial", _positional().alias("positional")
     ).distinct()
     tokens = patterns.select(
         "pattern",

@@ -1,10 +1,11 @@
 """Highlighted extracts of the content column for rows that are already ranked."""
 
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import window
 from docloom.operators.index import Index, build_postings
 from docloom.operators.match import (
     Profile,
@@ -15,120 +16,20 @@ from docloom.operators.match import (
 )
 from docloom.schemas import INDEXED
 
-# Length of an extract in tokens, the marks around hits, the mark of a cut
-# and the scores that choose the window.
-WINDOW = 12
-OPEN, CLOSE, CUT = "[", "]", "..."
-NEW_PHRASE, REPEAT, AT_SENTENCE, AT_START = 1000, 1, 100, 120
+# Executors get the helper with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(window)
 
-# The token characters of functions.text, for finding offsets.
-_TOKEN = regex.compile(
-    r"[\p{L}\p{N}\p{Co}̀-̄̆-̛̣̌̏̑-̨"
-    r"̭̮̰̱]+"
-)
-
-
-def _sentence_starts(text, spans):
-    """Token numbers that open a sentence: the first one, and any after '. ' or ': '."""
-    starts = [0]
-    for number in range(1, len(spans)):
-        gap = text[spans[number - 1][1] : spans[number][0]]
-        stop = gap.rstrip(" \t\n\r")
-        if stop != gap and stop[-1:] in (".", ":"):
-            starts.append(number)
-    return starts
-
-
-def _window_score(hits, first, begin):
-    """Score of the window at ``begin`` and the extent of the hits that start inside it."""
-    seen, score, low, high = set(), 0, None, 0
-    for i in range(first, len(hits)):
-        start, phrase, size = hits[i]
-        if start >= begin + WINDOW:
-            break
-        if start < begin:
-            continue
-        score += REPEAT if phrase in seen else NEW_PHRASE
-        seen.add(phrase)
-        low = start if low is None else low
-        high = start + size
-    return score, low, high
-
-
-def _best_window(hits, sentences, size):
-    best, begin, sentence, near = 0, 0, 0, 0
-    for i, (start, _, _) in enumerate(hits):
-        while hits[near][0] < start:
-            near += 1
-        score, low, high = _window_score(hits, near, start)
-        if score > best:
-            centred = low - (WINDOW - (high - low)) // 2
-            if WINDOW < high - low:
-                centred = low + (high - low - WINDOW) // 2
-            best, begin = score, max(0, min(centred, size - WINDOW))
-        if size <= WINDOW:
-            continue
-        while sentence + 1 < len(sentences) and sentences[sentence + 1] <= start:
-            sentence += 1
-        opening = sentences[sentence]
-        if opening < start:
-            # A hit before the opening cannot lie in its window, so start from there.
-            back = i
-            while back > 0 and hits[back - 1][0] >= opening:
-                back -= 1
-                if start - hits[back][0] > 4 * WINDOW:
-                    back = 0 if hits[0][0] >= opening else _first_at(hits, opening)
-                    break
-            score = _window_score(hits, back, opening)[0]
-            score += AT_START if opening == 0 else AT_SENTENCE
-            if score > best:
-                best, begin = score, opening
-    return begin
-
-
-def _first_at(hits, position):
-    low, high = 0, len(hits)
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (middle + 1, high) if hits[middle][0] < position else (low, middle)
-    return low
-
-
-def extract(text, hits):
-    """The snippet of ``text`` for ``hits`` = [(start token, phrase, tokens)], sorted."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    size = len(spans)
-    begin = _best_window(hits, _sentence_starts(text, spans), size)
-    last = min(begin + WINDOW, size) - 1
-    runs = []
-    for start, _, length in hits:
-        end = start + length - 1
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
-    out = [CUT] if begin > 0 else []
-    at = spans[begin][0] if begin > 0 else 0
-    for start, end in runs:
-        if start < begin or start > last:
-            continue
-        end = min(end, last)
-        out += [text[at : spans[start][0]], OPEN, text[spans[start][0] : spans[end][1]], CLOSE]
-        at = spans[end][1]
-    if last >= size - 1:
-        out.append(text[at:])
-    else:
-        out += [text[at : spans[last][1]], CUT]
-    return "".join(out)
 
+def snippet(content: Column, hits: Column) -> Column:
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        made = [
+            window.extract(text, [(h["start"], h["phrase"], h["size"]) for h in instances])
+            for text, instances in zip(texts, found)
+        ]
+        return pd.Series(made, dtype="object")
 
-@F.pandas_udf("string")
-def _snippet(content: pd.Series, hits: pd.Series) -> pd.Series:
-    made = [
-        extract(text, [(h["start"], h["phrase"], h["size"]) for h in found])
-        for text, found in zip(content, hits)
-    ]
-    return pd.Series(made, dtype="object")
+    return cut(content, hits)
 
 
 def content_hits(rows: DataFrame, queries: DataFrame, index: Index, facts: Profile) -> DataFrame:
@@ -169,5 +70,5 @@ def with_snippet(rows: DataFrame, queries: DataFrame, index: Index, facts: Profi
     hits = content_hits(rows, queries, index, facts)
     none = F.array().cast("array<struct<start:int,phrase:int,size:int>>")
     return rows.join(hits, ["query_id", "doc_id"], "left").withColumn(
-        "snippet", _snippet(F.col("content"), F.coalesce("hits", none))
+        "snippet", snippet(F.col("content"), F.coalesce("hits", none))
     )
