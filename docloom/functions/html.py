@@ -1,10 +1,12 @@
 """HTML column functions, all native expressions."""
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.let import let
 from docloom.functions.text import strip
 
 # Fixed value: elements whose text is never content.
@@ -21,55 +23,68 @@ def drop_boilerplate(html: Column) -> Column:
     return F.regexp_replace(html, _without(BOILERPLATE), "")
 
 
-def unescape(text: Column) -> Column:
-    """Character references as in HTML text, including those without a semicolon."""
-    closed = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
-    legacy = {name: char for name, char in html5.items() if not name.endswith(";")}
-    longest_first = "|".join(sorted(legacy, key=len, reverse=True))
-
-    def table(entries):
-        pairs = (F.lit(cell) for pair in entries.items() for cell in pair)
-        return F.create_map(*pairs)
-
-    def decode(piece):
-        number = F.regexp_extract(piece, r"^#([0-9]{1,7});?", 1)
-        hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
-        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        prefix = F.regexp_extract(piece, f"^({longest_first})", 1)
-        code = F.when(number != "", F.hex(number.cast("long"))).otherwise(hexadecimal)
+def _char_table(semicolon: bool) -> dict:
+    """Named character references of HTML, with or without their closing semicolon."""
+    return {
+        name.rstrip(";"): char for name, char in html5.items() if name.endswith(";") == semicolon
+    }
+
+
+def _constant_map(entries: dict) -> Column:
+    """One literal that Catalyst folds into a map, instead of thousands of plan nodes."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _decode(piece: Column) -> Column:
+    """Text after an '&' with the reference at its start replaced."""
+    legacy = _char_table(False)
+    prefixes = "|".join(sorted(legacy, key=len, reverse=True))
+    found = F.struct(
+        F.regexp_extract(piece, r"^#([0-9]{1,7});?", 1).alias("number"),
+        F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});?", 1).alias("hex"),
+        F.try_element_at(
+            _constant_map(_char_table(True)),
+            F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1),
+        ).alias("named"),
+        F.try_element_at(
+            _constant_map(legacy), F.regexp_extract(piece, f"^({prefixes})", 1)
+        ).alias("short"),
+    )
+
+    def replaced(at):
+        code = F.when(at["number"] != "", F.hex(at["number"].cast("long"))).otherwise(at["hex"])
         char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
-        named, short = F.try_element_at(table(closed), name), F.try_element_at(table(legacy), prefix)
         return (
-            F.when(code != "", F.concat(char, rest))
+            F.when(
+                (at["number"] != "") | (at["hex"] != ""),
+                F.concat(char, F.regexp_replace(piece, r"^#[xX]?[0-9a-fA-F]+;?", "")),
+            )
             .when(
-                (name != "") & named.isNotNull(),
-                F.concat(named, F.substring(piece, F.length(name) + 2, F.length(piece))),
+                at["named"].isNotNull(),
+                F.concat(at["named"], F.regexp_replace(piece, "^[^;]*;", "")),
             )
             .when(
-                prefix != "",
-                F.concat(short, F.substring(piece, F.length(prefix) + 1, F.length(piece))),
+                at["short"].isNotNull(),
+                F.concat(at["short"], F.regexp_replace(piece, f"^(?:{prefixes})", "")),
             )
             .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    common = text
-    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\xa0")):
-        common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
-    # '&amp;' alone is settled here too, unless what follows would then look like a reference.
-    only_amp = ~F.regexp_like(F.replace(common, F.lit("&amp;"), F.lit("")), F.lit("&"))
-    pieces = F.split(common, "&", -1)
-    decoded = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(
-            F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode), ""
-        ),
-    )
-    return (
-        F.when(~text.contains("&"), text)
-        .when(only_amp, F.replace(common, F.lit("&amp;"), F.lit("&")))
-        .otherwise(decoded)
-    )
+    return let(found, replaced)
+
+
+def unescape(text: Column) -> Column:
+    """Character references as in HTML text, including those without a semicolon."""
+
+    def decoded(pieces):
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _decode)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    def whole(raw):
+        pieces = F.split(raw, "&", -1)
+        return F.when(~raw.contains("&"), raw).otherwise(let(pieces, decoded))
+
+    return let(text, whole)
 
 
 def page_title(html: Column) -> Column:

@@ -364,5 +364,6 @@ def to_markdown(html):
     if not html:
         return ""
     converter = _Converter()
-    converter.feed(html)
+    # A tag that the end of the input cuts off is not text.
+    converter.feed(re.sub(r"</?[a-zA-Z!][^<>]*\Z", "", html))
     return normalize(converter.finish())

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.let import let
+
 # Fixed value: scheme, authority, path, query and fragment of a URL (RFC 3986, appendix B,
 # with the scheme limited to its legal characters).
 PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -26,47 +28,71 @@ def authority(url: Column) -> Column:
     return part(url, AUTHORITY)
 
 
-def _build(scheme: Column, netloc: Column, path: Column, query: Column, fragment=None) -> Column:
-    # An empty parameter, query or fragment loses its separator.
-    path = F.regexp_replace(path, r"(^|/)([^;/]*);$", "$1$2")
-    path = F.when(
-        (netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)
-    ).otherwise(path)
-    rooted = (path == "") | path.startswith("/")
-    head = F.when(rooted, F.concat(F.lit("://"), netloc, path))
-    head = head.otherwise(F.concat(F.lit(":"), path))
-    pieces = [scheme, head, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")]
-    if fragment is not None:
-        pieces.append(F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
-    return F.concat(*pieces)
+def _split(url: Column) -> Column:
+    return F.struct(
+        F.lower(part(url, SCHEME)).alias("scheme"),
+        part(url, AUTHORITY).alias("netloc"),
+        part(url, PATH).alias("path"),
+        part(url, QUERY).alias("query"),
+        part(url, FRAGMENT).alias("fragment"),
+    )
+
+
+def _build(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
+    """Put the parts together. An empty parameter, query or fragment loses its separator."""
+
+    def rooted(path):
+        return F.when(
+            (netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)
+        ).otherwise(path)
+
+    def joined(path):
+        absolute = (path == "") | path.startswith("/")
+        return F.concat(
+            scheme,
+            F.when(absolute, F.concat(F.lit("://"), netloc, path)).otherwise(
+                F.concat(F.lit(":"), path)
+            ),
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+            F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+        )
+
+    trimmed = F.regexp_replace(path, r"(^|/)([^;/]*);$", "$1$2")
+    return let(trimmed, lambda p: let(rooted(p), joined))
 
 
 def normalize_url(url: Column) -> Column:
     """Absolute http(s) form without fragment; '' for any other scheme."""
-    url = _clean(url)
-    scheme = F.lower(part(url, SCHEME))
-    scheme = F.when(scheme == "", "https").otherwise(scheme)
-    built = _build(scheme, part(url, AUTHORITY), part(url, PATH), part(url, QUERY))
-    return F.when(scheme.isin("http", "https"), built).otherwise("")
-
-
-def _merge(base_path: Column, path: Column) -> Column:
-    """Path of a relative reference with its dot segments resolved."""
-    folder = F.split(base_path, "/", -1)
-    folder = F.when(
-        F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1)
-    ).otherwise(folder)
-    joined = F.concat(folder, F.split(path, "/", -1))
-    inner = F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0)))
-    relative = F.concat(
-        F.slice(joined, F.lit(1), F.lit(1)),
-        F.array_remove(inner, ""),
-        F.when(F.size(joined) > 1, F.slice(joined, F.lit(-1), F.lit(1))).otherwise(
-            F.array().cast("array<string>")
-        ),
+
+    def built(u):
+        scheme = F.when(u["scheme"] == "", "https").otherwise(u["scheme"])
+        whole = _build(scheme, u["netloc"], u["path"], u["query"], F.lit(""))
+        return F.when(u["scheme"].isin("", "http", "https"), whole).otherwise("")
+
+    return let(_clean(url), lambda cleaned: let(_split(cleaned), built))
+
+
+def _segments(base_path: Column, path: Column) -> Column:
+    """Path segments of a reference seen from the folder of ``base_path``."""
+    empty = F.array().cast("array<string>")
+
+    def below(base):
+        folder = F.slice(base, F.lit(1), F.size(base) - 1)
+        return F.when(F.element_at(base, -1) != "", folder).otherwise(base)
+
+    def without_empty(joined):
+        inner = F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0)))
+        last = F.when(F.size(joined) > 1, F.slice(joined, F.lit(-1), F.lit(1))).otherwise(empty)
+        return F.concat(F.slice(joined, F.lit(1), F.lit(1)), F.array_remove(inner, ""), last)
+
+    own = F.split(path, "/", -1)
+    relative = let(
+        F.concat(let(F.split(base_path, "/", -1), below), own), without_empty
     )
-    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(relative)
+    return F.when(path.startswith("/"), own).otherwise(relative)
 
+
+def _resolve_dots(segments: Column) -> Column:
     def step(kept, segment):
         parent = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
         return (
@@ -76,48 +102,54 @@ def _merge(base_path: Column, path: Column) -> Column:
         )
 
     kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    open_end = F.element_at(segments, -1).isin(".", "..")
-    merged = F.array_join(
-        F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"
-    )
-    return F.when(merged == "", "/").otherwise(merged)
+    open_end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit("")))
+    ends = F.coalesce(open_end, F.array().cast("array<string>"))
+    merged = F.array_join(F.concat(kept, ends), "/")
+    return F.coalesce(F.nullif(merged, F.lit("")), F.lit("/"))
 
 
 def resolve_link(base: Column, href: Column) -> Column:
     """``href`` as seen from the page ``base`` (an absolute http(s) URL)."""
-    href = _clean(href)
-    base_scheme = F.lower(part(base, SCHEME))
-    scheme = F.lower(part(href, SCHEME))
-    netloc, whole = part(href, AUTHORITY), part(href, PATH)
-    query, fragment = part(href, QUERY), part(href, FRAGMENT)
-    params = F.regexp_extract(whole, r";[^/]*$", 0)
-    path = F.regexp_replace(whole, r";[^/]*$", "")
-    base_netloc, base_whole = part(base, AUTHORITY), part(base, PATH)
-    base_path = F.regexp_replace(base_whole, r";[^/]*$", "")
-    plain_root = path.startswith("/") & ~path.contains("/.")
-    merged = F.when(plain_root, path).otherwise(_merge(base_path, path))
-    inherited = F.when(query == "", part(base, QUERY)).otherwise(query)
-    return (
-        F.when(href == "", base)
-        .when((scheme != "") & (scheme != base_scheme), href)
-        .when(netloc != "", _build(base_scheme, netloc, whole, query, fragment))
-        .when(
-            (path == "") & params.isin("", ";"),
-            _build(base_scheme, base_netloc, base_whole, inherited, fragment),
-        )
-        .otherwise(
-            _build(base_scheme, base_netloc, F.concat(merged, params), query, fragment)
+
+    def resolved(href, b, h):
+        params = F.regexp_extract(h["path"], r";[^/]*$", 0)
+        path = F.regexp_replace(h["path"], r";[^/]*$", "")
+        base_path = F.regexp_replace(b["path"], r";[^/]*$", "")
+        merged = let(_segments(base_path, path), _resolve_dots)
+        plain = h["path"].startswith("/") & ~h["path"].contains("/.") & ~h["path"].contains("//")
+        whole = F.when(plain, h["path"]).otherwise(F.concat(merged, params))
+        same_page = (path == "") & params.isin("", ";")
+        own_host = h["netloc"] != ""
+        inherited = F.when(same_page & ~own_host & (h["query"] == ""), b["query"])
+        built = _build(
+            b["scheme"],
+            F.when(own_host, h["netloc"]).otherwise(b["netloc"]),
+            F.when(own_host, h["path"]).when(same_page, b["path"]).otherwise(whole),
+            inherited.otherwise(h["query"]),
+            h["fragment"],
         )
+        foreign = (h["scheme"] != "") & (h["scheme"] != b["scheme"])
+        return F.when(href == "", base).when(foreign, href).otherwise(built)
+
+    return let(
+        _clean(href),
+        lambda h: let(
+            F.struct(_split(base).alias("b"), _split(h).alias("h")),
+            lambda both: resolved(h, both["b"], both["h"]),
+        ),
     )
 
 
 def host_suffixes(host: Column) -> Column:
     """'a.b.c' gives ['a.b.c', 'b.c', 'c']; an empty host gives no suffix."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+
+    def tails(labels):
+        return F.transform(
+            F.sequence(F.lit(1), F.size(labels)),
+            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        )
+
+    suffixes = let(F.split(host, r"\.", -1), tails)
     return F.when(host != "", suffixes).otherwise(F.array().cast("array<string>"))
 
 
@@ -135,8 +167,8 @@ def fold_patterns(patterns: Column) -> Column:
 
 def matches_rules(url: Column, include: Column, exclude: Column) -> Column:
     """``include`` and ``exclude`` are folded patterns; '' means that none is set."""
-    wanted = (include == "") | url.rlike(include)
-    return wanted & ~((exclude != "") & url.rlike(exclude))
+    wanted = (include == "") | F.rlike(url, include)
+    return wanted & ~((exclude != "") & F.rlike(url, exclude))
 
 
 def package_include_pattern(doc_url: Column, doc_type: Column, repair: bool = False) -> Column:
