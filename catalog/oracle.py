@@ -192,7 +192,7 @@ flagged AS (
                  ELSE 'updated' END AS change FROM lagged),
 final AS (
   SELECT url, source, seq, h, old_id,
-         min(source_ord * 1000000000 + seq) OVER (PARTITION BY url) AS first,
+         min(source_ord::BIGINT * 1000000000 + seq) OVER (PARTITION BY url) AS first,
          row_number() OVER (PARTITION BY url ORDER BY source_ord DESC, seq DESC) AS nth
   FROM flagged WHERE change <> 'skipped')"""
 

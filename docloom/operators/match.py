@@ -13,12 +13,15 @@ plus restrictions), and queries only refer to patterns.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.let import let
 from docloom.functions.text import tokenize
 from docloom.operators.index import Index, bucket_of
+from docloom.plans.scratch import materialize
 from docloom.plans.spread import local_table
 from docloom.schemas import CLAUSE, INDEXED, QUERIES
 
@@ -79,44 +82,88 @@ def text_queries(df: DataFrame, query_id: Column, text: Column, kind: str = "all
     )
 
 
+def _with_pattern(clause: Column) -> Column:
+    """A clause with its tokens and the pattern key that equal clauses share."""
+    fields = [f.name for f in CLAUSE if f.name != "phrase"]
+    tokens = F.flatten(F.transform(clause["phrase"], tokenize))
+
+    def keyed(tokens):
+        cols = F.concat_ws(",", clause["cols"].cast("array<string>"))
+        pattern = F.concat_ws(
+            "|",
+            F.concat_ws(" ", tokens),
+            F.when(clause["cols"].isNotNull(), F.concat(F.lit("c"), cols)).otherwise(""),
+            F.when(clause["prefix"], "p").otherwise(""),
+            F.when(clause["initial"], "i").otherwise(""),
+        )
+        return F.struct(
+            tokens.alias("tokens"),
+            pattern.alias("pattern"),
+            *[clause[name].alias(name) for name in fields],
+        )
+
+    return let(tokens, keyed)
+
+
 def clause_rows(queries: DataFrame) -> DataFrame:
-    """One row per clause with its tokens, pattern key and hit key. Empty clauses vanish."""
-    rows = queries.select("query_id", F.posexplode("clauses").alias("clause_id", "c"))
-    rows = rows.select("query_id", "clause_id", "c.*")
-    rows = rows.withColumn("tokens", F.flatten(F.transform("phrase", tokenize)))
-    rows = rows.filter(F.size("tokens") > 0).drop("phrase")
-    cols = F.coalesce(F.concat_ws(",", F.col("cols").cast("array<string>")), F.lit(""))
-    pattern = F.concat_ws(
-        "|",
-        F.concat_ws(" ", "tokens"),
-        F.when(F.col("cols").isNotNull(), F.concat(F.lit("c"), cols)).otherwise(""),
-        F.when(F.col("prefix"), "p").otherwise(""),
-        F.when(F.col("initial"), "i").otherwise(""),
-    )
-    rows = rows.withColumn("pattern", pattern)
-    group = Window.partitionBy("query_id", "near_group")
-    spot = F.struct("pattern", "clause_id")
-    members = F.array_sort(F.collect_list(spot).over(group))
-    near_key = F.concat_ws(
-        "&", F.max("near").over(group).cast("string"), members["pattern"]
-    )
-    rows = rows.withColumn("members", members).withColumn("near_key", near_key)
-    is_near = F.col("near_group").isNotNull()
-    rows = (
-        rows.withColumn("near_key", F.when(is_near, F.col("near_key")))
-        .withColumn("member", F.when(is_near, F.array_position("members", spot)))
-        .withColumn("near", F.when(is_near, F.max("near").over(group)))
-        .withColumn("n_members", F.when(is_near, F.size("members")))
-        .drop("members", "near_group")
+    """One row per clause with its tokens, pattern key and hit key. Empty clauses vanish.
+
+    The members of a proximity group are collected inside the query's own row, so this
+    needs no shuffle.
+    """
+    parsed = queries.select("query_id", F.transform("clauses", _with_pattern).alias("clauses"))
+
+    def slot_key(c, i):
+        own = F.when(c["kind"] == "all", F.concat(F.lit("a"), i))
+        own = own.when(c["kind"] == "any", F.concat(F.lit("s"), c["slot"]))
+        return F.when(F.size(c["tokens"]) > 0, own)
+
+    slots = F.transform("clauses", slot_key)
+
+    def numbered(c, i):
+        return F.named_struct(
+            *[part for n in ("near_group", "near", "pattern") for part in (F.lit(n), c[n])],
+            F.lit("clause_id"),
+            i,
+            F.lit("size"),
+            F.size(c["tokens"]),
+        )
+
+    close = F.transform("clauses", numbered)
+    close = F.filter(close, lambda c: c["near_group"].isNotNull() & (c["size"] > 0))
+    rows = parsed.select(
+        "query_id",
+        close.alias("close"),
+        F.size(F.array_compact(F.array_distinct(slots))).alias("n_slots"),
+        F.posexplode(F.arrays_zip("clauses", slots.alias("slot_key"))).alias("clause_id", "z"),
+    ).select("query_id", "close", "n_slots", "clause_id", "z.clauses.*", "z.slot_key")
+    rows = rows.filter(F.size("tokens") > 0)
+    own_group = F.filter("close", lambda m: m["near_group"] == F.col("near_group"))
+    rows = rows.withColumn("members", F.when(F.col("near_group").isNotNull(), own_group))
+    spots = F.array_sort(
+        F.transform("members", lambda m: F.struct(m["pattern"].alias("pattern"), m["clause_id"].alias("clause_id")))
     )
-    key = F.when(
-        F.col("near_key").isNotNull(), F.concat_ws("#", "near_key", F.col("member").cast("string"))
-    ).otherwise(F.col("pattern"))
-    slot = (
-        F.when(F.col("kind") == "all", F.concat(F.lit("a"), F.col("clause_id").cast("string")))
-        .when(F.col("kind") == "any", F.concat(F.lit("s"), F.col("slot").cast("string")))
+    member = F.array_position(spots, F.struct("pattern", "clause_id"))
+    distance = F.array_max(F.col("members")["near"])
+    near_key = F.concat_ws("&", distance.cast("string"), F.array_sort(F.col("members")["pattern"]))
+    rows = rows.select(
+        "query_id",
+        "clause_id",
+        "tokens",
+        "pattern",
+        "kind",
+        "cols",
+        "prefix",
+        "initial",
+        F.col("slot_key").alias("slot"),
+        "n_slots",
+        F.when(F.col("members").isNotNull(), near_key).alias("near_key"),
+        member.alias("member"),
+        distance.alias("near"),
+        F.when(F.col("members").isNotNull(), F.size("members")).alias("n_members"),
     )
-    return rows.withColumn("key", key).withColumn("slot", slot)
+    near_hit = F.concat(F.col("near_key"), F.lit("#"), F.col("member"))
+    return rows.withColumn("key", F.coalesce(near_hit, "pattern"))
 
 
 @dataclass(frozen=True)
@@ -129,6 +176,7 @@ class Profile:
     near: bool
     prefix_lengths: list
     single_slot: bool
+    source_bound: bool
 
 
 def _positional() -> Column:
@@ -136,19 +184,39 @@ def _positional() -> Column:
     return (F.size("tokens") > 1) | F.col("initial") | F.col("near_key").isNotNull()
 
 
-def profile(clauses: DataFrame) -> Profile:
+def profile(queries: DataFrame) -> Profile:
     """One pass over the query table; every result has a fixed size."""
-    per_query = clauses.groupBy("query_id").agg(
-        F.bool_or(~_positional()).alias("simple"),
-        F.bool_or(_positional()).alias("positional"),
-        F.bool_or(F.col("near_key").isNotNull()).alias("near"),
-        F.collect_set(
-            F.when(F.col("prefix"), F.length(F.element_at("tokens", -1)))
-        ).alias("lengths"),
-        ((F.count_distinct("slot") == 1) & (F.count("slot") == F.count("*"))).alias("one_slot"),
+    parsed = queries.select(
+        F.filter(
+            F.transform("clauses", _with_pattern), lambda c: F.size(c["tokens"]) > 0
+        ).alias("clauses"),
+        F.nullif("source", F.lit("")).isNotNull().alias("bound"),
+    )
+
+    def positional(c):
+        return (F.size(c["tokens"]) > 1) | c["initial"] | c["near_group"].isNotNull()
+
+    def required_slot(c):
+        return (c["kind"] == "any") & (c["slot"] == F.get("clauses", F.lit(0))["slot"])
+
+    lengths = F.transform(
+        F.filter("clauses", lambda c: c["prefix"]),
+        lambda c: F.length(F.element_at(c["tokens"], -1)),
     )
-    row = per_query.agg(
+    one_slot = F.forall("clauses", required_slot) | (
+        (F.size("clauses") == 1) & (F.get("clauses", F.lit(0))["kind"] == "all")
+    )
+    facts = parsed.filter(F.size("clauses") > 0).select(
+        "bound",
+        F.exists("clauses", lambda c: ~positional(c)).alias("simple"),
+        F.exists("clauses", positional).alias("positional"),
+        F.exists("clauses", lambda c: c["near_group"].isNotNull()).alias("near"),
+        F.array_distinct(lengths).alias("lengths"),
+        one_slot.alias("one_slot"),
+    )
+    row = facts.agg(
         F.count("*").alias("queries"),
+        F.bool_or("bound").alias("bound"),
         F.bool_or("simple").alias("simple"),
         F.bool_or("positional").alias("positional"),
         F.bool_or("near").alias("near"),
@@ -162,6 +230,7 @@ def profile(clauses: DataFrame) -> Profile:
         near=bool(row.near),
         prefix_lengths=sorted(row.lengths or []),
         single_slot=bool(row.one_slot),
+        source_bound=bool(row.bound),
     )
 
 
@@ -186,13 +255,14 @@ def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFram
     if facts.prefix_lengths:
         is_prefix = F.col("prefix") & (F.col("idx") == F.col("n_terms") - 1)
         lengths = F.array(*[F.lit(n) for n in facts.prefix_lengths])
-        words = index.vocabulary.distinct().select(
+        words = index.vocabulary.select(
             F.col("term").alias("word"), F.explode(lengths).alias("n")
         )
         words = words.filter(F.length("word") >= F.col("n"))
         words = words.select("word", F.substring("word", F.lit(1), F.col("n")).alias("term"))
-        expanded = tokens.filter(is_prefix).join(words, "term")
-        expanded = expanded.drop("term").withColumnRenamed("word", "term")
+        expanded = tokens.filter(is_prefix).join(words, "term").drop("n")
+        # A term of several index segments is in the vocabulary more than once.
+        expanded = expanded.drop("term").withColumnRenamed("word", "term").distinct()
         tokens = tokens.filter(~is_prefix).unionByName(expanded)
     return tokens.drop("prefix")
 
@@ -294,31 +364,32 @@ class Hits:
 
 
 def pattern_hits(clauses: DataFrame, index: Index, facts: Profile) -> Hits:
+    """Hits of all patterns, written once: frequencies, candidates and scores all use them.
+
+    Reading them back also gives the optimizer their true size for the joins that follow.
+    """
     tokens = pattern_tokens(clauses, index, facts)
-    parts, close = [], None
+    parts = []
     if facts.simple:
         found = look_up(tokens.filter(~F.col("positional")), index)
         parts.append(
-            found.groupBy("pattern", "doc_id").agg(
+            found.groupBy(F.col("pattern").alias("key"), "doc_id").agg(
                 F.sum("tf").alias("f"), F.max("n_tokens").alias("n_tokens")
             )
         )
     if facts.positional:
         starts = phrase_starts(look_up(tokens.filter("positional"), index))
+        if facts.near:
+            starts = materialize(starts, "starts")
+            close = near_starts(clauses, starts).groupBy("key", "doc_id")
+            parts.append(close.agg(F.count("*").alias("f"), F.max("n_tokens").alias("n_tokens")))
         parts.append(
-            starts.groupBy("pattern", "doc_id").agg(
+            starts.groupBy(F.col("pattern").alias("key"), "doc_id").agg(
                 F.sum(F.size("starts")).alias("f"), F.max("n_tokens").alias("n_tokens")
             )
         )
-        if facts.near:
-            close = near_starts(clauses, starts)
-            close = close.groupBy("key", "doc_id").agg(
-                F.count("*").alias("f"), F.max("n_tokens").alias("n_tokens")
-            )
-    base = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    hits = base.withColumnRenamed("pattern", "key")
-    df = base.groupBy("pattern").agg(F.count("*").alias("df"))
-    return Hits(hits if close is None else hits.unionByName(close), df)
+    hits = materialize(reduce(DataFrame.unionByName, parts), "hits")
+    return Hits(hits, hits.groupBy(F.col("key").alias("pattern")).agg(F.count("*").alias("df")))
 
 
 def match_all(left: DataFrame, right: DataFrame) -> DataFrame:

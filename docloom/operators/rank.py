@@ -34,17 +34,16 @@ def bm25(queries: DataFrame, index: Index, facts: Profile | None = None) -> Data
     adds no pair for the documents that cannot match anyway.
     """
     clauses = clause_rows(queries)
-    facts = facts or profile(clauses)
+    facts = facts or profile(queries)
     if not (facts.simple or facts.positional):
         return _empty(queries)
     found = pattern_hits(clauses, index, facts)
-    clauses = clauses.select("query_id", "clause_id", "key", "slot", "pattern").join(
+    clauses = clauses.select("query_id", "clause_id", "key", "slot", "n_slots", "pattern").join(
         found.df, "pattern", "left"
     )
     clauses = clauses.withColumn("df", F.coalesce("df", F.lit(0)))
     clauses = clauses.withColumn("weight", idf(F.col("df"), index.n_docs))
-    slots = clauses.groupBy("query_id").agg(F.count_distinct("slot").alias("n_slots"))
-    wanted = clauses.drop("pattern", "df").join(slots, "query_id")
+    wanted = clauses.drop("pattern", "df")
     if facts.queries == 1 or facts.single_slot:
         pairs = wanted.join(found.hits, "key")
     else:

@@ -2,12 +2,14 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators.index import Index
-from docloom.operators.match import clause_rows, profile, text_queries
+from docloom.operators.match import profile, text_queries
 from docloom.operators.rank import bm25, top_k
 from docloom.operators.snippet import with_snippet
 from docloom.plans.spread import local_table
+from docloom.schemas import STR
 
 # Result rows up to this number may pass through the driver to prune the corpus scan.
 PUSHED_ROWS = 1000
@@ -47,9 +49,9 @@ def rank_batch(queries: DataFrame, index: Index, corpus: DataFrame, k: int = 10)
 
 
 def _rank(queries, index, corpus, k):
-    facts = profile(clause_rows(queries))
+    facts = profile(queries)
     scored = bm25(queries, index, facts)
-    if queries.filter(F.nullif("source", F.lit("")).isNotNull()).limit(1).count():
+    if facts.source_bound:
         scored = filter_source(scored, corpus, queries)
     ranked = top_k(scored, k).select("query_id", "rank", "doc_id", "score")
     return ranked, facts
@@ -71,7 +73,8 @@ def search_batch(
 
 def search(query: str, index: Index, corpus: DataFrame, limit: int = 10, source=None) -> DataFrame:
     """One plain-text query: all its tokens are required."""
-    one = index.postings.sparkSession.createDataFrame([(query,)], "text string")
+    spark = index.postings.sparkSession
+    one = local_table(spark, [{"text": query}], T.StructType([T.StructField("text", STR)]))
     queries = text_queries(one, F.lit("q"), F.col("text"))
     queries = queries.withColumn("source", F.lit(source).cast("string"))
     return search_batch(queries, index, corpus, limit).drop("query_id").orderBy("rank")

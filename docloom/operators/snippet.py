@@ -14,6 +14,7 @@ from docloom.operators.match import (
     pattern_tokens,
     phrase_starts,
 )
+from docloom.plans.scratch import materialize
 from docloom.schemas import INDEXED
 
 # Executors get the helper with the task, so the package need not be installed there.
@@ -39,8 +40,7 @@ def content_hits(rows: DataFrame, queries: DataFrame, index: Index, facts: Profi
     """
     column = INDEXED.index("content")
     clauses = clause_rows(queries)
-    texts = rows.select("doc_id", "content").distinct()
-    texts = texts.select(
+    texts = rows.dropDuplicates(["doc_id"]).select(
         "doc_id", *[(F.col(c) if c == "content" else F.lit("")).alias(c) for c in INDEXED]
     )
     postings = build_postings(texts, index.buckets).filter(F.col("col") == column)
@@ -66,7 +66,11 @@ def content_hits(rows: DataFrame, queries: DataFrame, index: Index, facts: Profi
 
 
 def with_snippet(rows: DataFrame, queries: DataFrame, index: Index, facts: Profile) -> DataFrame:
-    """Add ``snippet`` to ranked rows that carry query_id, doc_id and content."""
+    """Add ``snippet`` to ranked rows that carry query_id, doc_id and content.
+
+    The rows are used twice, so they are fetched from the corpus once and written.
+    """
+    rows = materialize(rows, "ranked")
     hits = content_hits(rows, queries, index, facts)
     none = F.array().cast("array<struct<start:int,phrase:int,size:int>>")
     return rows.join(hits, ["query_id", "doc_id"], "left").withColumn(
