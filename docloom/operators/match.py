@@ -240,9 +240,10 @@ def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFram
     The expansion is an equi-join: every vocabulary term is cut to the few lengths that
     occur among the prefixes, and the cut is compared.
     """
-    patterns = clauses.select(
-        "pattern", "tokens", "cols", "prefix", "initial", _positional().alias("positional")
-    ).distinct()
+    # A word that is also part of a proximity clause is looked up once, with positions.
+    patterns = clauses.groupBy("pattern", "tokens", "cols", "prefix", "initial").agg(
+        F.bool_or(_positional()).alias("positional")
+    )
     tokens = patterns.select(
         "pattern",
         "cols",
