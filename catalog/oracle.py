@@ -344,6 +344,9 @@ scored AS ({word_scores("'a'", "the")} UNION ALL {word_scores("'b'", "de", "la")
     "search_source": f"""{BASE}, {TWO_WORDS}, all_scored AS ({word_scores("'x'", "the", "and")}),
 scored AS (SELECT c.source AS query_id, a.doc_id, a.s FROM all_scored a JOIN corpus c USING (doc_id)) """
     + ranking("", 3),
+    "search_hits": f"""{BASE}, {TWO_WORDS}, scored AS ({word_scores("'q'", "the", "and")}),
+best AS ({ranking("", 10)})
+SELECT query_id, rank, doc_id AS id, title, url, source, score FROM best JOIN corpus USING (doc_id)""",
     "page_budget": """SELECT source, url, nth + 1 AS crawl_ord FROM (
   SELECT source, 'https://example.org/' || doc_id AS url,
          row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS nth,

@@ -10,7 +10,7 @@ from docloom.functions import text as X
 from docloom.functions import urls as U
 from docloom.operators import assign, corpus, extract, frontier, index, links, match, rank, search
 from docloom.plans import refresh as R
-from docloom.plans.scratch import exists, scratch_path
+from docloom.plans.scratch import exists, materialize, scratch_path
 from docloom.plans.spread import local_table, spread
 from docloom.schemas import SOURCES
 from docloom.sources import pages as P
@@ -286,7 +286,8 @@ def _single_batch(spark, folder):
 
 def _changed(spark, folder):
     batch, stored = _single_batch(spark, folder), _corpus(spark, folder)
-    return corpus.changed_rows(batch, corpus.flag_versions(batch, stored), stored)
+    changed = corpus.changed_rows(batch, corpus.flag_versions(batch, stored), stored)
+    return materialize(changed, "changed")
 
 
 def classify_changes(spark, folder):
@@ -470,6 +471,13 @@ def search_text(spark, folder):
     return _score(hits)
 
 
+def search_hits(spark, folder):
+    """The same search without snippets, which SQL can express."""
+    queries = match.queries_frame(spark, {"q": [c("the"), c("and")]})
+    stored = _corpus(spark, folder)
+    return _score(search.search_batch(queries, _index(spark, folder), stored, snippets=False))
+
+
 def snippet(spark, folder):
     """Snippets of every document that matches a phrase or a word."""
     queries = match.queries_frame(spark, {"a": [c("of the")], "b": [c("que")]})
@@ -550,7 +558,7 @@ def stream_refresh(spark, folder):
     return _stored(spark, corpus_path)
 
 
-_HELPERS = {"c", "near", "lru_cache", "exists", "scratch_path", "spread", "local_table"}
+_HELPERS = {"c", "near", "lru_cache", "exists", "materialize", "scratch_path", "spread", "local_table"}
 
 QUERIES = {
     name: value

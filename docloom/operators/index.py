@@ -24,7 +24,7 @@ from docloom.functions.text import tokenize
 from docloom.plans.scratch import exists
 from docloom.schemas import INDEXED, LONG, POSTINGS, STR
 
-BUCKETS = 32
+BUCKETS = 16
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

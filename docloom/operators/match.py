@@ -111,7 +111,11 @@ def clause_rows(queries: DataFrame) -> DataFrame:
     The members of a proximity group are collected inside the query's own row, so this
     needs no shuffle.
     """
-    parsed = queries.select("query_id", F.transform("clauses", _with_pattern).alias("clauses"))
+    parsed = queries.select(
+        "query_id",
+        F.nullif("source", F.lit("")).alias("source"),
+        F.transform("clauses", _with_pattern).alias("clauses"),
+    )
 
     def slot_key(c, i):
         own = F.when(c["kind"] == "all", F.concat(F.lit("a"), i))
@@ -133,10 +137,11 @@ def clause_rows(queries: DataFrame) -> DataFrame:
     close = F.filter(close, lambda c: c["near_group"].isNotNull() & (c["size"] > 0))
     rows = parsed.select(
         "query_id",
+        "source",
         close.alias("close"),
         F.size(F.array_compact(F.array_distinct(slots))).alias("n_slots"),
         F.posexplode(F.arrays_zip("clauses", slots.alias("slot_key"))).alias("clause_id", "z"),
-    ).select("query_id", "close", "n_slots", "clause_id", "z.clauses.*", "z.slot_key")
+    ).select("query_id", "source", "close", "n_slots", "clause_id", "z.clauses.*", "z.slot_key")
     rows = rows.filter(F.size("tokens") > 0)
     own_group = F.filter("close", lambda m: m["near_group"] == F.col("near_group"))
     rows = rows.withColumn("members", F.when(F.col("near_group").isNotNull(), own_group))
@@ -148,6 +153,7 @@ def clause_rows(queries: DataFrame) -> DataFrame:
     near_key = F.concat_ws("&", distance.cast("string"), F.array_sort(F.col("members")["pattern"]))
     rows = rows.select(
         "query_id",
+        "source",
         "clause_id",
         "tokens",
         "pattern",
@@ -167,10 +173,13 @@ def clause_rows(queries: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Profile:
-    """Small facts about a query table that decide which parts of the plan are needed."""
+class Batch:
+    """Parsed queries: their clauses as a written table, and small facts about them that
+    decide which parts of the plan are needed."""
 
+    clauses: DataFrame
     queries: int
+    tokens: int
     simple: bool
     positional: bool
     near: bool
@@ -184,64 +193,41 @@ def _positional() -> Column:
     return (F.size("tokens") > 1) | F.col("initial") | F.col("near_key").isNotNull()
 
 
-def profile(queries: DataFrame) -> Profile:
-    """One pass over the query table; every result has a fixed size."""
-    parsed = queries.select(
-        F.filter(
-            F.transform("clauses", _with_pattern), lambda c: F.size(c["tokens"]) > 0
-        ).alias("clauses"),
-        F.nullif("source", F.lit("")).isNotNull().alias("bound"),
-    )
-
-    def positional(c):
-        return (F.size(c["tokens"]) > 1) | c["initial"] | c["near_group"].isNotNull()
-
-    def required_slot(c):
-        return (c["kind"] == "any") & (c["slot"] == F.get("clauses", F.lit(0))["slot"])
-
-    lengths = F.transform(
-        F.filter("clauses", lambda c: c["prefix"]),
-        lambda c: F.length(F.element_at(c["tokens"], -1)),
-    )
-    one_slot = F.forall("clauses", required_slot) | (
-        (F.size("clauses") == 1) & (F.get("clauses", F.lit(0))["kind"] == "all")
-    )
-    facts = parsed.filter(F.size("clauses") > 0).select(
-        "bound",
-        F.exists("clauses", lambda c: ~positional(c)).alias("simple"),
-        F.exists("clauses", positional).alias("positional"),
-        F.exists("clauses", lambda c: c["near_group"].isNotNull()).alias("near"),
-        F.array_distinct(lengths).alias("lengths"),
-        one_slot.alias("one_slot"),
-    )
-    row = facts.agg(
-        F.count("*").alias("queries"),
-        F.bool_or("bound").alias("bound"),
-        F.bool_or("simple").alias("simple"),
-        F.bool_or("positional").alias("positional"),
-        F.bool_or("near").alias("near"),
-        F.bool_and("one_slot").alias("one_slot"),
-        F.array_distinct(F.flatten(F.collect_set("lengths"))).alias("lengths"),
+def parse(queries: DataFrame) -> Batch:
+    """Tokenise a ``QUERIES`` table once and look over it; every fact has a fixed size."""
+    clauses = materialize(clause_rows(queries), "clauses")
+    last = F.length(F.element_at("tokens", -1))
+    row = clauses.agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"),
+        F.bool_or(~_positional()).alias("simple"),
+        F.bool_or(_positional()).alias("positional"),
+        F.bool_or(F.col("near_key").isNotNull()).alias("near"),
+        F.collect_set(F.when(F.col("prefix"), last)).alias("lengths"),
+        F.bool_and((F.col("n_slots") == 1) & F.col("slot").isNotNull()).alias("single_slot"),
+        F.bool_or(F.col("source").isNotNull()).alias("source_bound"),
     ).first()
-    return Profile(
+    return Batch(
+        clauses=clauses,
         queries=row.queries,
+        tokens=row.tokens,
         simple=bool(row.simple),
         positional=bool(row.positional),
         near=bool(row.near),
-        prefix_lengths=sorted(row.lengths or []),
-        single_slot=bool(row.one_slot),
-        source_bound=bool(row.bound),
+        prefix_lengths=sorted(row.lengths),
+        single_slot=bool(row.single_slot),
+        source_bound=bool(row.source_bound),
     )
 
 
-def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFrame:
+def pattern_tokens(batch: Batch, index: Index) -> DataFrame:
     """(pattern, idx, term) look-ups. A prefix token is expanded over the vocabulary.
 
     The expansion is an equi-join: every vocabulary term is cut to the few lengths that
     occur among the prefixes, and the cut is compared.
     """
     # A word that is also part of a proximity clause is looked up once, with positions.
-    patterns = clauses.groupBy("pattern", "tokens", "cols", "prefix", "initial").agg(
+    patterns = batch.clauses.groupBy("pattern", "tokens", "cols", "prefix", "initial").agg(
         F.bool_or(_positional()).alias("positional")
     )
     tokens = patterns.select(
@@ -253,9 +239,9 @@ def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFram
         F.size("tokens").alias("n_terms"),
         F.posexplode("tokens").alias("idx", "term"),
     )
-    if facts.prefix_lengths:
+    if batch.prefix_lengths:
         is_prefix = F.col("prefix") & (F.col("idx") == F.col("n_terms") - 1)
-        lengths = F.array(*[F.lit(n) for n in facts.prefix_lengths])
+        lengths = F.array(*[F.lit(n) for n in batch.prefix_lengths])
         words = index.vocabulary.select(
             F.col("term").alias("word"), F.explode(lengths).alias("n")
         )
@@ -268,16 +254,18 @@ def pattern_tokens(clauses: DataFrame, index: Index, facts: Profile) -> DataFram
     return tokens.drop("prefix")
 
 
-def look_up(tokens: DataFrame, index: Index) -> DataFrame:
+def look_up(tokens: DataFrame, index: Index, batch: Batch) -> DataFrame:
     """Postings of the wanted terms. A short term list is pushed down into the scan."""
     postings = index.postings
-    terms = tokens.select("term").distinct().limit(PUSHED_TERMS + 1)
-    terms = terms.select("term", bucket_of(F.col("term"), index.buckets).alias("bucket")).collect()
-    if len(terms) <= PUSHED_TERMS:
-        postings = postings.filter(
-            F.col("bucket").isin(sorted({t.bucket for t in terms}))
-            & F.col("term").isin([t.term for t in terms])
-        )
+    if batch.prefix_lengths or batch.tokens <= PUSHED_TERMS:
+        terms = tokens.select("term").distinct().limit(PUSHED_TERMS + 1)
+        bucket = bucket_of(F.col("term"), index.buckets).alias("bucket")
+        terms = terms.select("term", bucket).collect()
+        if len(terms) <= PUSHED_TERMS:
+            postings = postings.filter(
+                F.col("bucket").isin(sorted({t.bucket for t in terms}))
+                & F.col("term").isin([t.term for t in terms])
+            )
     wanted = F.col("cols").isNull() | F.array_contains("cols", F.col("col"))
     return postings.join(tokens, "term").filter(wanted)
 
@@ -309,7 +297,7 @@ def phrase_starts(found: DataFrame) -> DataFrame:
     )
 
 
-def near_starts(clauses: DataFrame, starts: DataFrame) -> DataFrame:
+def near_starts(batch: Batch, starts: DataFrame) -> DataFrame:
     """Instances that take part in a proximity match, one row per (key, doc_id, col, start).
 
     A phrase of ``len`` tokens at ``s`` reaches the positions s .. s+len+distance. A start M
@@ -317,7 +305,7 @@ def near_starts(clauses: DataFrame, starts: DataFrame) -> DataFrame:
     lies in its reach. Both are sweeps over the sorted starts of one document column, so no
     pairs are formed.
     """
-    members = clauses.filter(F.col("near_key").isNotNull())
+    members = batch.clauses.filter(F.col("near_key").isNotNull())
     members = members.select("near_key", "member", "key", "pattern", "near", "n_members").distinct()
     rows = members.join(starts, "pattern").select(
         "near_key",
@@ -364,25 +352,25 @@ class Hits:
     df: DataFrame
 
 
-def pattern_hits(clauses: DataFrame, index: Index, facts: Profile) -> Hits:
+def pattern_hits(batch: Batch, index: Index) -> Hits:
     """Hits of all patterns, written once: frequencies, candidates and scores all use them.
 
     Reading them back also gives the optimizer their true size for the joins that follow.
     """
-    tokens = pattern_tokens(clauses, index, facts)
+    tokens = pattern_tokens(batch, index)
     parts = []
-    if facts.simple:
-        found = look_up(tokens.filter(~F.col("positional")), index)
+    if batch.simple:
+        found = look_up(tokens.filter(~F.col("positional")), index, batch)
         parts.append(
             found.groupBy(F.col("pattern").alias("key"), "doc_id").agg(
                 F.sum("tf").alias("f"), F.max("n_tokens").alias("n_tokens")
             )
         )
-    if facts.positional:
-        starts = phrase_starts(look_up(tokens.filter("positional"), index))
-        if facts.near:
+    if batch.positional:
+        starts = phrase_starts(look_up(tokens.filter("positional"), index, batch))
+        if batch.near:
             starts = materialize(starts, "starts")
-            close = near_starts(clauses, starts).groupBy("key", "doc_id")
+            close = near_starts(batch, starts).groupBy("key", "doc_id")
             parts.append(close.agg(F.count("*").alias("f"), F.max("n_tokens").alias("n_tokens")))
         parts.append(
             starts.groupBy(F.col("pattern").alias("key"), "doc_id").agg(

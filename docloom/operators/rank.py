@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.index import Index
-from docloom.operators.match import Profile, clause_rows, pattern_hits, profile
+from docloom.operators.match import Batch, parse, pattern_hits
 from docloom.plans.ordered import global_row_number
 
 # Fixed values of the ranking formula.
@@ -15,6 +15,8 @@ FLOOR_IDF = 1e-6
 # Scores closer than this are ties; floating-point sums differ in the last digits.
 TIE_DIGITS = 12
 
+SCORED = "query_id string, doc_id long, score double"
+
 
 def idf(df: Column, n_docs: int) -> Column:
     raw = F.log((F.lit(n_docs) - df + 0.5) / (df + 0.5))
@@ -26,25 +28,24 @@ def bm25_part(weight: Column, f: Column, n_tokens: Column, avgdl: float) -> Colu
     return weight * f * F.lit(K1 + 1) / (f + norm)
 
 
-def bm25(queries: DataFrame, index: Index, facts: Profile | None = None) -> DataFrame:
+def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
     """(query_id, doc_id, score) of every matching document; lower scores are better.
 
     With several queries the candidates of a query come from its rarest required slot
     only, and the other clauses are looked up for those candidates. A frequent word then
     adds no pair for the documents that cannot match anyway.
     """
-    clauses = clause_rows(queries)
-    facts = facts or profile(queries)
-    if not (facts.simple or facts.positional):
-        return _empty(queries)
-    found = pattern_hits(clauses, index, facts)
-    clauses = clauses.select("query_id", "clause_id", "key", "slot", "n_slots", "pattern").join(
+    batch = queries if isinstance(queries, Batch) else parse(queries)
+    if not batch.queries:
+        return index.postings.sparkSession.createDataFrame([], SCORED)
+    found = pattern_hits(batch, index)
+    clauses = batch.clauses.select("query_id", "clause_id", "key", "slot", "n_slots", "pattern").join(
         found.df, "pattern", "left"
     )
     clauses = clauses.withColumn("df", F.coalesce("df", F.lit(0)))
     clauses = clauses.withColumn("weight", idf(F.col("df"), index.n_docs))
     wanted = clauses.drop("pattern", "df")
-    if facts.queries == 1 or facts.single_slot:
+    if batch.queries == 1 or batch.single_slot:
         pairs = wanted.join(found.hits, "key")
     else:
         cost = clauses.filter("slot IS NOT NULL").groupBy("query_id", "slot")
@@ -66,12 +67,6 @@ def bm25(queries: DataFrame, index: Index, facts: Profile | None = None) -> Data
     return scored.filter(keep).select("query_id", "doc_id", "score")
 
 
-def _empty(queries: DataFrame) -> DataFrame:
-    return queries.filter(F.lit(False)).select(
-        "query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")
-    )
-
-
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     """Best ``k`` rows per query with their rank; 0 gives none, a negative ``k`` all.
 

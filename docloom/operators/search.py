@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators.index import Index
-from docloom.operators.match import profile, text_queries
+from docloom.operators.match import Batch, parse, text_queries
 from docloom.operators.rank import bm25, top_k
 from docloom.operators.snippet import with_snippet
 from docloom.plans.spread import local_table
@@ -16,11 +16,11 @@ PUSHED_ROWS = 1000
 
 
 def filter_source(scored: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Keep hits of the query's source; an empty source means no restriction.
+    """Keep hits of the query's source; NULL means no restriction.
 
     This follows scoring, so term and length statistics stay those of the whole corpus.
     """
-    wanted = queries.select("query_id", F.nullif("source", F.lit("")).alias("wanted"))
+    wanted = queries.select("query_id", F.col("source").alias("wanted")).distinct()
     free = scored.join(wanted.filter("wanted IS NULL"), "query_id", "left_semi")
     bound = scored.join(wanted.filter("wanted IS NOT NULL"), "query_id")
     places = corpus.select("doc_id", F.col("source").alias("wanted"))
@@ -45,28 +45,26 @@ def join_corpus(hits: DataFrame, corpus: DataFrame, bounded: bool) -> DataFrame:
 
 def rank_batch(queries: DataFrame, index: Index, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score) for every query, without stored columns."""
-    return _rank(queries, index, corpus, k)[0]
+    return _rank(parse(queries), index, corpus, k)
 
 
-def _rank(queries, index, corpus, k):
-    facts = profile(queries)
-    scored = bm25(queries, index, facts)
-    if facts.source_bound:
-        scored = filter_source(scored, corpus, queries)
-    ranked = top_k(scored, k).select("query_id", "rank", "doc_id", "score")
-    return ranked, facts
+def _rank(batch: Batch, index: Index, corpus: DataFrame, k: int) -> DataFrame:
+    scored = bm25(batch, index)
+    if batch.source_bound:
+        scored = filter_source(scored, corpus, batch.clauses)
+    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
 
 def search_batch(
     queries: DataFrame, index: Index, corpus: DataFrame, k: int = 10, snippets: bool = True
 ) -> DataFrame:
     """All queries of a ``QUERIES`` table: query_id, rank, id, title, url, source, score, snippet."""
-    ranked, facts = _rank(queries, index, corpus, k)
-    bounded = 0 <= k * facts.queries <= PUSHED_ROWS
-    rows = join_corpus(ranked, corpus, bounded)
+    batch = parse(queries)
+    bounded = 0 <= k * batch.queries <= PUSHED_ROWS
+    rows = join_corpus(_rank(batch, index, corpus, k), corpus, bounded)
     shown = ["query_id", "rank", F.col("doc_id").alias("id"), "title", "url", "source", "score"]
     if snippets:
-        rows = with_snippet(rows, queries, index, facts)
+        rows = with_snippet(rows, batch, index)
         shown.append("snippet")
     return rows.select(shown)
 

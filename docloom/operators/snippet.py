@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import window
 from docloom.operators.index import Index, build_postings
 from docloom.operators.match import (
-    Profile,
-    clause_rows,
+    Batch,
     near_starts,
     pattern_tokens,
     phrase_starts,
@@ -33,26 +32,25 @@ def snippet(content: Column, hits: Column) -> Column:
     return cut(content, hits)
 
 
-def content_hits(rows: DataFrame, queries: DataFrame, index: Index, facts: Profile) -> DataFrame:
+def content_hits(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
     """(query_id, doc_id, hits): phrase instances in the content of the ranked rows.
 
     Only these rows are tokenised again; the index is not read.
     """
     column = INDEXED.index("content")
-    clauses = clause_rows(queries)
     texts = rows.dropDuplicates(["doc_id"]).select(
         "doc_id", *[(F.col(c) if c == "content" else F.lit("")).alias(c) for c in INDEXED]
     )
     postings = build_postings(texts, index.buckets).filter(F.col("col") == column)
-    tokens = pattern_tokens(clauses, index, facts)
+    tokens = pattern_tokens(batch, index)
     wanted = F.col("cols").isNull() | F.array_contains("cols", F.lit(column).cast("tinyint"))
     starts = phrase_starts(postings.join(tokens.filter(wanted), "term"))
     found = starts.select("pattern", "doc_id", "n_terms", F.explode("starts").alias("start"))
-    plain = clauses.filter(F.col("near_key").isNull() & (F.col("kind") != "not"))
+    plain = batch.clauses.filter(F.col("near_key").isNull() & (F.col("kind") != "not"))
     sides = [plain.join(found, "pattern")]
-    if facts.near:
-        close = near_starts(clauses, starts).select("key", "doc_id", "start")
-        near = clauses.filter(F.col("near_key").isNotNull() & (F.col("kind") != "not"))
+    if batch.near:
+        close = near_starts(batch, starts).select("key", "doc_id", "start")
+        near = batch.clauses.filter(F.col("near_key").isNotNull() & (F.col("kind") != "not"))
         near = near.withColumn("n_terms", F.size("tokens")).join(close, "key")
         sides.append(near)
     columns = ["query_id", "clause_id", "doc_id", "start", "n_terms"]
@@ -65,13 +63,13 @@ def content_hits(rows: DataFrame, queries: DataFrame, index: Index, facts: Profi
     return hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
-def with_snippet(rows: DataFrame, queries: DataFrame, index: Index, facts: Profile) -> DataFrame:
+def with_snippet(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
     """Add ``snippet`` to ranked rows that carry query_id, doc_id and content.
 
     The rows are used twice, so they are fetched from the corpus once and written.
     """
     rows = materialize(rows, "ranked")
-    hits = content_hits(rows, queries, index, facts)
+    hits = content_hits(rows, batch, index)
     none = F.array().cast("array<struct<start:int,phrase:int,size:int>>")
     return rows.join(hits, ["query_id", "doc_id"], "left").withColumn(
         "snippet", snippet(F.col("content"), F.coalesce("hits", none))

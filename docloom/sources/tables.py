@@ -8,14 +8,14 @@ from docloom.plans.scratch import exists
 from docloom.schemas import CORPUS
 
 # The corpus is laid out by URL hash, so that a merge rewrites only the parts it touches.
-CORPUS_BUCKETS = 64
+# Large corpora want thousands of buckets; the number is kept beside the data.
+BUCKETS = 16
 
-
-def url_bucket(url):
-    return F.pmod(F.xxhash64(url), F.lit(CORPUS_BUCKETS)).cast("int")
+_STORED = T.StructType([*CORPUS.fields, T.StructField("bucket", T.IntegerType())])
 
 
-_STORED = T.StructType([*CORPUS.fields, T.StructField("bucket", T.IntegerType())])
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -25,40 +25,42 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, **options) -> None:
-    """Files sorted by id, with Bloom filters for point reads by id or URL."""
+    """Files sorted by id, with a Bloom filter for point reads by URL."""
     (
         rows.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "doc_id")
         .write.partitionBy("bucket")
         .options(**options)
         .option("parquet.bloom.filter.enabled#url", "true")
-        .option("parquet.bloom.filter.enabled#doc_id", "true")
         .mode("overwrite")
         .parquet(path)
     )
 
 
-def write_corpus(corpus: DataFrame, path: str) -> None:
+def write_corpus(corpus: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """First write into an empty folder."""
-    if exists(corpus.sparkSession, path):
+    spark = corpus.sparkSession
+    if exists(spark, path):
         raise FileExistsError(f"{path} already holds a corpus; use update_corpus")
-    _write(corpus.withColumn("bucket", url_bucket(F.col("url"))), path)
+    _write(_bucketed(corpus, buckets), path)
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.json(f"{path}/_layout")
 
 
-def update_corpus(changed: DataFrame, path: str) -> None:
+def update_corpus(changed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace or add rows by URL; only the buckets that hold such a URL are rewritten.
 
     ``changed`` must not read from ``path``. The operation can be repeated after a failure.
     """
     spark = changed.sparkSession
-    changed = changed.withColumn("bucket", url_bucket(F.col("url")))
     if not exists(spark, path):
-        _write(changed, path)
+        write_corpus(changed, path, buckets)
         return
-    buckets = [row.bucket for row in changed.select("bucket").distinct().collect()]
-    if not buckets:
+    layout = spark.read.schema("buckets int").json(f"{path}/_layout").first()
+    changed = _bucketed(changed, layout.buckets)
+    touched = [row.bucket for row in changed.select("bucket").distinct().collect()]
+    if not touched:
         return
-    stored = spark.read.schema(_STORED).parquet(path).filter(F.col("bucket").isin(buckets))
+    stored = spark.read.schema(_STORED).parquet(path).filter(F.col("bucket").isin(touched))
     kept = stored.join(changed.select("url"), "url", "left_anti").select(*changed.columns)
     _write(kept.unionByName(changed), path, partitionOverwriteMode="dynamic")
 
