@@ -20,7 +20,8 @@ def main_content(html: Column) -> Column:
     def convert(pages: pd.Series) -> pd.Series:
         return pd.Series([markdown.to_markdown(page) for page in pages], dtype="object")
 
-    return convert(drop_boilerplate(html))
+    # Marked so that a filter on the result is not pushed down as a second conversion.
+    return convert.asNondeterministic()(drop_boilerplate(html))
 
 
 def keep_nonempty(pages: DataFrame) -> DataFrame:
