@@ -58,9 +58,12 @@ def start_frontier(sources: DataFrame) -> DataFrame:
 
 
 def scoped_edges(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, src_url, pos, url): links whose target the source allows, once per pair."""
+    """(source, src_url, pos, url): links whose target the source allows, once per pair.
+
+    The plain edges are written first, since they are used twice and come from the HTML.
+    """
     edges = link_edges(pages).groupBy("src_url", F.col("target_url").alias("url"))
-    edges = edges.agg(F.min("pos").alias("pos"))
+    edges = materialize(edges.agg(F.min("pos").alias("pos")), "links")
     allowed = assign_sources(edges.select("url").distinct(), sources).select("source", "url")
     return edges.join(allowed, "url")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions.html import link_hrefs
 from docloom.functions.urls import normalize_url, resolve_link
 from docloom.operators.assign import assign_sources
+from docloom.plans.scratch import materialize
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -31,8 +32,10 @@ def pending_links(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, url) of allowed links without a captured page.
 
     Targets are made distinct before the rules are tried, so a link that every page carries
-    is checked once.
+    is checked once. They are written, because the rules look at them twice and the HTML
+    should be read once.
     """
     targets = link_edges(pages).select(F.col("target_url").alias("url")).distinct()
     captured = pages.select(normalize_url(F.col("url")).alias("url"))
-    return assign_sources(drop_seen(targets, captured, "url"), sources).select("source", "url")
+    fresh = materialize(drop_seen(targets, captured, "url"), "targets")
+    return assign_sources(fresh, sources).select("source", "url")

@@ -54,7 +54,9 @@ def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
             F.min_by("slot", F.struct("cost", "slot")).alias("slot")
         )
         leading = clauses.join(rarest, ["query_id", "slot"]).select("query_id", "key").distinct()
-        candidates = leading.join(found.hits, "key").select("query_id", "doc_id").distinct()
+        # Spread by document as well: one query may hold a large share of all candidates.
+        candidates = leading.join(found.hits, "key").select("query_id", "doc_id")
+        candidates = candidates.repartition("query_id", "doc_id").distinct()
         pairs = candidates.join(wanted, "query_id").join(found.hits, ["key", "doc_id"])
     part = bm25_part(F.col("weight"), F.col("f"), F.col("n_tokens"), index.avgdl)
     scored = pairs.groupBy("query_id", "doc_id").agg(

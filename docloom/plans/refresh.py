@@ -26,7 +26,7 @@ def extract_batch(pages: DataFrame, sources: DataFrame) -> DataFrame:
     else:
         pages = pages.withColumn("fetched_at", F.current_timestamp())
     pages = pages.withColumn("url", normalize_url(F.col("url")))
-    pairs = assign_sources(pages.select("url").distinct(), sources)
+    pairs = materialize(assign_sources(pages.select("url").distinct(), sources), "pairs")
     covered = pages.join(pairs.select("url"), "url", "left_semi")
     rows = extract_pages(covered).join(pairs, "url").withColumn("seq", seq)
     return rows.select(*EXTRACTED.names)
