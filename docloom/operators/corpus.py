@@ -9,12 +9,21 @@ from docloom.plans.ordered import global_lag, global_row_number
 INSERTED, UPDATED, SKIPPED = "inserted", "updated", "skipped"
 
 
+def only_keys_of(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Stored rows whose key is wanted.
+
+    Done before a left join: few wanted keys are then broadcast and the stored side is
+    filtered in place, where the left join alone would shuffle all of it.
+    """
+    return stored.join(wanted.select(key), key, "left_semi")
+
+
 def match_existing(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add the stored id and hash of each URL; only three narrow corpus columns are read."""
     stored = corpus.select(
         "url", F.col("doc_id").alias("old_id"), F.col("content_hash").alias("old_hash")
     )
-    return batch.join(stored, "url", "left")
+    return batch.join(only_keys_of(stored, batch, "url"), "url", "left")
 
 
 def classify_changes(batch: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -121,11 +130,11 @@ def index_summary(sources: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def read_by_id(corpus: DataFrame, ids: DataFrame) -> DataFrame:
     """One row per wanted ``doc_id``; stored columns are NULL when it does not exist."""
-    return ids.join(corpus, "doc_id", "left")
+    return ids.join(only_keys_of(corpus, ids, "doc_id"), "doc_id", "left")
 
 
 def read_by_url(corpus: DataFrame, urls: DataFrame) -> DataFrame:
-    return urls.join(corpus, "url", "left")
+    return urls.join(only_keys_of(corpus, urls, "url"), "url", "left")
 
 
 def get_document(corpus: DataFrame, doc_id=None, url=None) -> DataFrame:

@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions.urls import normalize_url
 from docloom.operators.assign import assign_sources
-from docloom.operators.corpus import changed_rows, flag_versions, index_summary
+from docloom.operators.corpus import (
+    changed_rows,
+    flag_versions,
+    index_summary,
+    only_keys_of,
+)
 from docloom.operators.extract import extract_pages
 from docloom.operators.frontier import crawl_frontier
 from docloom.operators.index import Index, merge_index, write_index
@@ -48,6 +53,7 @@ def crawl_batch(pages: DataFrame, sources: DataFrame, max_pages: int | None = No
 def drop_stale(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     """Leave out versions captured before the stored one."""
     stored = corpus.select("url", F.col("fetched_at").alias("stored_at"))
+    stored = only_keys_of(stored, batch, "url")
     late = F.col("stored_at").isNotNull() & (F.col("fetched_at") < F.col("stored_at"))
     return batch.join(stored, "url", "left").filter(~late).drop("stored_at")
 

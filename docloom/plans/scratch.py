@@ -23,8 +23,19 @@ def work_dir(spark: SparkSession) -> str:
     return _local_folder(context.applicationId)
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables, once no DataFrame needs them any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.plans.refresh import apply_batch, drop_stale, extract_batch
+from docloom.plans.scratch import materialize
 from docloom.plans.spread import spread
 from docloom.schemas import PAGES
 from docloom.sources.tables import read_corpus
@@ -30,7 +31,7 @@ def stream_refresh(
 
     def merge(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        extracted = extract_batch(spread(batch), sources)
+        extracted = materialize(extract_batch(spread(batch), sources), "extracted")
         fresh = drop_stale(extracted, read_corpus(session, corpus_path))
         apply_batch(session, fresh, sources, corpus_path, index_path)
 
