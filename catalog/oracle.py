@@ -232,6 +232,7 @@ REFRESHED = f"""admitted AS (
   SELECT page_id, {NORMAL} AS url, {TITLE} AS title, {CONTENT_TOKENS} AS tokens FROM pages),
 {assigned("admitted", "page_id, url, title, tokens")}"""
 
+# All versions of a page in the tables have the same content, so the first one stays.
 STORED = f"""WITH {REFRESHED},
 firsts AS (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_ord, page_id) AS nth FROM pairs)
@@ -359,12 +360,14 @@ WHERE nth + 1 <= max_pages""",
     "crawl_frontier": f"""WITH {LINKS}, targets AS (
   SELECT page_id, {TARGET} AS target, min(pos) AS pos FROM hrefs WHERE href <> ''
   GROUP BY page_id, target),
+captures AS (SELECT {NORMAL} AS start, min(page_id) AS page_id FROM pages GROUP BY start),
+owners AS (SELECT 'p' || page_id AS source, {NORMAL} AS start FROM pages),
 found AS (
-  SELECT t.page_id, t.target, row_number() OVER (PARTITION BY t.page_id ORDER BY t.pos) AS nth
-  FROM targets t JOIN pages p USING (page_id) WHERE t.target <> {NORMAL})
-SELECT 'p' || page_id AS source, {NORMAL} AS url, 1 AS crawl_ord, 0 AS depth FROM pages
+  SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS nth
+  FROM owners JOIN captures USING (start) JOIN targets USING (page_id) WHERE target <> start)
+SELECT source, start AS url, 1 AS crawl_ord, 0 AS depth FROM owners
 UNION ALL
-SELECT 'p' || page_id, target, nth + 1, 1 FROM found WHERE nth <= 3""",
+SELECT source, target, nth + 1, 1 FROM found WHERE nth <= 3""",
     "refresh": STORED,
     "refresh_summary": f"""WITH {REFRESHED},
 firsts AS (

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.urls import normalize_url
 from docloom.operators.assign import assign_sources
-from docloom.operators.links import drop_seen, link_edges
+from docloom.operators.links import drop_seen, first_captures, page_edges
 from docloom.plans.ordered import global_row_number
 from docloom.plans.scratch import materialize, scratch_path
 from docloom.schemas import LONG, STR
@@ -60,9 +60,11 @@ def start_frontier(sources: DataFrame) -> DataFrame:
 def scoped_edges(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, src_url, pos, url): links whose target the source allows, once per pair.
 
-    The plain edges are written first, since they are used twice and come from the HTML.
+    A URL that was captured more than once is read in its first capture. The plain edges are
+    written first, since they are used twice and come from the HTML.
     """
-    edges = link_edges(pages).groupBy("src_url", F.col("target_url").alias("url"))
+    edges = page_edges(pages).join(first_captures(pages).select("page_id"), "page_id", "left_semi")
+    edges = edges.groupBy("src_url", F.col("target_url").alias("url"))
     edges = materialize(edges.agg(F.min("pos").alias("pos")), "links")
     allowed = assign_sources(edges.select("url").distinct(), sources).select("source", "url")
     return edges.join(allowed, "url")
@@ -73,7 +75,8 @@ def crawl_frontier(
 ) -> DataFrame:
     """(source, url, crawl_ord, depth) in visiting order, independent for each source.
 
-    ``pages`` holds the captured pages that have content: only these are expanded. A URL
+    ``pages`` holds the captured pages that have content: only these are expanded, each URL
+    in its first capture. A URL
     without a page is visited too and uses up budget, as a failed download would. All
     sources advance together, one level per round. Every level is a written table, so the
     plan of a round does not grow and lost executors do not repeat earlier rounds.

@@ -15,15 +15,26 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", hrefs)
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(src_url, pos, href, target_url) with both ends normalised; other schemes dropped."""
+def page_edges(pages: DataFrame) -> DataFrame:
+    """(page_id, src_url, pos, href, target_url), normalised; other schemes dropped."""
     edges = extract_links(pages.withColumn("url", normalize_url(F.col("url"))))
     target = normalize_url(resolve_link(F.col("url"), F.col("href")))
     return edges.select(
-        F.col("url").alias("src_url"), "pos", "href", target.alias("target_url")
+        "page_id", F.col("url").alias("src_url"), "pos", "href", target.alias("target_url")
     ).filter(F.col("target_url") != "")
 
 
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src_url, pos, href, target_url) of all links of all pages."""
+    return page_edges(pages).drop("page_id")
+
+
+def first_captures(pages: DataFrame) -> DataFrame:
+    """(url, page_id): the capture that stands for a URL, from two narrow columns."""
+    url = normalize_url(F.col("url")).alias("url")
+    return pages.select(url, "page_id").groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
 def drop_seen(frontier: DataFrame, seen: DataFrame, on) -> DataFrame:
     return frontier.join(seen, on, "left_anti")
 

@@ -14,6 +14,7 @@ from docloom.operators.corpus import (
 from docloom.operators.extract import extract_pages
 from docloom.operators.frontier import crawl_frontier
 from docloom.operators.index import Index, merge_index, write_index
+from docloom.operators.links import first_captures
 from docloom.plans.scratch import exists, materialize
 from docloom.schemas import EXTRACTED
 from docloom.sources.tables import read_corpus, update_corpus
@@ -38,12 +39,17 @@ def extract_batch(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def crawl_batch(pages: DataFrame, sources: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """``EXTRACTED`` rows of the pages that a breadth-first visit reaches, in its order."""
+    """``EXTRACTED`` rows of the pages that a breadth-first visit reaches, in its order.
+
+    A URL is visited once, so only its first capture counts.
+    """
     if "fetched_at" not in pages.columns:
         pages = pages.withColumn("fetched_at", F.current_timestamp())
     pages = pages.withColumn("url", normalize_url(F.col("url")))
+    first = materialize(first_captures(pages).select("page_id"), "captures")
+    pages = pages.join(first, "page_id", "left_semi")
     extracted = materialize(extract_pages(pages), "extracted")
-    full = pages.join(extracted.select("url"), "url", "left_semi")
+    full = pages.join(extracted.select("page_id"), "page_id", "left_semi")
     visits = crawl_frontier(full, sources, max_pages)
     order = sources.select(F.col("name").alias("source"), "source_ord")
     rows = visits.withColumnRenamed("crawl_ord", "seq").join(order, "source")
