@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.common import U, bit_filter, mix, passes, utf8
+from docloom.llm.common import U, bit_filter, fresh, mix, passes, utf8
 from docloom.llm.components import components
 from docloom.llm.shingles import shingle_set
 from docloom.plans.scratch import materialize
@@ -80,7 +81,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [_signed(_vertex(s)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows)),
+                    batch.column(0).slice(rows[0], len(rows)),
                     pa.array(keys, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                 ],
@@ -297,6 +298,24 @@ def set_links(sets: DataFrame, over: int, under: int) -> DataFrame:
     return first.unionByName(rest.where(_linked(over, under)).select("a", "b"))
 
 
+def _membership(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, vertex, n_shingles, component, component_id); an empty set has neither a
+    vertex nor a component. ``component`` is a vertex, as rows may repeat ids."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
+    over, under = percent, 100
+    info = materialize(document_sets(docs, id_col, text_col), "doc-sets")
+    sets = _candidates(docs, text_col, over, under)
+    merged = components(set_links(sets, over, under)).withColumnRenamed("node", "vertex")
+    lowest = info.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("low"))
+    lowest = lowest.join(merged, "vertex", "left").withColumn(
+        "component", F.coalesce("component", "vertex")
+    )
+    lowest = materialize(lowest, "lowest")
+    least = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
+    return info.join(lowest.drop("low").join(least, "component"), "vertex", "left")
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -308,24 +327,54 @@ def jaccard_components(
     Two documents link when their sets of 5-word shingles have a Jaccard similarity of at
     least ``percent`` / 100; ``component_id`` is the smallest id that links reach. Null and
     blank texts have an empty set, link with nothing and keep their own id; rows that repeat
-    an id or a text give one row each; a null id stays null and does not count as smallest.
-    Other columns are not read. An empty table gives an empty result.
+    an id or a text give one row each; a null id does not count as smallest. Other columns
+    are not read. An empty table gives an empty result.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
-    over, under = percent, 100
-    info = materialize(document_sets(docs, id_col, text_col), "doc-sets")
-    sets = _candidates(docs, text_col, over, under)
-    links = set_links(sets, over, under)
-    # Components are told apart by vertex first; every vertex knows its smallest document.
-    merged = components(links).withColumnRenamed("node", "vertex")
-    lowest = info.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("low"))
-    lowest = lowest.join(merged, "vertex", "left").withColumn(
-        "component", F.coalesce("component", "vertex")
-    )
-    lowest = materialize(lowest, "lowest")
-    least = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = lowest.join(least, "component").select("vertex", "component_id")
-    return info.join(named, "vertex", "left").select(
+    return _membership(docs, id_col, text_col, percent).select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
+) -> DataFrame:
+    """One row of each component, with all its columns.
+
+    The document with the smallest id stays; of rows that repeat this id within a component,
+    one stays. Rows without an id or without words belong to no group and stay.
+    """
+    members = materialize(_membership(docs, id_col, text_col, percent), "members")
+    first = members.where("doc_id = component_id").groupBy("doc_id", "component").agg(
+        F.min("vertex").alias("vertex")
+    )
+    kept = materialize(first.select("doc_id", "vertex"), "kept")
+    doc, vertex, found = (fresh(docs, n) for n in ("_doc", "_vertex", "_found"))
+    named = kept.select(
+        F.col("doc_id").alias(doc), F.col("vertex").alias(vertex), F.lit(True).alias(found)
+    )
+    rows = _with_vertex(docs, text_col, vertex).withColumn(doc, F.col(id_col).cast("long"))
+    rows = rows.join(named, [doc, vertex], "left")
+    alone = F.col(doc).isNull() | F.col(vertex).isNull()
+    rows = rows.where(alone | F.col(found))
+    repeated = members.join(kept, ["doc_id", "vertex"], "left_semi").groupBy("doc_id", "vertex")
+    if repeated.count().where("count > 1").limit(1).count():
+        # Rows that stand alone keep a number of their own, so that none of them is lost.
+        number = F.when(alone, F.monotonically_increasing_id())
+        once = fresh(docs, "_once")
+        rows = rows.withColumn(once, number).dropDuplicates([doc, vertex, once])
+    return rows.select(*docs.columns)
+
+
+def _with_vertex(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """All rows and columns of ``docs`` with the vertex of the text."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def add(batches):
+        for batch, rows, sets in _blocks(batches, at):
+            keys = [_signed(_vertex(s)) if len(s) else None for s in sets]
+            part = batch.slice(rows[0], len(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(keys, pa.int64())], [*names, name]
+            )
+
+    return docs.mapInArrow(add, T.StructType(list(docs.schema.fields)).add(name, "long"))

@@ -1,18 +1,55 @@
 """One query per operator, over whole tables and with production parameters."""
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import ngram_join
+from docloom.llm import bpe, decontaminate, ngram_join, quality, secret_scan, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality_classifier(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = quality.train(docs, _table(spark, folder, "labels"))
+    return model.score(docs.select("doc_id", "lang", "text")).drop("text")
+
+
+def op4_byte_bpe(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op5_benchmark_decontamination(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return decontaminate.find_leaks(docs, _table(spark, folder, "benchmark"))
+
+
 def op7_ngram_jaccard_join(spark, folder):
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op8_sharding(spark, folder):
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+def op10_secret_scans(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.train(docs))
+
+
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_sharding": op8_sharding,
+    "op10_secret_scans": op10_secret_scans,
+    "pipeline": pipeline,
 }
