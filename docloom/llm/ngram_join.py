@@ -13,8 +13,9 @@ order of the shingles, the first ``n - ceil(t n) + l`` of both therefore have ``
    smaller ``l`` of the two asks for.
 3. In each shingle's group one pivot, the set with the fewest shingles of its own, is verified
    against all others. Its links are merged into components; what is left are pairs from
-   different components, and the verified overlaps with the pivot bound theirs. So a large
-   group of copies costs as many comparisons as it has members.
+   different components. How both differ from the pivot, kept as bit signatures of a fixed
+   size, bounds their overlap from above, so a large group of copies is verified about as
+   often as it has members.
 
 Every verification compares whole sets. Nothing is capped or sampled.
 """
@@ -38,6 +39,8 @@ FILTER_BITS = 26
 SPARE = 12
 #: Longest prefix that a set may choose: so many matches.
 MATCHES = 4
+#: Longs in the signature of a difference between two sets.
+SIGNATURE = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 8
 
@@ -180,10 +183,11 @@ def _candidates(docs: DataFrame, text_col: str, over: int, under: int) -> DataFr
 
 
 def _adaptive(sets: DataFrame, over: int, under: int) -> DataFrame:
-    """(token, vertex, n, shared, level, matches): the prefixes that the sets choose.
+    """(token, vertex, n, shared, level, after, matches): the prefixes that the sets choose.
 
-    ``shared`` counts the shingles of a set that occur in another one, ``level`` the matches
-    asked for where the prefix first reaches the shingle, ``matches`` what the set has chosen.
+    ``shared`` counts the shingles of a set that occur in another one, ``after`` those from
+    this one on; ``level`` is the number of matches for which the prefix first reaches the
+    shingle, ``matches`` the number that the set has chosen.
     """
     tokens = sets.select("vertex", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -204,6 +208,7 @@ def _adaptive(sets: DataFrame, over: int, under: int) -> DataFrame:
                 x["token"].alias("token"),
                 x["df"].alias("df"),
                 F.greatest(F.lit(1), i - F.col("_start") + 1).cast("int").alias("level"),
+                (F.col("shared") - i).alias("after"),
             ),
         ),
     )
@@ -223,7 +228,7 @@ def _adaptive(sets: DataFrame, over: int, under: int) -> DataFrame:
         "vertex", "n", "shared", "matches", F.explode("order").alias("_p")
     ).select(
         F.col("_p.token").alias("token"), "vertex", "n", "shared", "matches",
-        F.col("_p.level").alias("level"),
+        F.col("_p.level").alias("level"), F.col("_p.after").alias("after"),
     ).where("level <= matches")
 
 
@@ -244,6 +249,51 @@ def _linked(over: int, under: int):
     return F.col("overlap") * under >= over * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
+def _signature(values):
+    """Bits set by hashed values, as SIGNATURE longs."""
+
+    def bits(k):
+        own = F.filter(values, lambda v: v.bitwiseAND(SIGNATURE - 1) == k)
+        place = F.transform(own, lambda v: F.shiftright(v, 8).bitwiseAND(63).cast("int"))
+        return F.aggregate(
+            place, F.lit(0).cast("long"),
+            lambda acc, at: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at)),
+        )
+
+    return F.array(*[bits(k) for k in range(SIGNATURE)])
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``_overlaps`` with what b lacks of a and has besides it: counts and signatures."""
+    right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("_right"))
+    left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("_left"))
+    both = pairs.join(right, "b").join(left, "a").select(
+        "a", "b",
+        F.size("_left").alias("na"), F.size("_right").alias("nb"),
+        F.array_except("_left", "_right").alias("_lacks"),
+        F.array_except("_right", "_left").alias("_adds"),
+    )
+    return both.select(
+        "a", "b", "na", "nb",
+        (F.col("na") - F.size("_lacks")).alias("overlap"),
+        _signature("_lacks").alias("lacks"),
+        _signature("_adds").alias("adds"),
+    )
+
+
+def _common(name: str, counts):
+    """Upper bound of the values that two differences share: those on common bits, besides
+    values that fell on a bit already set."""
+
+    def ones(array):
+        return F.aggregate(array, F.lit(0), lambda acc, v: acc + F.bit_count(v))
+
+    x, y = F.col(f"x.{name}"), F.col(f"y.{name}")
+    met = ones(F.zip_with(x, y, lambda p, q: p.bitwiseAND(q)))
+    hidden = F.least(counts[0] - ones(x), counts[1] - ones(y))
+    return met + hidden
+
+
 def set_links(sets: DataFrame, over: int, under: int) -> DataFrame:
     """(a, b): links that connect exactly the sets that all links connect."""
     postings = materialize(_adaptive(sets, over, under), "postings")
@@ -255,44 +305,50 @@ def set_links(sets: DataFrame, over: int, under: int) -> DataFrame:
     stars = grouped.where("pivot <> vertex").select(
         F.col("pivot").alias("a"), F.col("vertex").alias("b")
     ).distinct()
-    measured = materialize(_overlaps(stars, sets), "measured")
+    measured = materialize(_differences(stars, sets), "measured")
     first = measured.where(_linked(over, under)).select("a", "b")
     merged = components(first)
 
-    # Members with their component and their overlap with the pivot of the group.
-    members = grouped.join(merged.withColumnRenamed("node", "vertex"), "vertex", "left")
-    members = members.withColumn("component", F.coalesce("component", "vertex"))
-    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("vertex"), "overlap")
-    members = members.join(known, ["pivot", "vertex"], "left").withColumn(
-        "overlap", F.coalesce("overlap", "n")
-    )
+    # Members of the groups that still span several components.
+    members = grouped.where("pivot <> vertex").join(
+        merged.withColumnRenamed("node", "vertex"), "vertex", "left"
+    ).withColumn("component", F.coalesce("component", "vertex"))
     members = materialize(members, "members")
     mixed = members.groupBy("token").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high")
     )
-    members = members.join(mixed.where("_low <> _high"), "token", "left_semi").select(
-        "token", "vertex", "component", "n", "shared", "overlap", "level", "matches", "pivot"
+    known = measured.select(
+        F.col("a").alias("pivot"), F.col("b").alias("vertex"),
+        F.col("na").alias("size"), "overlap", "lacks", "adds",
+    )
+    members = members.join(mixed.where("_low <> _high"), "token", "left_semi").join(
+        known, ["pivot", "vertex"]
     )
     x, y = members.alias("x"), members.alias("y")
 
     def both(name):
         return F.col(f"x.{name}"), F.col(f"y.{name}")
 
-    spare = [F.col(f"{s}.shared") - F.col(f"{s}.overlap") for s in ("x", "y")]
-    bound = F.least(*both("overlap")) + F.least(*spare)
-    sizes = F.col("x.n") + F.col("y.n")
+    total = F.col("x.n") + F.col("y.n")
+    asked = F.least(*both("matches"))
+    lacks = [size - overlap for size, overlap in zip(both("size"), both("overlap"), strict=True)]
+    adds = [n - overlap for n, overlap in zip(both("n"), both("overlap"), strict=True)]
+    within = F.col("x.overlap") + F.col("y.overlap") - F.col("x.size")
+    loose = within + F.least(*lacks) + F.least(*adds)
+    tight = within + _common("lacks", lacks) + _common("adds", adds)
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.vertex") < F.col("y.vertex"))
         & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.vertex") != F.col("x.pivot"))
-        & (F.col("y.vertex") != F.col("y.pivot"))
-        & (F.greatest(*both("level")) <= F.least(*both("matches")))
-        & (bound * (over + under) >= sizes * over),
+        & (F.greatest(*both("level")) <= asked)
+        # The first ``asked`` common shingles have nearly all of the overlap after them.
+        & ((F.least(*both("after")) + asked - 1) * (over + under) >= total * over)
+        & (loose * (over + under) >= total * over)
+        & (tight * (over + under) >= total * over),
     )
     met = pairs.groupBy(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).agg(
-        F.count("*").alias("_met"), F.first(F.least(*both("matches"))).alias("_asked")
+        F.count("*").alias("_met"), F.first(asked).alias("_asked")
     )
     rest = _overlaps(met.where("_met >= _asked").select("a", "b"), sets)
     return first.unionByName(rest.where(_linked(over, under)).select("a", "b"))
