@@ -9,7 +9,10 @@ and an edit as cheap as the bytes until the stored tokens agree again.
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import slices, texts
 
-#: Pieces and words that a task remembers, and the longest of them.
-REMEMBER = 300_000
+#: Pieces and words that a task remembers, the first it meets, and the longest of them.
+REMEMBER = 400_000
 #: Token pairs whose compatibility a task remembers.
 REMEMBER_PAIRS = 400_000
 REMEMBER_LENGTH = 64
@@ -45,6 +48,7 @@ class Vocabulary:
                     self.merged[left, right] = rank
                     break
         self._pairs: dict[int, bool] = {}
+        self._prefixes = Prefixes(self)
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._words: dict[str, tuple[int, ...]] = {}
 
@@ -74,35 +78,41 @@ class Vocabulary:
             return known
         data = piece.encode("utf-8", "replace")
         whole = self.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self, data).ids())
-        if len(piece) <= REMEMBER_LENGTH:
-            if len(self._pieces) >= REMEMBER:
-                self._pieces.clear()
+        ids = (whole,) if whole is not None else self._prefixes.reset(data).ids()
+        if len(piece) <= REMEMBER_LENGTH and len(self._pieces) < REMEMBER:
             self._pieces[piece] = ids
         return ids
 
     def _encode_span(self, text: str) -> tuple[int, ...]:
-        return tuple(i for p in self.pattern.findall(text) for i in self._encode_piece(p))
+        pieces = self.pattern.findall(text)
+        if len(pieces) == 1:
+            return self._encode_piece(pieces[0])
+        return tuple(i for p in pieces for i in self._encode_piece(p))
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text; each match of the pattern is encoded separately.
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; each match of the pattern is encoded separately.
 
         A single space between other characters always starts a match, so words are looked
-        up with the space before them.
+        up with the space before them. The words that are new in these texts are encoded in
+        sorted order: neighbours share prefixes, whose tokens are kept.
         """
-        if WIDE_SPACE.search(text):
-            return list(self._encode_span(text))
-        first, *words = text.split(" ")
-        for word in set(words).difference(self._words):
-            if len(word) <= REMEMBER_LENGTH and len(self._words) < REMEMBER:
-                self._words[word] = self._encode_span(" " + word)
-        ids = list(self._encode_span(first))
+        split = [None if WIDE_SPACE.search(t) else t.split(" ") for t in texts]
+        new = set().union(*[words[1:] for words in split if words]).difference(self._words)
+        spare: dict[str, tuple[int, ...]] = {}
+        for word in sorted(new):
+            full = len(word) > REMEMBER_LENGTH or len(self._words) >= REMEMBER
+            (spare if full else self._words)[word] = self._encode_span(" " + word)
         known = self._words.get
-        for word in words:
-            ids += known(word) or self._encode_span(" " + word)
-        if len(self._words) >= REMEMBER:
-            self._words.clear()
-        return ids
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield list(self._encode_span(text))
+            else:
+                first = self._encode_span(words[0])
+                ids = chain.from_iterable([known(w) or spare[w] for w in words[1:]])
+                yield list(chain(first, ids))
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -117,6 +127,14 @@ class Prefixes:
         self.last: list[int] = []
         self.append(data)
 
+    def reset(self, data: bytes) -> "Prefixes":
+        """Start anew with ``data``, keeping the tokens of the prefix that it shares."""
+        at = len(commonprefix((self.data, data)))
+        del self.last[at:]
+        self.data = data
+        self._extend(at + 1, len(data))
+        return self
+
     def append(self, data: bytes) -> None:
         at = len(self.data)
         self.data += data
@@ -165,12 +183,12 @@ class Prefixes:
                     return end - start
         return len(self.data) - start
 
-    def ids(self) -> list[int]:
+    def ids(self) -> tuple[int, ...]:
         out, end = [], len(self.data)
         while end:
             out.append(self.last[end - 1])
             end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+        return tuple(out[::-1])
 
 
 @lru_cache(maxsize=2)
@@ -192,8 +210,8 @@ def encode_documents(
 
     def encode(batches):
         known = vocabulary(path, pattern)
-        for batch in slices(batches, 200):
-            ids = [known.encode(t) for t in texts(batch.column(1))]
+        for batch in slices(batches, 500):
+            ids = list(known.encode_all(list(texts(batch.column(1)))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
             )
@@ -207,7 +225,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def decode(batches):
         known = vocabulary(path, pattern)
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 500):
             data = [known.decode(i.as_py() or []) for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(data, pa.binary())], ["doc_id", "ids", "data"]
@@ -229,10 +247,9 @@ def round_trip(
     def check(batches):
         known = vocabulary(path, pattern)
         names = {rank: str(rank) for rank in known.tokens}
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 500):
             counts, listed, decoded = [], [], []
-            for text in texts(batch.column(1)):
-                ids = known.encode(text)
+            for ids in known.encode_all(list(texts(batch.column(1)))):
                 counts.append(len(ids))
                 line = " ".join(map(names.__getitem__, ids))
                 listed.append(hashlib.sha256(line.encode()).hexdigest())
