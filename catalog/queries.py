@@ -11,7 +11,7 @@ from docloom.functions import urls as U
 from docloom.operators import assign, corpus, extract, frontier, index, links, match, rank, search
 from docloom.plans import refresh as R
 from docloom.plans.scratch import exists, materialize, scratch_path
-from docloom.plans.spread import local_table, spread
+from docloom.plans.local import local_table
 from docloom.schemas import SOURCES
 from docloom.sources import pages as P
 from docloom.sources import rules, tables
@@ -30,7 +30,7 @@ RULES = [
 
 
 def _documents(spark, folder) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/documents.parquet"))
+    return spark.read.parquet(f"{folder}/documents.parquet")
 
 
 def _pages(spark, folder) -> DataFrame:
@@ -558,7 +558,7 @@ def stream_refresh(spark, folder):
     return _stored(spark, corpus_path)
 
 
-_HELPERS = {"c", "near", "lru_cache", "exists", "materialize", "scratch_path", "spread", "local_table"}
+_HELPERS = {"c", "near", "lru_cache", "exists", "materialize", "scratch_path", "local_table"}
 
 QUERIES = {
     name: value

@@ -158,17 +158,13 @@ def host_allowed(url: Column, domains: Column) -> Column:
     return F.arrays_overlap(host_suffixes(F.lower(authority(url))), domains)
 
 
-def fold_patterns(patterns: Column) -> Column:
-    """One pattern for a list of alternatives; '' for an empty list."""
-    return F.array_join(
-        F.transform(patterns, lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|"
-    )
-
-
 def matches_rules(url: Column, include: Column, exclude: Column) -> Column:
-    """``include`` and ``exclude`` are folded patterns; '' means that none is set."""
-    wanted = (include == "") | F.rlike(url, include)
-    return wanted & ~((exclude != "") & F.rlike(url, exclude))
+    """Some pattern of ``include`` is found, or there is none, and none of ``exclude`` is.
+
+    Every pattern is tried on its own, so that groups keep their numbers.
+    """
+    wanted = (F.size(include) == 0) | F.exists(include, lambda p: F.rlike(url, p))
+    return wanted & ~F.exists(exclude, lambda p: F.rlike(url, p))
 
 
 def package_include_pattern(doc_url: Column, doc_type: Column, repair: bool = False) -> Column:

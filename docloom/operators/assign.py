@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.urls import authority, fold_patterns, host_suffixes, matches_rules
+from docloom.functions.urls import authority, host_allowed, host_suffixes, matches_rules
 
 RULE_COLUMNS = ("source", "source_ord", "_include", "_exclude")
 
 
 def domain_rules(sources: DataFrame) -> DataFrame:
-    """One row per (source, domain) with folded patterns.
+    """One row per (source, domain) with its patterns; without ``source_ord`` all are equal.
 
     A domain that lies below another one of the same source is left out: it adds nothing,
     and without it a page meets each source at most once, so no distinct is needed later.
@@ -21,13 +21,38 @@ def domain_rules(sources: DataFrame) -> DataFrame:
     )
     return sources.select(
         F.col("name").alias("source"),
-        "source_ord",
-        fold_patterns(F.col("include_patterns")).alias("_include"),
-        fold_patterns(F.col("exclude_patterns")).alias("_exclude"),
+        source_order(sources).alias("source_ord"),
+        *_patterns(),
         F.explode(top).alias("_domain"),
     )
 
 
+def source_order(sources: DataFrame):
+    """``source_ord``; rules that have none come first and are told apart by name."""
+    if "source_ord" not in sources.columns:
+        return F.lit(0)
+    return F.coalesce("source_ord", F.lit(0))
+
+
+def _patterns():
+    none = F.array().cast("array<string>")
+    return [
+        F.coalesce("include_patterns", none).alias("_include"),
+        F.coalesce("exclude_patterns", none).alias("_exclude"),
+    ]
+
+
+def keep_own(rows: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
+    """Rows (source, url, ...) whose URL their own source covers: one join by source name."""
+    rules = sources.select(
+        F.col("name").alias("source"), F.col("allowed_domains").alias("_domains"), *_patterns()
+    )
+    fits = host_allowed(F.col(url), F.col("_domains")) & matches_rules(
+        F.col(url), F.col("_include"), F.col("_exclude")
+    )
+    return rows.join(rules, "source").filter(fits).drop("_domains", "_include", "_exclude")
+
+
 def assign_sources(pages: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
     """All (row, source) pairs whose host and patterns fit; adds source and source_ord.
 

@@ -37,23 +37,25 @@ def classify_changes(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     return match_existing(hashed, corpus).withColumn("change", change).drop("old_hash")
 
 
+def version_order(batch: DataFrame) -> list[str]:
+    """Columns that order the versions of a URL. Source name and content settle ties; versions
+    equal in all of them are the same version, and ``version`` numbers them if present."""
+    order = ["source_ord", "seq", "page_id", "source", "content_hash", "version"]
+    return [name for name in order if name in [*batch.columns, "content_hash"]]
+
+
 def flag_versions(batch: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Fate of every version when the batch is applied in (source_ord, seq) order.
+    """Fate of every version when the batch is applied in ``version_order``; NULLs come first.
 
-    Gives url, source_ord, seq, source, content_hash, old_id and ``change``. A version
+    Gives url, the columns of the order, old_id and ``change``. A version
     counts as changed when its hash differs from the version before it, or from the stored
     one. Only narrow columns are ordered; a URL with very many versions is spread over
     several partitions.
     """
-    versions = batch.select(
-        "url",
-        "source",
-        "source_ord",
-        "seq",
-        content_hash(F.col("content")).alias("content_hash"),
-    )
+    order = version_order(batch)
+    hashed = batch.withColumn("content_hash", content_hash(F.col("content")))
     ordered = global_lag(
-        versions, ["url"], ["source_ord", "seq"], F.col("content_hash"), "before"
+        hashed.select("url", *order), ["url"], order, F.col("content_hash"), "before"
     )
     ordered = match_existing(ordered, corpus)
     before = F.coalesce("before", "old_hash")
@@ -71,23 +73,28 @@ def fold_versions(batch: DataFrame, flagged: DataFrame) -> DataFrame:
     Adds old_id (NULL for a new URL) and the position of its first version, which decides
     the order of new ids.
     """
+    order = version_order(batch)
     changed = flagged.filter(F.col("change") != SKIPPED)
-    place = F.struct("source_ord", "seq")
+    place = F.struct(*order)
     last = changed.groupBy("url").agg(
         F.max(place).alias("last"),
         F.min(place).alias("first"),
         F.max("old_id").alias("old_id"),
     )
     last = last.select(
-        "url",
-        "last.source_ord",
-        "last.seq",
+        F.col("url").alias("_url"),
+        F.col("last").alias("_last"),
         "old_id",
         F.col("first.source_ord").alias("first_ord"),
         F.col("first.seq").alias("first_seq"),
     )
-    rows = batch.join(last, ["url", "source_ord", "seq"])
-    return rows.withColumn("content_hash", content_hash(F.col("content")))
+    # Null-safe, and one row per URL even if versions alike in everything occur twice.
+    rows = batch.withColumn("content_hash", content_hash(F.col("content")))
+    same = F.lit(True)
+    for name in order:
+        same = same & F.col(name).eqNullSafe(F.col(f"_last.{name}"))
+    rows = rows.join(last, (F.col("url") == F.col("_url")) & same).drop("_url", "_last")
+    return rows if "version" in order else rows.dropDuplicates(["url"])
 
 
 def assign_ids(final: DataFrame, max_id: int) -> DataFrame:

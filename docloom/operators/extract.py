@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import markdown
 from docloom.functions.html import drop_boilerplate, link_hrefs, page_title
-from docloom.functions.text import title_or_url
+from docloom.functions.text import normalize_text, title_or_url
 
 # Executors get the helper with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(markdown)
@@ -21,7 +21,7 @@ def main_content(html: Column) -> Column:
         return pd.Series([markdown.to_markdown(page) for page in pages], dtype="object")
 
     # Marked so that a filter on the result is not pushed down as a second conversion.
-    return convert.asNondeterministic()(drop_boilerplate(html))
+    return normalize_text(convert.asNondeterministic()(drop_boilerplate(html)))
 
 
 def keep_nonempty(pages: DataFrame) -> DataFrame:

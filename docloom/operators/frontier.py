@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.urls import normalize_url
-from docloom.operators.assign import assign_sources
+from docloom.operators.assign import keep_own
 from docloom.operators.links import drop_seen, first_captures, page_edges
 from docloom.plans.ordered import global_row_number
 from docloom.plans.scratch import materialize, scratch_path
@@ -50,24 +50,18 @@ def source_budgets(sources: DataFrame, max_pages: int | None = None) -> DataFram
 
 def start_frontier(sources: DataFrame) -> DataFrame:
     starts = sources.select(
-        F.col("name").alias("owner"), F.posexplode("start_urls").alias("pos", "start")
+        F.col("name").alias("source"), F.posexplode("start_urls").alias("pos", "start")
     )
-    starts = starts.select("owner", "pos", normalize_url(F.col("start")).alias("url"))
-    fit = assign_sources(starts.filter("url <> ''"), sources).filter("source = owner")
+    starts = starts.select("source", "pos", normalize_url(F.col("start")).alias("url"))
+    fit = keep_own(starts.filter("url <> ''"), sources)
     return dedupe_first(fit.withColumn("parent_ord", F.lit(0).cast("long")))
 
 
-def scoped_edges(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, src_url, pos, url): links whose target the source allows, once per pair.
-
-    A URL that was captured more than once is read in its first capture. The plain edges are
-    written first, since they are used twice and come from the HTML.
-    """
+def link_table(pages: DataFrame) -> DataFrame:
+    """(src_url, url, pos): every link once per pair, from the first capture of a URL."""
     edges = page_edges(pages).join(first_captures(pages).select("page_id"), "page_id", "left_semi")
     edges = edges.groupBy("src_url", F.col("target_url").alias("url"))
-    edges = materialize(edges.agg(F.min("pos").alias("pos")), "links")
-    allowed = assign_sources(edges.select("url").distinct(), sources).select("source", "url")
-    return edges.join(allowed, "url")
+    return materialize(edges.agg(F.min("pos").alias("pos")), "links")
 
 
 def crawl_frontier(
@@ -76,13 +70,14 @@ def crawl_frontier(
     """(source, url, crawl_ord, depth) in visiting order, independent for each source.
 
     ``pages`` holds the captured pages that have content: only these are expanded, each URL
-    in its first capture. A URL
-    without a page is visited too and uses up budget, as a failed download would. All
-    sources advance together, one level per round. Every level is a written table, so the
-    plan of a round does not grow and lost executors do not repeat earlier rounds.
+    in its first capture. A URL without a page is visited too and uses up budget, as a failed
+    download would. All sources advance together, one level per round: the links of the pages
+    just visited are tested against the rules of the source that visited them, so what a round
+    makes follows the visits and not the number of sources. Every level is a written table, so
+    the plan of a round does not grow and lost executors do not repeat earlier rounds.
     """
     spark = pages.sparkSession
-    edges = materialize(scoped_edges(pages, sources), "edges")
+    links = link_table(pages)
     budgets = materialize(source_budgets(sources, max_pages), "budgets")
     folder = scratch_path(spark, "visited")
 
@@ -100,11 +95,12 @@ def crawl_frontier(
         frontier = visited().filter(F.col("depth") == level)
         if frontier.isEmpty():
             return visited()
-        done = visited().select("source", "url")
         found = frontier.select(
             "source", F.col("url").alias("src_url"), F.col("crawl_ord").alias("parent_ord")
-        ).join(edges, ["source", "src_url"])
-        found = drop_seen(dedupe_first(found), done, ["source", "url"])
-        used = visited().groupBy("source").agg(F.count("*").alias("used"))
+        ).join(links, "src_url")
+        found = keep_own(dedupe_first(found), sources)
+        found = drop_seen(found, visited().select("source", "url"), ["source", "url"])
+        # Only a source that visited something at this level can go on from it.
+        used = frontier.groupBy("source").agg(F.max("crawl_ord").alias("used"))
         level += 1
         write(level, found, used)

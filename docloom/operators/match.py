@@ -22,7 +22,7 @@ from docloom.functions.let import let
 from docloom.functions.text import tokenize
 from docloom.operators.index import Index, bucket_of
 from docloom.plans.scratch import materialize
-from docloom.plans.spread import local_table
+from docloom.plans.local import local_table
 from docloom.schemas import CLAUSE, INDEXED, QUERIES
 
 # More distinct terms than this are joined instead of being pushed into the scan.

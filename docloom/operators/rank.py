@@ -72,11 +72,15 @@ def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     """Best ``k`` rows per query with their rank; 0 gives none, a negative ``k`` all.
 
-    The rank limit is pushed below the shuffle, so at most k rows per query leave a task.
+    Spark pushes a small rank limit below the shuffle, so at most k rows per query leave a
+    task. For a ``k`` beyond what it pushes, ranks are counted over range partitions, so that
+    one query's scores need not fit into one task.
     """
     ranked = scored.withColumn("_tie", F.round("score", TIE_DIGITS))
-    if k < 0:
+    pushed = int(scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if not 0 <= k <= pushed:
         ranked = global_row_number(ranked, ["query_id"], ["_tie", "doc_id"], "rank")
+        ranked = ranked.filter(F.col("rank") <= k) if k >= 0 else ranked
     else:
         best = Window.partitionBy("query_id").orderBy("_tie", "doc_id")
         ranked = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from docloom.operators.index import Index
 from docloom.operators.match import Batch, parse, text_queries
 from docloom.operators.rank import bm25, top_k
 from docloom.operators.snippet import with_snippet
-from docloom.plans.spread import local_table
+from docloom.plans.local import local_table
 from docloom.schemas import STR
 
 # Result rows up to this number may pass through the driver to prune the corpus scan.

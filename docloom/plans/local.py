@@ -1,4 +1,4 @@
-"""Small helpers about the size of inputs."""
+"""Tables given on the driver."""
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -6,12 +6,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition only a scan that has fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
     """Rows given on the driver, as a relation whose size the optimizer knows.
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.urls import normalize_url
-from docloom.operators.assign import assign_sources
+from docloom.operators.assign import assign_sources, source_order
 from docloom.operators.corpus import (
     changed_rows,
     flag_versions,
@@ -17,6 +17,7 @@ from docloom.operators.index import Index, merge_index, write_index
 from docloom.operators.links import first_captures
 from docloom.plans.scratch import exists, materialize
 from docloom.schemas import EXTRACTED
+from docloom.sources.pages import admit_fetch
 from docloom.sources.tables import read_corpus, update_corpus
 
 
@@ -24,9 +25,11 @@ def extract_batch(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """``EXTRACTED`` rows: every page once per source that covers it.
 
     A page is converted once, however many sources cover it, and not at all when none does.
-    Versions of a URL are ordered by capture time if the table has it, else by page id.
+    Versions of a URL are ordered by capture time, where the table has it, and by page id.
+    Failed captures are left out before anything else.
     """
-    seq = F.col("page_id")
+    pages = admit_fetch(pages)
+    seq = F.lit(0).cast("long")
     if "fetched_at" in pages.columns:
         seq = F.unix_micros("fetched_at")
     else:
@@ -43,6 +46,7 @@ def crawl_batch(pages: DataFrame, sources: DataFrame, max_pages: int | None = No
 
     A URL is visited once, so only its first capture counts.
     """
+    pages = admit_fetch(pages)
     if "fetched_at" not in pages.columns:
         pages = pages.withColumn("fetched_at", F.current_timestamp())
     pages = pages.withColumn("url", normalize_url(F.col("url")))
@@ -51,7 +55,7 @@ def crawl_batch(pages: DataFrame, sources: DataFrame, max_pages: int | None = No
     extracted = materialize(extract_pages(pages), "extracted")
     full = pages.join(extracted.select("page_id"), "page_id", "left_semi")
     visits = crawl_frontier(full, sources, max_pages)
-    order = sources.select(F.col("name").alias("source"), "source_ord")
+    order = sources.select(F.col("name").alias("source"), source_order(sources).alias("source_ord"))
     rows = visits.withColumnRenamed("crawl_ord", "seq").join(order, "source")
     return rows.join(extracted, "url").select(*EXTRACTED.names)
 
@@ -60,7 +64,7 @@ def drop_stale(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     """Leave out versions captured before the stored one."""
     stored = corpus.select("url", F.col("fetched_at").alias("stored_at"))
     stored = only_keys_of(stored, batch, "url")
-    late = F.col("stored_at").isNotNull() & (F.col("fetched_at") < F.col("stored_at"))
+    late = F.coalesce(F.col("fetched_at") < F.col("stored_at"), F.lit(False))
     return batch.join(stored, "url", "left").filter(~late).drop("stored_at")
 
 
@@ -72,7 +76,8 @@ def apply_batch(
     The index goes first. If the run dies in between, the pages still count as changed in
     the next run, whose segment retires that of the failed one.
     """
-    batch = materialize(batch, "batch")
+    # The number is written with the rows, so it names one version in all that follows.
+    batch = materialize(batch.withColumn("version", F.monotonically_increasing_id()), "batch")
     corpus = read_corpus(spark, corpus_path)
     flagged = materialize(flag_versions(batch, corpus), "flagged")
     changed = materialize(changed_rows(batch, flagged, corpus), "changed")

@@ -1,26 +1,16 @@
 """Intermediate tables in the shared folder that the cluster names."""
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@lru_cache(maxsize=None)
-def _local_folder(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="docloom-")
-
-
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    """The folder in ``spark.checkpoint.dir``, which every executor must be able to reach."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_folder(context.applicationId)
+    return shared.rstrip("/")
 
 
 def _session_folder(spark: SparkSession) -> str:

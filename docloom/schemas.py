@@ -11,6 +11,9 @@ def _struct(**fields):
 
 PAGES = _struct(page_id=LONG, url=STR, html=STR)
 
+# What a capture may also record.
+CAPTURE = _struct(fetched_at=T.TimestampType(), status=INT, content_type=STR)
+
 SOURCES = _struct(
     name=STR,
     start_urls=T.ArrayType(STR),
@@ -28,6 +31,7 @@ EXTRACTED = _struct(
     source=STR,
     source_ord=INT,
     seq=LONG,
+    page_id=LONG,
     title=STR,
     content=STR,
     fetched_at=T.TimestampType(),

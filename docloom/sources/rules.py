@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.urls import SEED_EXCLUDES, authority, package_include_pattern
+from docloom.operators.assign import source_order
 from docloom.schemas import SEEDS, SOURCES
 
 # Page budgets where none is given.
@@ -11,7 +12,7 @@ SOURCE_PAGES, SEED_PAGES = 5000, 1000
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list of sources; ``source_ord`` is their order and must be in the file."""
+    """JSON list of sources; ``source_ord`` is their order, equal where the file has none."""
     return source_rules(spark.read.schema(SOURCES).json(path, multiLine=True))
 
 
@@ -25,7 +26,7 @@ def source_rules(sources: DataFrame) -> DataFrame:
         F.coalesce("include_patterns", none).alias("include_patterns"),
         F.coalesce("exclude_patterns", none).alias("exclude_patterns"),
         F.coalesce("max_pages", F.lit(SOURCE_PAGES)).alias("max_pages"),
-        "source_ord",
+        source_order(sources).alias("source_ord"),
     )
 
 
@@ -43,4 +44,5 @@ def seed_rules(seeds: DataFrame, repair: bool = False) -> DataFrame:
         F.array(package_include_pattern(F.col("doc_url"), kind, repair)).alias("include_patterns"),
         F.array(*[F.lit(p) for p in SEED_EXCLUDES]).alias("exclude_patterns"),
         F.coalesce("max_pages", F.lit(SEED_PAGES)).alias("max_pages"),
+        F.lit(0).alias("source_ord"),
     )

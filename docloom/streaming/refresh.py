@@ -5,15 +5,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docloom.plans.refresh import apply_batch, drop_stale, extract_batch
 from docloom.plans.scratch import materialize
-from docloom.plans.spread import spread
 from docloom.schemas import PAGES
 from docloom.sources.tables import read_corpus
 
 
-def page_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files: int = 1000):
-    """Page files of a folder as a stream, a bounded number of files per micro-batch."""
+def page_stream(
+    spark: SparkSession, path: str, glob: str = "*.parquet", files: int = 1000, schema=PAGES
+):
+    """Page files of a folder as a stream, a bounded number of files per micro-batch.
+
+    ``schema`` may add the columns of ``CAPTURE`` that the files have.
+    """
     return (
-        spark.readStream.schema(PAGES)
+        spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files)
         .parquet(path)
@@ -31,7 +35,7 @@ def stream_refresh(
 
     def merge(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        extracted = materialize(extract_batch(spread(batch), sources), "extracted")
+        extracted = materialize(extract_batch(batch, sources), "extracted")
         fresh = drop_stale(extracted, read_corpus(session, corpus_path))
         apply_batch(session, fresh, sources, corpus_path, index_path)
 

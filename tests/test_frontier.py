@@ -1,11 +1,9 @@
-from collections import deque
-
 from pyspark.sql import functions as F
 
 from docloom.operators.assign import assign_sources
 from docloom.operators.frontier import crawl_frontier
 from docloom.operators.links import pending_links
-from docloom.plans.spread import local_table
+from docloom.plans.local import local_table
 from docloom.schemas import SOURCES
 from docloom.sources.rules import read_seeds, read_sources, seed_rules, source_rules
 
@@ -45,45 +43,28 @@ def sources(spark):
     return source_rules(local_table(spark, made, SOURCES))
 
 
-def plain_crawl(source, limit=None):
-    """One source, one queue."""
-    import re
-    from urllib.parse import urljoin, urlparse, urlunparse
-
-    def norm(url):
-        parsed = urlparse(url)
-        if parsed.scheme not in ("http", "https"):
-            return ""
-        return urlunparse(parsed._replace(fragment=""))
-
-    def fits(url):
-        host = urlparse(url).netloc.lower()
-        if not any(host == d or host.endswith("." + d) for d in source.allowed_domains):
-            return False
-        if source.include_patterns and not any(re.search(p, url) for p in source.include_patterns):
-            return False
-        return not any(re.search(p, url) for p in source.exclude_patterns)
-
-    site = {"http://h.org" + p: links for p, links in SITE.items() if p != "/empty"}
-    site["http://sub.h.org/s"] = ["http://h.org/g"]
-    seen, queue = [], deque(source.start_urls)
-    while queue and len(seen) < (limit or source.max_pages):
-        url = norm(queue.popleft())
-        if not url or url in seen or not fits(url):
-            continue
-        seen.append(url)
-        queue.extend(t for t in (norm(urljoin(url, h)) for h in site.get(url, [])) if t)
-    return seen
-
-
-def test_crawl_equals_queue(spark):
+HOME = "http://h.org"
+SITE_VISITS = [HOME + p for p in ("/", "/g", "/a", "/b?x=1", "/missing", "/c", "/d/e", "/f")]
+SITE_VISITS += ["http://sub.h.org/s"]
+SITE_VISITS += [HOME + p for p in ("/d/g", "/d/h", "/empty", "/deep/1", "/deep/2", "/deep/3")]
+SMALL_VISITS = [HOME + p for p in ("/", "/a", "/b?x=1", "/missing", "/c")]
+VISITS = {
+    "site": SITE_VISITS,
+    "part": [HOME + p for p in ("/d/e", "/d/g", "/d/h")],
+    "small": SMALL_VISITS[:4],
+    "none": [],
+}
+
+
+def test_crawl_visits_in_queue_order(spark):
     rules = sources(spark)
     full = pages(spark).filter("html <> ''")
-    for limit in (None, 5, 0):
+    limited = VISITS | {"site": SITE_VISITS[:5], "small": SMALL_VISITS}
+    for limit, want in ((None, VISITS), (5, limited), (0, VISITS)):
         visits = crawl_frontier(full, rules, limit).collect()
-        for source in rules.collect():
-            own = sorted((v for v in visits if v.source == source.name), key=lambda v: v.crawl_ord)
-            assert [v.url for v in own] == plain_crawl(source, limit), (source.name, limit)
+        for name, urls in want.items():
+            own = sorted((v for v in visits if v.source == name), key=lambda v: v.crawl_ord)
+            assert [v.url for v in own] == urls, (name, limit)
             assert [v.crawl_ord for v in own] == list(range(1, len(own) + 1))
 
 

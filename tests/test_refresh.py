@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from docloom.operators.index import read_index
 from docloom.operators.search import search
 from docloom.plans.refresh import rebuild_index, refresh
-from docloom.plans.spread import local_table
+from docloom.plans.local import local_table
 from docloom.schemas import PAGES, SOURCES
 from docloom.sources.tables import read_corpus, write_results
 from docloom.streaming.refresh import page_stream, stream_refresh
