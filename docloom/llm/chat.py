@@ -133,15 +133,17 @@ def repair(
     ``role`` is the repaired one; the fragments of a conversation, in order of ``position``
     (from 0 in every conversation), join to the rendered chat. Roles are compared without
     case and outer space; null and other roles are renamed at a lower cost. Turns follow
-    each other by turn number, role and text, nulls first, so repeated rows stay and are
-    merged like any two turns of one role. Null conversation ids make one conversation; null
+    each other by turn number, role and a hash of the text, nulls first, so repeated rows
+    stay and are merged like any two turns of one role. Null conversation ids make one conversation; null
     texts are empty. Other columns are not read.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
     )
-    placed = place(rows, ["conv_id"], ["turn", "role", "text"])
+    # The keys that place a row are sampled to the driver, so they hold no text.
+    rows = rows.withColumn("_text", F.xxhash64("text"))
+    placed = place(rows, ["conv_id"], ["turn", "role", "_text"])
     sizes = placed.groupBy("conv_id", "_part").agg(
         F.count("*").alias("_size"), F.min("_row").alias("_low")
     )

@@ -17,7 +17,7 @@ from docloom.plans.scratch import materialize
 
 KMER = 8
 LENGTH = 2
-HASHES = 16
+HASHES = 32
 #: Positions hashed at a time, so that an order's values stay in the processor's cache.
 BLOCK = 1 << 12
 ORDERS = seeds(HASHES, 6)
@@ -132,18 +132,19 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of the next document's, and how near they are.
 
     The next document is the one with the next smaller id; the one after the last is the
-    first. Equal ids are ordered by text, null ids come last; a document that is alone is its
-    own next. The rows are range-partitioned by id once; a document and its next meet inside
+    first. Equal ids are ordered by a hash of the text and the text, null ids come last; a
+    document that is alone is its own next. The rows are range-partitioned by id once; a document and its next meet inside
     a partition, and the few at the borders of partitions are joined by partition number.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
+    # The keys that place a row are sampled to the driver, so they hold no text.
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
     placed = (
         rows.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions(*order, F.col("text").asc())
         .withColumn("part", F.spark_partition_id())
     )
 
