@@ -261,6 +261,12 @@ FROM (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS scheme,
     "host_allowed": f"""SELECT page_id, {below("example.org")} OR {below("m.example.net")} AS allowed
 FROM (SELECT page_id, {HOST} AS host FROM pages)""",
     "assign_sources": f"WITH {assigned('pages', 'page_id, url')} SELECT page_id, source FROM pairs",
+    "assign_seeds": """WITH hosts AS (
+  SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS source FROM pages)
+SELECT page_id, source FROM pages JOIN hosts ON starts_with(url, 'https://' || source || '/en/')""",
+    "unescape": """SELECT page_id, chr((page_id + 161)::INT) || chr((page_id + 161)::INT) || '&'
+  || chr((page_id + 161)::INT) || CASE WHEN page_id + 161 > 65535 THEN '' ELSE chr(65533) END
+  || '©' || ' &bogus;' || chr(65533) || '€' AS text FROM pages""",
     "admit_fetch": "SELECT page_id FROM pages WHERE html LIKE '%</html>' AND url NOT LIKE '%?%'",
     "page_title": f"SELECT page_id, {TITLE} AS title FROM pages",
     "title_or_url": f"SELECT page_id, CASE WHEN url LIKE 'https%' OR {TITLE} = '' THEN url "
@@ -375,5 +381,14 @@ firsts AS (
 SELECT names.source, count(url) AS processed, count(*) FILTER (nth = 1) AS updated,
        count(*) FILTER (nth > 1) AS skipped
 FROM {RULE_NAMES} LEFT JOIN firsts USING (source) GROUP BY names.source""",
+    "refresh_captures": f"""WITH {REFRESHED}
+SELECT DISTINCT url, 'captured again' AS title, 1 AS rows, 1 AS ids FROM pairs""",
+    "refresh_admitted": f"""WITH {REFRESHED}
+SELECT DISTINCT p.url FROM pairs p JOIN pages q USING (page_id)
+WHERE q.html LIKE '%</html>' AND q.url NOT LIKE '%?%'""",
+    "refresh_crawl": f"""SELECT url, title FROM (
+  SELECT {NORMAL} AS url, CASE WHEN {TITLE} = '' THEN {NORMAL} ELSE {TITLE} END AS title,
+         row_number() OVER (PARTITION BY {NORMAL} ORDER BY page_id) AS nth FROM pages)
+WHERE nth = 1""",
     "stream_refresh": STORED,
 }

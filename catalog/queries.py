@@ -157,6 +157,29 @@ def assign_sources(spark, folder):
     return assign.assign_sources(pages, _sources(spark)).select("page_id", "source")
 
 
+def assign_seeds(spark, folder):
+    """Rules made from seeds, one for each host, are assigned like any others."""
+    hosts = _pages(spark, folder).select(U.authority(F.col("url")).alias("name")).distinct()
+    seeds = hosts.select(
+        "name",
+        F.concat(F.lit("https://"), "name", F.lit("/en/")).alias("doc_url"),
+        F.lit("auto").alias("doc_type"),
+        F.lit(None).cast("int").alias("max_pages"),
+    )
+    pages = _pages(spark, folder).select("page_id", "url")
+    return assign.assign_sources(pages, rules.seed_rules(seeds)).select("page_id", "source")
+
+
+def unescape(spark, folder):
+    """References made from page ids: decimal, hexadecimal, padded, out of range, named."""
+    code = F.col("page_id") + 161
+    text = F.concat(
+        F.lit("&#"), code, F.lit(";&#x"), F.hex(code), F.lit("&amp;&#0000"), code,
+        F.lit(";&#x11"), F.lpad(F.hex(code), 4, "0"), F.lit(";&copy &bogus;&#55296;&#128;"),
+    )
+    return _pages(spark, folder).select("page_id", H.unescape(text).alias("text"))
+
+
 def admit_fetch(spark, folder):
     """Fetch log columns derived from the pages: cut-off pages as partial content."""
     whole = F.col("html").endswith("</html>")
@@ -513,10 +536,9 @@ def dedupe_first(spark, folder):
     return frontier.dedupe_first(found)
 
 
-def crawl_frontier(spark, folder):
+def _page_sources(pages):
     """One source per page: the page, then its links within a budget of four."""
-    pages = _pages(spark, folder)
-    sources = pages.select(
+    return pages.select(
         F.concat(F.lit("p"), F.col("page_id")).alias("name"),
         F.array("url").alias("start_urls"),
         F.array(U.authority(F.col("url"))).alias("allowed_domains"),
@@ -525,7 +547,11 @@ def crawl_frontier(spark, folder):
         F.lit(4).alias("max_pages"),
         F.col("page_id").cast("int").alias("source_ord"),
     )
-    return frontier.crawl_frontier(pages, sources)
+
+
+def crawl_frontier(spark, folder):
+    pages = _pages(spark, folder)
+    return frontier.crawl_frontier(pages, _page_sources(pages))
 
 
 # Composed jobs
@@ -548,6 +574,46 @@ def refresh_summary(spark, folder):
     return R.refresh(_pages(spark, folder), _sources(spark), corpus_path, index_path)
 
 
+def refresh_captures(spark, folder):
+    """Every page captured twice at one time, the second time with other content."""
+    pages = _pages(spark, folder)
+    again = F.regexp_replace("html", "(?s)<title>.*?</title>", "<title>captured again</title>")
+    again = F.regexp_replace(again, "<article>", "<article><p>once more</p>")
+    second = pages.select((F.col("page_id") + 1_000_000).alias("page_id"), "url", again.alias("html"))
+    both = pages.unionByName(second).withColumn("fetched_at", F.timestamp_seconds(F.lit(0)))
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    R.refresh(both, _sources(spark), corpus_path, index_path)
+    stored = tables.read_corpus(spark, corpus_path)
+    return stored.groupBy("url").agg(
+        F.max("title").alias("title"),
+        F.count("*").alias("rows"),
+        F.count_distinct("doc_id").alias("ids"),
+    )
+
+
+def refresh_admitted(spark, folder):
+    """Failed and non-HTML captures are left out before extraction."""
+    pages = _pages(spark, folder).withColumns(
+        {
+            "status": F.when(F.col("html").endswith("</html>"), 200).otherwise(206),
+            "content_type": F.when(F.col("url").contains("?"), "application/pdf").otherwise(
+                "text/html; charset=utf-8"
+            ),
+        }
+    )
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    R.refresh(pages, _sources(spark), corpus_path, index_path)
+    return tables.read_corpus(spark, corpus_path).select("url")
+
+
+def refresh_crawl(spark, folder):
+    """One source per page, followed by links; only captured pages have content."""
+    pages = _pages(spark, folder)
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    R.refresh(pages, _page_sources(pages), corpus_path, index_path, crawl=True)
+    return tables.read_corpus(spark, corpus_path).select("url", "title")
+
+
 def stream_refresh(spark, folder):
     """The page table as a file stream."""
     corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")

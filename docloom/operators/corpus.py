@@ -87,6 +87,7 @@ def fold_versions(batch: DataFrame, flagged: DataFrame) -> DataFrame:
         "old_id",
         F.col("first.source_ord").alias("first_ord"),
         F.col("first.seq").alias("first_seq"),
+        (F.col("first.page_id") if "page_id" in order else F.lit(None).cast("long")).alias("first_page"),
     )
     # Null-safe, and one row per URL even if versions alike in everything occur twice.
     rows = batch.withColumn("content_hash", content_hash(F.col("content")))
@@ -99,13 +100,13 @@ def fold_versions(batch: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def assign_ids(final: DataFrame, max_id: int) -> DataFrame:
     """Keep stored ids; new URLs get max_id+1, +2, ... in order of first insertion."""
-    fresh = final.filter(F.col("old_id").isNull()).select("url", "first_ord", "first_seq")
-    numbered = global_row_number(fresh, [], ["first_ord", "first_seq", "url"], "nth")
+    fresh = final.filter(F.col("old_id").isNull()).select("url", "first_ord", "first_seq", "first_page")
+    numbered = global_row_number(fresh, [], ["first_ord", "first_seq", "first_page", "url"], "nth")
     ids = numbered.select("url", (F.col("nth") + F.lit(max_id)).cast("long").alias("new_id"))
     return (
         final.join(ids, "url", "left")
         .withColumn("doc_id", F.coalesce("old_id", "new_id"))
-        .drop("new_id", "first_ord", "first_seq")
+        .drop("new_id", "first_ord", "first_seq", "first_page")
     )
 
 
@@ -113,9 +114,11 @@ def max_doc_id(corpus: DataFrame) -> int:
     return corpus.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first().m
 
 
-def changed_rows(batch: DataFrame, flagged: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Corpus rows to insert or replace."""
-    rows = assign_ids(fold_versions(batch, flagged), max_doc_id(corpus))
+def changed_rows(
+    batch: DataFrame, flagged: DataFrame, corpus: DataFrame, used_id: int = 0
+) -> DataFrame:
+    """Corpus rows to insert or replace; new ids are above all stored ones and ``used_id``."""
+    rows = assign_ids(fold_versions(batch, flagged), max(used_id, max_doc_id(corpus)))
     return rows.select(*corpus.columns)
 
 

@@ -9,11 +9,12 @@ from docloom.operators.corpus import (
     changed_rows,
     flag_versions,
     index_summary,
+    max_doc_id,
     only_keys_of,
 )
 from docloom.operators.extract import extract_pages
 from docloom.operators.frontier import crawl_frontier
-from docloom.operators.index import Index, merge_index, write_index
+from docloom.operators.index import Index, merge_index, read_index, write_index
 from docloom.operators.links import first_captures
 from docloom.plans.scratch import exists, materialize
 from docloom.schemas import EXTRACTED
@@ -74,14 +75,16 @@ def apply_batch(
     """Merge extracted pages into corpus and index and return the summary per source.
 
     The index goes first. If the run dies in between, the pages still count as changed in
-    the next run, whose segment retires that of the failed one.
+    the next run, which gives them ids above those that the index has seen.
     """
     # The number is written with the rows, so it names one version in all that follows.
     batch = materialize(batch.withColumn("version", F.monotonically_increasing_id()), "batch")
     corpus = read_corpus(spark, corpus_path)
     flagged = materialize(flag_versions(batch, corpus), "flagged")
-    changed = materialize(changed_rows(batch, flagged, corpus), "changed")
-    if exists(spark, f"{index_path}/stats"):
+    indexed = exists(spark, f"{index_path}/stats")
+    used = max_doc_id(read_index(spark, index_path).doc_len) if indexed else 0
+    changed = materialize(changed_rows(batch, flagged, corpus, used), "changed")
+    if indexed:
         if not changed.isEmpty():
             merge_index(spark, index_path, changed)
     else:

@@ -1,4 +1,10 @@
-"""The stored corpus and result files."""
+"""The stored corpus and result files.
+
+A corpus only grows: every update appends a segment with its own rows and the URLs whose older
+rows they replace. A small marker, written last, makes the segment visible, so a reader never
+sees half an update, a driver lost in between leaves the corpus as it was, and repeating the
+update overwrites only what was not visible. ``compact_corpus`` leaves replaced rows behind.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,62 +13,83 @@ from pyspark.sql import types as T
 from docloom.plans.scratch import exists
 from docloom.schemas import CORPUS
 
-# The corpus is laid out by URL hash, so that a merge rewrites only the parts it touches.
-# Large corpora want thousands of buckets; the number is kept beside the data.
+# Rows are laid out by URL hash within a segment. Large corpora want thousands of buckets; the
+# number is kept with every segment.
 BUCKETS = 16
 
-_STORED = T.StructType([*CORPUS.fields, T.StructField("bucket", T.IntegerType())])
+_INT = T.IntegerType()
+_STORED = T.StructType(
+    [*CORPUS.fields, T.StructField("segment", _INT), T.StructField("bucket", _INT)]
+)
+_REPLACED = "url string, segment int"
+_MARKER = "buckets int, segment int"
 
 
-def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+def _last_segment(spark: SparkSession, path: str):
+    """(segment, buckets) of the newest visible segment, or None."""
+    if not exists(spark, f"{path}/segments"):
+        return None
+    found = spark.read.schema(_MARKER).json(f"{path}/segments")
+    return found.orderBy(F.desc("segment")).select("segment", "buckets").first()
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
+    """Current rows. Those that a later segment replaces are left out by a join with the
+    replaced URLs, a narrow table of updates only."""
+    last = _last_segment(spark, path)
+    if last is None:
         return spark.createDataFrame([], CORPUS)
-    return spark.read.schema(_STORED).parquet(path).drop("bucket")
-
-
-def _write(rows: DataFrame, path: str, **options) -> None:
-    """Files sorted by id, with a Bloom filter for point reads by URL."""
+    rows = spark.read.schema(_STORED).parquet(f"{path}/rows").filter(F.col("segment") <= last.segment)
+    if last.segment:
+        newer = spark.read.schema(_REPLACED).parquet(f"{path}/replaced")
+        newer = newer.filter(F.col("segment") <= last.segment)
+        newer = newer.groupBy("url").agg(F.max("segment").alias("_newest"))
+        current = F.col("_newest").isNull() | (F.col("segment") >= F.col("_newest"))
+        rows = rows.join(newer, "url", "left").filter(current)
+    return rows.select(*CORPUS.names)
+
+
+def _append(rows: DataFrame, path: str, segment: int, buckets: int) -> None:
+    """Files sorted by id, with a Bloom filter for point reads by URL; the marker comes last."""
+    spark = rows.sparkSession
+    rows = rows.select(*CORPUS.names)
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
     (
-        rows.hint("rebalance", "bucket")
+        placed.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "doc_id")
         .write.partitionBy("bucket")
-        .options(**options)
         .option("parquet.bloom.filter.enabled#url", "true")
         .mode("overwrite")
-        .parquet(path)
+        .parquet(f"{path}/rows/segment={segment}")
     )
+    if segment:
+        rows.select("url").write.mode("overwrite").parquet(f"{path}/replaced/segment={segment}")
+    marker = spark.range(1).select(F.lit(buckets).alias("buckets"))
+    marker.coalesce(1).write.mode("overwrite").json(f"{path}/segments/segment={segment}")
 
 
 def write_corpus(corpus: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """First write into an empty folder."""
-    spark = corpus.sparkSession
-    if exists(spark, path):
+    """First segment of a new corpus."""
+    if _last_segment(corpus.sparkSession, path) is not None:
         raise FileExistsError(f"{path} already holds a corpus; use update_corpus")
-    _write(_bucketed(corpus, buckets), path)
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.json(f"{path}/_layout")
+    _append(corpus, path, 0, buckets)
 
 
 def update_corpus(changed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace or add rows by URL; only the buckets that hold such a URL are rewritten.
-
-    ``changed`` must not read from ``path``. The operation can be repeated after a failure.
-    """
-    spark = changed.sparkSession
-    if not exists(spark, path):
+    """Replace or add rows by URL, writing only these rows. An empty update writes nothing."""
+    last = _last_segment(changed.sparkSession, path)
+    if last is None:
         write_corpus(changed, path, buckets)
-        return
-    layout = spark.read.schema("buckets int").json(f"{path}/_layout").first()
-    changed = _bucketed(changed, layout.buckets)
-    touched = [row.bucket for row in changed.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    stored = spark.read.schema(_STORED).parquet(path).filter(F.col("bucket").isin(touched))
-    kept = stored.join(changed.select("url"), "url", "left_anti").select(*changed.columns)
-    _write(kept.unionByName(changed), path, partitionOverwriteMode="dynamic")
+    elif not changed.isEmpty():
+        _append(changed, path, last.segment + 1, last.buckets)
+
+
+def compact_corpus(spark: SparkSession, path: str, target: str, buckets: int | None = None) -> None:
+    """Write the current rows as the only segment of a new corpus in ``target``."""
+    last = _last_segment(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"{path} holds no corpus")
+    write_corpus(read_corpus(spark, path), target, buckets or last.buckets)
 
 
 def results_json(results: DataFrame) -> DataFrame:

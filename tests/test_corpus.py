@@ -80,7 +80,7 @@ def test_row_number_and_lag_over_a_group_of_many_partitions(spark):
     assert whole.filter(F.col("n") != F.col("o") + 1).count() == 0
 
 
-def test_stored_corpus_is_updated_in_place(spark, folder):
+def test_stored_corpus_grows_by_segments(spark, folder):
     path = folder + "/corpus"
     rows = spark.range(1, 40).select(
         F.col("id").alias("doc_id"),
@@ -102,6 +102,16 @@ def test_stored_corpus_is_updated_in_place(spark, folder):
         stored = tables.read_corpus(spark, path)
         assert stored.count() == 40
         assert {r.doc_id for r in stored.filter("content = 'new'").collect()} == {3, 39}
+    # An update holds its own rows only, and one that broke off before its marker is not seen.
+    assert spark.read.parquet(path + "/rows/segment=1").count() == 3
+    lost = rows.withColumn("content", F.lit("lost")).withColumn("bucket", F.lit(0))
+    lost.write.partitionBy("bucket").parquet(path + "/rows/segment=3")
+    rows.select("url").write.parquet(path + "/replaced/segment=3")
+    assert tables.read_corpus(spark, path).filter("content = 'lost'").count() == 0
+    tables.update_corpus(change, path)
+    tables.compact_corpus(spark, path, folder + "/compact")
+    stored = tables.read_corpus(spark, folder + "/compact")
+    assert stored.count() == 40 and stored.filter("content = 'new'").count() == 2
     assert C.get_document(stored, doc_id=3, url="u1").first().content == "new"
     assert C.get_document(stored, url="x").first().doc_id == 40
     assert C.get_document(stored, doc_id=999).first() is None

@@ -4,7 +4,8 @@ from docloom.operators.index import read_index
 from docloom.operators.search import search
 from docloom.plans.refresh import rebuild_index, refresh
 from docloom.plans.local import local_table
-from docloom.schemas import PAGES, SOURCES
+from docloom.schemas import PAGES, SEEDS, SOURCES
+from docloom.sources.rules import seed_rules
 from docloom.sources.tables import read_corpus, write_results
 from docloom.streaming.refresh import page_stream, stream_refresh
 
@@ -88,6 +89,37 @@ def test_late_captures_do_not_replace_newer_ones(spark, folder):
     assert any("two new" in c for c in contents) and not any("two old" in c for c in contents)
 
 
+def test_captures_with_equal_or_no_time_keep_one_row_per_url(spark, folder):
+    same = pages(spark).unionByName(
+        pages(spark, "again").withColumn("url", F.concat("url", F.lit("#top"))).withColumn(
+            "page_id", F.col("page_id") + 10
+        )
+    )
+    for k, day in enumerate(("2024-01-01", None)):
+        captured = same.withColumn("fetched_at", F.lit(day).cast("timestamp"))
+        # Rules without an order are as good as others.
+        rules = sources(spark).drop("source_ord") if k else sources(spark)
+        counts = refresh(captured, rules, f"{folder}/c{k}", f"{folder}/i{k}").collect()
+        assert sum(r.processed for r in counts) == 10
+        stored = read_corpus(spark, f"{folder}/c{k}").collect()
+        assert sorted(r.url for r in stored) == [f"http://h.org/{p}" for p in ("1", "p/2", "p/3")]
+        assert len({r.doc_id for r in stored}) == 3
+        assert any("two again" in r.content for r in stored)
+
+
+def test_seeds_feed_a_refresh(spark, folder):
+    seeds = spark.createDataFrame([("s", "https://h.org/", None, None)], SEEDS)
+    secure = pages(spark).withColumn("url", F.replace("url", F.lit("http:"), F.lit("https:")))
+    refresh(secure, seed_rules(seeds), folder + "/c", folder + "/i")
+    assert read_corpus(spark, folder + "/c").count() == 3
+
+
+def test_new_ids_pass_those_of_an_index_whose_corpus_write_was_lost(spark, folder):
+    refresh(pages(spark), sources(spark), folder + "/lost", folder + "/index")
+    refresh(pages(spark), sources(spark), folder + "/corpus", folder + "/index")
+    assert read_corpus(spark, folder + "/corpus").agg(F.min("doc_id")).first()[0] == 4
+
+
 def test_results_sink(spark, folder):
     write_results(spark.range(3).withColumn("x", F.lit("é")), folder + "/out")
     assert spark.read.text(folder + "/out").count() == 3
