@@ -1,6 +1,26 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE = {
+    # The pages of the tables keep their main text in one article of h1 and p elements.
+    "op3_html_extraction": r"""
+        WITH articles AS (
+            SELECT page_id, url,
+                   regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1) AS body
+            FROM pages
+        ), blocks AS (
+            SELECT page_id, url, list_transform(
+                regexp_split_to_array(body, '</?(?:h1|p)>'),
+                lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                    b, '<br>', ' ', 'g'), '<[^>]*(?:>|\z)', '', 'g'), '&quot;?', '"', 'g'), '\s+', ' ', 'g'))
+            ) AS b
+            FROM articles
+        ), texts AS (
+            SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(
+                b, lambda x: regexp_replace(x, '&amp;?', '&', 'g')), lambda x: x <> ''), chr(10)), '') AS text
+            FROM blocks
+        )
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+    """,
     "op7_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(
