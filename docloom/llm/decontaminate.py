@@ -5,7 +5,7 @@ with document frequencies over the whole corpus, gives a latent space. Every win
 document is projected into it, and windows with a high cosine to a passage are candidates.
 A candidate counts as a leak when the longest common subsequence of words covers enough of
 the passage and the words of its answer part occur in order as
-well, so that paraphrases with changed, added or dropped words are found. A task holds the model, whose size is fixed by ``DIMENSIONS`` and ``BLOCK``, and
+well, so that paraphrases with changed, added or dropped words are found. A task holds the model, whose size is set by the benchmark's words and ``BLOCK``, and
 the documents of one small batch.
 """
 
@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 from docloom.llm.common import U, slices, utf8
 from docloom.llm.shingles import word_hashes
 
-#: Words are hashed to so many dimensions.
-DIMENSIONS = 1 << 14
+#: Words are hashed to so many places; those of benchmark words are the dimensions.
+PLACES = 1 << 20
 #: Latent dimensions, extra ones for the randomised range finder, and its power iterations.
-RANK = 96
+RANK = 160
 EXTRA = 16
 POWER = 2
 #: Words in a window of a document or a benchmark passage, and between their starts.
 WINDOW = 64
-STEP = 32
+STEP = WINDOW // 2
 #: Cosine in the latent space that makes a candidate.
-COSINE = 0.45
+COSINE = 0.5
+#: Share of a passage's own length in the latent space that the window must reach along it.
+REACH = 0.4
 #: Share of a passage's words in the common subsequence, and of its answer's words.
 SEQUENCE = 0.6
 ANSWER = 0.5
@@ -42,11 +44,13 @@ PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c
 
 
 def words(text: bytes) -> np.ndarray:
-    return word_hashes(text.translate(PLAIN))
+    """Hashes of the words, whatever their case and the punctuation around them."""
+    lower = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return word_hashes(lower.translate(PLAIN))
 
 
 def _places(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - DIMENSIONS.bit_length() + 1)).astype(np.int64)
+    return (hashes >> U(64 - PLACES.bit_length() + 1)).astype(np.int64)
 
 
 def _windows(count: int) -> list[tuple[int, int]]:
@@ -91,56 +95,56 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _document_frequency(docs: DataFrame, text_col: str, used: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents that hold a word of each used dimension, over all documents, and their number."""
+def _document_frequency(docs: DataFrame, text_col: str, rows_of, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold a word of each dimension, over all documents, and their number."""
 
     def count(batches):
-        total = np.zeros(DIMENSIONS, dtype=np.int64)
-        rows = 0
+        total = np.zeros(size + 1, dtype=np.int64)
+        documents = 0
         for batch in slices(batches):
             for text in utf8(batch.column(0)):
-                rows += 1
-                seen = np.zeros(DIMENSIONS, dtype=bool)
-                seen[_places(words(text))] = True
-                total += seen
-        hit = np.flatnonzero(total * used)
+                documents += 1
+                total[np.unique(rows_of.value[_places(words(text))])] += 1
+        hit = np.flatnonzero(total[:size])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], rows))], ["place", "n"]
+            [pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], documents))], ["row", "n"]
         )
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "place long, n long")
-    frame = counts.groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(DIMENSIONS)
-    here = frame[frame["place"] >= 0]
-    out[here["place"].to_numpy(dtype=np.int64)] = here["n"].to_numpy()
-    return out, int(frame.loc[frame["place"] < 0, "n"].sum())
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "row long, n long")
+    frame = counts.groupBy("row").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    here = frame[frame["row"] >= 0]
+    out[here["row"].to_numpy(dtype=np.int64)] = here["n"].to_numpy()
+    return out, int(frame.loc[frame["row"] < 0, "n"].sum())
 
 
-def _vector(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place, times = np.unique(_places(hashes), return_counts=True)
-    weight = times * idf[place]
+def _vector(hashes: np.ndarray, lookup: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and unit TF-IDF weights of a benchmark passage."""
+    row, times = np.unique(lookup[_places(hashes)], return_counts=True)
+    weight = times * idf[row]
     norm = np.sqrt((weight**2).sum())
-    return place, weight / norm if norm else weight
+    return row, weight / norm if norm else weight
 
 
-def _svd(items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Basis (DIMENSIONS x RANK) of the passages' TF-IDF matrix by a randomised range finder.
+def _svd(items: DataFrame, lookup, idf: np.ndarray) -> np.ndarray:
+    """Basis (dimensions x RANK) of the passages' TF-IDF matrix by a randomised range finder.
 
-    Tasks multiply their rows; only matrices of a fixed size are added up, in a tree.
+    Tasks multiply their rows; only matrices of the size of the result are added up, in a tree.
     """
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(idf)
+    size = len(idf)
 
     def multiply(basis: np.ndarray, gram: bool) -> np.ndarray:
         sent = spark.sparkContext.broadcast(basis)
 
         def part(rows):
             right = sent.value
-            size = right.shape[1]
-            total = np.zeros((size, size) if gram else (DIMENSIONS, size))
+            width = right.shape[1]
+            total = np.zeros((width, width) if gram else (size, width))
             for row in rows:
                 for passage in passages(row[0], (row[1] or "").encode("utf-8", "replace")):
-                    place, weight = _vector(passage.hashes, shared.value)
+                    place, weight = _vector(passage.hashes, lookup.value, shared.value)
                     y = weight @ right[place]
                     if gram:
                         total += np.outer(y, y)
@@ -151,7 +155,8 @@ def _svd(items: DataFrame, idf: np.ndarray) -> np.ndarray:
         return items.rdd.mapPartitions(part).treeReduce(np.add)
 
     rng = np.random.default_rng(7)
-    basis = np.linalg.qr(rng.standard_normal((DIMENSIONS, RANK + EXTRA)))[0]
+    width = min(size, RANK + EXTRA)
+    basis = np.linalg.qr(rng.standard_normal((size, width)))[0]
     for _ in range(POWER + 1):
         basis = np.linalg.qr(multiply(basis, False))[0]
     values, vectors = np.linalg.eigh(multiply(basis, True))
@@ -161,33 +166,48 @@ def _svd(items: DataFrame, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LeakModel:
+    lookup: np.ndarray  # the dimension of every place, one past the last for other words
     basis: np.ndarray  # IDF-weighted latent vector of every dimension
     vectors: np.ndarray  # unit latent vectors of the passages
+    lengths: np.ndarray  # and their lengths
     items: list[Passage]
 
+    def _latent(self, own: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Sums of latent vectors over steps of words: a row for each step from low to high."""
+        row = self.lookup[_places(own[low * STEP : high * STEP])]
+        known = np.flatnonzero(row < len(self.basis))
+        out = np.zeros((high - low, self.basis.shape[1]), dtype=np.float32)
+        if len(known):
+            step = known // STEP
+            first = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+            out[step[first]] = np.add.reduceat(self.basis[row[known]], first, axis=0)
+        return out
+
     def leaks(self, text: bytes) -> dict[int, tuple[float, float]]:
         """item: (cosine, share of its passage found in order), for the items in the text."""
         own = words(text)
-        if not len(own) or not self.items:
-            return {}
         found: dict[int, tuple[float, float]] = {}
-        spans = _windows(len(own))
-        for at in range(0, len(spans), 512):
-            block = spans[at : at + 512]
-            low = block[0][0]
-            run = self.basis[_places(own[low : block[-1][1]])]
-            sums = np.zeros((len(run) + 1, run.shape[1]), dtype=np.float64)
-            np.cumsum(run, axis=0, out=sums[1:])
-            latent = np.array([sums[e - low] - sums[s - low] for s, e in block])
+        steps = -(-len(own) // STEP)
+        for low in range(0, steps, 512):
+            high = min(steps, low + 512)
+            # A window is two steps, so neighbours overlap by half; the last may be shorter.
+            part = self._latent(own, low, min(steps, high + 1))
+            count = high - low
+            latent = part[:count].copy()
+            after = part[1 : count + 1]
+            latent[: len(after)] += after
             norms = np.linalg.norm(latent, axis=1, keepdims=True)
-            near = (latent / np.maximum(norms, 1e-9)).astype(np.float32) @ self.vectors.T
-            for w, p in zip(*np.nonzero(near >= COSINE), strict=True):
+            along = latent @ self.vectors.T
+            near = along / np.maximum(norms, 1e-9)
+            # A window without much of the passage can only point the same way by chance.
+            likely = (near >= COSINE) & (along >= REACH * self.lengths)
+            for w, p in zip(*np.nonzero(likely), strict=True):
                 passage = self.items[p]
                 if passage.item in found:
                     continue
-                start, end = block[w]
+                start = (low + w) * STEP
                 reach = len(passage.hashes)
-                region = own[max(0, start - reach) : end + reach]
+                region = own[max(0, start - reach) : start + WINDOW + reach]
                 share = subsequence(passage.hashes, region) / reach
                 if share < SEQUENCE:
                     continue
@@ -205,11 +225,12 @@ def train(
     item_text: str = "text",
 ) -> list[LeakModel]:
     """One model for each block of benchmark passages, all in the same latent space."""
+    spark = docs.sparkSession
     items = benchmark.select(
         F.col(item_col).cast("long"), F.col(item_text).cast("string")
     ).where(F.col(item_col).isNotNull())
     blocks: list[list[Passage]] = []
-    used = np.zeros(DIMENSIONS, dtype=bool)
+    used = np.zeros(PLACES, dtype=bool)
     for row in items.toLocalIterator():
         for passage in passages(row[0], (row[1] or "").encode("utf-8", "replace")):
             used[_places(passage.hashes)] = True
@@ -218,15 +239,20 @@ def train(
             blocks[-1].append(passage)
     if not blocks:
         return []
-    frequency, rows = _document_frequency(docs, text_col, used)
-    idf = np.where(used, np.log((1 + rows) / (1 + frequency)) + 0.1, 0.0)
-    basis = _svd(items, idf)
+    size = int(used.sum())
+    lookup = np.full(PLACES, size, dtype=np.int32)
+    lookup[used] = np.arange(size)
+    sent = spark.sparkContext.broadcast(lookup)
+    frequency, rows = _document_frequency(docs, text_col, sent, size)
+    idf = np.log((1 + rows) / (1 + frequency)) + 0.1
+    basis = _svd(items, sent, idf)
     models = []
     weighted = (basis * idf[:, None]).astype(np.float32)
     for block in blocks:
-        vectors = np.array([w @ basis[p] for p, w in (_vector(x.hashes, idf) for x in block)])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        models.append(LeakModel(weighted, vectors.astype(np.float32), block))
+        vectors = np.array([weighted[lookup[_places(x.hashes)]].sum(axis=0) for x in block])
+        lengths = np.linalg.norm(vectors, axis=1)
+        vectors /= np.maximum(lengths, 1e-9)[:, None]
+        models.append(LeakModel(lookup, weighted, vectors, lengths, block))
     return models
 
 
