@@ -1,9 +1,11 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the catalog against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 from tools.check import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,17 +21,18 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries()[name](spark, FOLDER).toPandas()
+    got = QUERIES[name](spark, FOLDER).toPandas()
     if name in WITHOUT_SQL:
         assert len(got) > 0
         return
-    got, want = canonical(got), canonical(con.sql(oracle_sql()[name]).df())
+    got, want = canonical(got), canonical(con.sql(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(want) > 0 and got.equals(want)
 
