@@ -3,6 +3,7 @@
 Benchmark texts are cut into passages; a distributed randomised SVD of their TF-IDF matrix,
 with document frequencies over the whole corpus, gives a latent space. Every window of every
 document is projected into it, and windows with a high cosine to a passage are candidates.
+So are windows with enough of a passage's rarest words, a bound that no leak can miss.
 A candidate counts as a leak when the longest common subsequence of words covers enough of
 the passage and the words of its answer part occur in order as
 well, so that paraphrases with changed, added or dropped words are found. A task holds the model, whose size is set by the benchmark's words and ``BLOCK``, and
@@ -164,6 +165,65 @@ def _svd(items: DataFrame, lookup, idf: np.ndarray) -> np.ndarray:
     return (basis @ vectors[:, order]).astype(np.float32)
 
 
+def _least(size: int) -> int:
+    """Words of a passage of ``size`` words that the common subsequence must have."""
+    need = int(SEQUENCE * size)
+    while need < 1 or need / size < SEQUENCE:
+        need += 1
+    return need
+
+
+@dataclass
+class Overlap:
+    """For every dimension the passages that have it among their rarest words.
+
+    A subsequence of ``need`` out of n words misses n - need, so of any n - need + k words of the
+    passage at least k occur in the region: regions with fewer cannot hold the passage. This
+    needs no latent space, so no passage is lost to its rank or to a cosine.
+    """
+
+    begin: np.ndarray  # the first posting of each dimension, and the end of the last
+    passage: np.ndarray
+    least: np.ndarray  # k of each passage
+    wide: np.ndarray  # passages whose regions reach two steps beyond the window, not one
+
+    @staticmethod
+    def build(items: list[Passage], lookup: np.ndarray, idf: np.ndarray) -> "Overlap":
+        rows, owners, least = [], [], []
+        for at, item in enumerate(items):
+            own = lookup[_places(item.hashes)]
+            need = _least(len(own))
+            least.append((need + 3) // 4)
+            rarest = own[np.argsort(-idf[own], kind="stable")][: len(own) - need + least[-1]]
+            rows.append(rarest)
+            owners.append(np.full(len(rarest), at))
+        row, owner = np.concatenate(rows), np.concatenate(owners)
+        order = np.argsort(row, kind="stable")
+        begin = np.searchsorted(row[order], np.arange(len(idf) + 1))
+        wide = np.array([len(x.hashes) > STEP for x in items])
+        return Overlap(begin, owner[order], np.array(least), wide)
+
+    def candidates(self, row: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Which windows from step low to high may hold which passage, for a document's rows."""
+        size, count, first = len(self.begin) - 1, len(self.least), low - 2
+        at = np.arange(max(0, first) * STEP, min(len(row), (high + 3) * STEP))
+        at = at[row[at] < size]
+        # A word counts once in a step, however often it is repeated.
+        key = np.unique((at // STEP - first) * size + row[at])
+        step, dimension = key // size, key % size
+        begin = self.begin[dimension]
+        many = self.begin[dimension + 1] - begin
+        ends = np.cumsum(many)
+        posting = np.arange(int(many.sum())) + np.repeat(begin - ends + many, many)
+        place = np.repeat(step, many) * count + self.passage[posting]
+        grid = np.bincount(place, minlength=(high + 3 - first) * count).reshape(-1, count)
+        sums = np.zeros((len(grid) + 1, count), dtype=np.int32)
+        np.cumsum(grid, axis=0, out=sums[1:])
+        near = sums[5 : high - low + 5] - sums[1 : high - low + 1]
+        far = sums[6 : high - low + 6] - sums[: high - low]
+        return np.where(self.wide, far, near) >= self.least
+
+
 @dataclass
 class LeakModel:
     lookup: np.ndarray  # the dimension of every place, one past the last for other words
@@ -171,6 +231,7 @@ class LeakModel:
     vectors: np.ndarray  # unit latent vectors of the passages
     lengths: np.ndarray  # and their lengths
     items: list[Passage]
+    overlap: Overlap
 
     def _latent(self, own: np.ndarray, low: int, high: int) -> np.ndarray:
         """Sums of latent vectors over steps of words: a row for each step from low to high."""
@@ -188,6 +249,7 @@ class LeakModel:
         own = words(text)
         found: dict[int, tuple[float, float]] = {}
         steps = -(-len(own) // STEP)
+        row = self.lookup[_places(own)].astype(np.int64)
         for low in range(0, steps, 512):
             high = min(steps, low + 512)
             # A window is two steps, so neighbours overlap by half; the last may be shorter.
@@ -201,13 +263,17 @@ class LeakModel:
             near = along / np.maximum(norms, 1e-9)
             # A window without much of the passage can only point the same way by chance.
             likely = (near >= COSINE) & (along >= REACH * self.lengths)
-            for w, p in zip(*np.nonzero(likely), strict=True):
+            rest = self.overlap.candidates(row, low, high) & ~likely
+            for w, p in [*np.argwhere(likely).tolist(), *np.argwhere(rest).tolist()]:
                 passage = self.items[p]
                 if passage.item in found:
                     continue
                 start = (low + w) * STEP
                 reach = len(passage.hashes)
                 region = own[max(0, start - reach) : start + WINDOW + reach]
+                present = set(region.tolist())
+                if sum(map(present.__contains__, passage.hashes.tolist())) < SEQUENCE * reach:
+                    continue
                 share = subsequence(passage.hashes, region) / reach
                 if share < SEQUENCE:
                     continue
@@ -252,7 +318,8 @@ def train(
         vectors = np.array([weighted[lookup[_places(x.hashes)]].sum(axis=0) for x in block])
         lengths = np.linalg.norm(vectors, axis=1)
         vectors /= np.maximum(lengths, 1e-9)[:, None]
-        models.append(LeakModel(lookup, weighted, vectors, lengths, block))
+        overlap = Overlap.build(block, lookup, idf)
+        models.append(LeakModel(lookup, weighted, vectors, lengths, block, overlap))
     return models
 
 

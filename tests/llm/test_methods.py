@@ -216,6 +216,50 @@ def test_copies_and_paraphrases_are_found_and_clean_documents_left(spark):
     assert {p for p in found if p[0] < 10_000} == known
 
 
+def test_short_verbatim_items_of_a_large_benchmark_are_all_found(spark):
+    texts = [r.text.split() for r in table(spark, "documents").orderBy("doc_id").collect()]
+    texts = [t for t in texts if len(t) > 150]
+    rng = random.Random(12)
+    items = []
+    for k in range(1200):
+        words = rng.choice(texts)
+        at = rng.randrange(len(words) - 16)
+        items.append((k, " ".join(words[at : at + (8, 12, 16)[k % 3]])))
+    docs = []
+    for k, item in items[:90]:
+        words = rng.choice(texts)[:400]
+        at = rng.randrange(len(words))
+        docs.append((k, " ".join([*words[:at], item, *words[at:]])))
+    rows = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(k, k) for k in range(90)} <= {(r.doc_id, r.item_id) for r in rows}
+
+
+def test_no_window_that_holds_a_passage_is_left_out():
+    rng = np.random.default_rng(2)
+    lookup = np.full(decontaminate.PLACES, 60, dtype=np.int32)
+    hashes = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    lookup[decontaminate._places(hashes)] = np.arange(60)
+    items = [
+        decontaminate.Passage(k, hashes[rng.integers(0, 60, n)], hashes[:0])
+        for k, n in enumerate([1, 2, 3, 5, 8, 16, 32, 33, 64] * 4)
+    ]
+    overlap = decontaminate.Overlap.build(items, lookup, rng.random(60))
+    for size in (1, 31, 64, 65, 300):
+        own = hashes[rng.integers(0, 60, size)]
+        row = lookup[decontaminate._places(own)].astype(np.int64)
+        steps = -(-size // decontaminate.STEP)
+        for low, high in ((0, steps), (steps // 2, steps)):
+            likely = overlap.candidates(row, low, high)
+            for w, passage in itertools.product(range(high - low), items):
+                start, reach = (low + w) * decontaminate.STEP, len(passage.hashes)
+                region = own[max(0, start - reach) : start + decontaminate.WINDOW + reach]
+                if decontaminate.subsequence(passage.hashes, region) >= decontaminate.SEQUENCE * reach:
+                    assert likely[w, passage.item]
+
+
 # --- fingerprints -------------------------------------------------------------------------
 
 def plain_slots(text):
