@@ -1,9 +1,10 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are long runs of letters, digits and a few signs. The forest sees their length,
+Candidates are long runs of letters, digits and a few signs, and from 8 characters on whatever
+is given to a name such as ``password``. The forest sees their length,
 character transitions, dictionary coverage (letter trigrams counted over the whole corpus),
 the path they come from and the neighbouring words; it is trained by Spark from labelled
-findings and read back as plain arrays, so that finding, judging and masking are one pass over
+findings and a generated sample, and read back as plain arrays, so that finding, judging and masking are one pass over
 the documents without a join.
 """
 
@@ -22,7 +23,17 @@ from pyspark.sql import functions as F
 from docloom.llm.common import slices, texts
 from docloom.plans.scratch import materialize, scratch_path
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}", re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/.~-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.~-]))?", re.ASCII)
+GIVEN = re.compile(r"[=:]")
+#: What is given to a name: a quoted text of one line, or all signs up to white space or a quote.
+VALUE = re.compile(
+    r"""[=:]>?[ \t]*(?:"([^"\n]{8,})"|'([^'\n]{8,})'|`([^`\n]{8,})`|(?![=:])([^\s"'`,;]{8,}))"""
+)
+NAME = re.compile(r"([\w.-]+)[\"'`\]]{0,2}[ \t]*[=:]?$")
+PEM = re.compile(
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:\s*+[A-Za-z-]+: [^\n]*\n)*+([A-Za-z0-9+/=\s\\]*+)"
+)
 MASK = "[SECRET]"
 #: The forest is fitted on at most so many findings of each label, chosen by hash.
 SAMPLE = 5_000
@@ -39,7 +50,7 @@ SAMPLES = re.compile(r"test|example|sample|dummy|fixture|mock|doc", re.I)
 FEATURES = [
     "length", "digits", "upper", "signs", "switches", "distinct", "hexadecimal", "dictionary",
     "named", "assigned", "quoted", "bounded", "prose_before", "prose_after", "path_sample",
-    "path_naming", "dotted",
+    "path_naming", "dotted", "given", "pem", "lower", "spaces", "prefix",
 ]
 
 
@@ -70,14 +81,43 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return known
 
 
-def features(text: str, start: int, end: int, path: str, known: np.ndarray) -> list[float]:
+def spans(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of all candidates in order; values may hold or cross long runs."""
+    found = {m.span() for m in CANDIDATE.finditer(text)}
+    done = 0
+    for sign in GIVEN.finditer(text):
+        at = sign.start()
+        if at < done or not _named(text, at):
+            continue
+        if hit := VALUE.match(text, at):
+            start, done = hit.span(hit.lastindex)
+            if hit.lastindex == 4:
+                done = start + max(8, len(text[start:done].rstrip(")]}>")))
+            found.add((start, done))
+    return sorted(found)
+
+
+def _named(text: str, at: int) -> bool:
+    """Whether the name that ends before the sign at ``at`` marks secrets."""
+    name = NAME.search(text[max(0, at - REACH) : at])
+    return bool(name and NAMING.search(name[1]))
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the bodies of PEM private keys."""
+    return [m.span(1) for m in PEM.finditer(text)] if "-----BEGIN " in text else []
+
+
+def features(
+    text: str, start: int, end: int, path: str, known: np.ndarray, blocks: list[tuple[int, int]]
+) -> list[float]:
     """Numbers about text[start:end], in the order of ``FEATURES``."""
     value = text[start:end]
     size = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     grams = _trigrams(value.encode())
     before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
-    lead = before.rstrip("\"'` ")
+    lead = before.rstrip("\"'` >")
     near_before, near_after = before.split(), after.split()
     return [
         float(min(size, 512)),
@@ -97,6 +137,11 @@ def features(text: str, start: int, end: int, path: str, known: np.ndarray) -> l
         float(bool(SAMPLES.search(path))),
         float(bool(NAMING.search(path))),
         value.count(".") / size,
+        float(lead.endswith(("=", ":")) and _named(lead, len(lead) - 1)),
+        float(any(low <= start < high for low, high in blocks)),
+        kinds.count("l") / size,
+        sum(c.isspace() for c in value) / size,
+        float(bool(re.match(r"[A-Za-z]{2,6}[_-]", value))),
     ]
 
 
@@ -186,12 +231,13 @@ def labelled_findings(
         for batch in slices(batches, 200):
             rows, labels, places = [], [], []
             for path, text in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
-                for hit in CANDIDATE.finditer(text):
-                    given = label(text, *hit.span())
+                blocks = key_blocks(text)
+                for start, end in spans(text):
+                    given = label(text, start, end)
                     if given is not None:
-                        rows.append(features(text, *hit.span(), path, known.value))
+                        rows.append(features(text, start, end, path, known.value, blocks))
                         labels.append(given)
-                        line = text[max(0, hit.start() - REACH) : hit.end() + REACH]
+                        line = text[max(0, start - REACH) : end + REACH]
                         digest = hashlib.sha256(line.encode("utf-8", "replace")).digest()
                         places.append(int.from_bytes(digest[:8], "big", signed=True))
             yield pa.RecordBatch.from_arrays(
@@ -213,16 +259,35 @@ class Scanner:
     known: np.ndarray
 
     def scan(self, text: str, path: str) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of every candidate, in code points."""
-        spans = [m.span() for m in CANDIDATE.finditer(text)]
-        if not spans or self.forest is None:
-            return [(*s, 0.0) for s in spans]
-        out = []
-        for at in range(0, len(spans), 4096):
-            block = spans[at : at + 4096]
-            rows = np.array([features(text, *s, path, self.known) for s in block])
+        """(start, end, probability) of every candidate, in code points. Of candidates that
+        overlap the longest secret stays, or else the longest."""
+        found = spans(text)
+        if not found or self.forest is None:
+            return _apart([(*s, 0.0) for s in found])
+        blocks, out = key_blocks(text), []
+        for at in range(0, len(found), 4096):
+            block = found[at : at + 4096]
+            rows = np.array([features(text, *s, path, self.known, blocks) for s in block])
             out += [(*s, float(p)) for s, p in zip(block, self.forest.probability(rows), strict=True)]
-        return out
+        return _apart(out)
+
+
+def _apart(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    out: list[tuple[int, int, float]] = []
+    cluster: list[tuple[int, int, float]] = []
+    reach = 0
+    for hit in [*found, None]:
+        if cluster and (hit is None or hit[0] >= reach):
+            taken: list[tuple[int, int, float]] = []
+            for own in sorted(cluster, key=lambda h: (h[2] < 0.5, h[0] - h[1])):
+                if all(own[1] <= t[0] or own[0] >= t[1] for t in taken):
+                    taken.append(own)
+            out += sorted(taken)
+            cluster, reach = [], 0
+        if hit:
+            cluster.append(hit)
+            reach = max(reach, hit[1])
+    return out
 
 
 def train(

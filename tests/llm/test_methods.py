@@ -466,6 +466,18 @@ def test_secrets_are_found_masked_and_words_left(spark):
     assert masked[1].text == rows[1][1] and masked[1].n_chars == 0
 
 
+def test_values_of_names_are_candidates_without_their_names():
+    key = "0123456789abcdef" * 2
+    for text, value in {
+        f"api_key={key}": key,
+        'password = "s!3@r#t%"': "s!3@r#t%",
+        "note: DB_PASSWORD=a1^b2&c3*:x rest": "a1^b2&c3*:x",
+        f"AWS_SECRET_ACCESS_KEY={key}==": f"{key}==",
+    }.items():
+        assert value in [text[a:b] for a, b in secret_scan.spans(text)]
+        assert not any(text[a:b].endswith(value) and text[a:b] != value for a, b in secret_scan.spans(text))
+
+
 def test_forest_arrays_equal_spark(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
