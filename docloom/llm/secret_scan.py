@@ -9,6 +9,7 @@ the documents without a join.
 """
 
 import hashlib
+import random
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -206,18 +207,145 @@ def _read_forest(spark: SparkSession, path: str) -> Forest:
     return forest
 
 
+#: Public formats of keys, by provider prefix or structure.
+FORMATS = re.compile(
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{40,}|xox[abprs]-[\w-]{10,}"
+    r"|sk-[\w-]{20,}|[sr]k_(?:live|test)_\w{16,}|AIza[\w-]{35}|glpat-[\w-]{20,}|npm_\w{36}"
+    r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
+)
+
+
 def known_format(text: str, start: int, end: int) -> float | None:
-    """Labels findings by form: quoted 40-digit hexadecimal values given to a name are secrets,
-    numbers and plain lower-case words are not; anything else has no label."""
+    """Labels findings by form: public key formats, and hexadecimal or base64 values given to a
+    name, quoted or not, are secrets, numbers and plain lower-case words are not; anything
+    else has no label."""
     value = text[start:end]
     before = text[max(0, start - REACH) : start]
-    if re.search(r"(?i)(token|secret|key)\s*[=:]\s*[\"']$", before):
-        return 1.0 if re.fullmatch(r"[0-9a-f]{40}", value) else None
+    if FORMATS.fullmatch(value):
+        return 1.0
+    lead = before.rstrip("\"'` >")
+    if lead.endswith(("=", ":")) and _named(lead, len(lead) - 1):
+        coded = re.fullmatch(r"[0-9a-fA-F]{32,}|[A-Za-z0-9+/_-]{32,}={0,2}", value)
+        kinds = [any(map(t, value)) for t in (str.isdigit, str.isalpha)]
+        return 1.0 if coded and all(kinds) else None
     if value.isdigit() or re.fullmatch(r"[a-z]+\.?", value) or "@" in before[-1:] + text[end : end + 1]:
         return 0.0
     return None
 
 
+#: Generated findings of each label.
+GENERATED = 1_500
+
+
+def generated_findings(known: np.ndarray) -> list[tuple[list[float], float]]:
+    """(features, label) of ``2 * GENERATED`` findings made up with a fixed seed, so that the
+    forest knows forms that the corpus or its labels don't have."""
+    rng = random.Random(SEED)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alnum = lower + upper + digits
+
+    def draw(letters: str, low: int, high: int) -> str:
+        return "".join(rng.choices(letters, k=rng.randint(low, high)))
+
+    def word(low: int = 2, high: int = 4) -> str:
+        return "".join(
+            rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s", "t"])
+            for _ in range(rng.randint(low, high))
+        )
+
+    def prose() -> str:
+        return " ".join(word(1, 3) for _ in range(rng.randint(0, 7)))
+
+    def name() -> str:
+        middle = rng.choice(["token", "secret", "password", "api_key", "passwd", "auth", "access_key",
+                             "private_key", "credential", "apikey", "key", "client-secret"])
+        full = rng.choice(["", "", word() + "_"]) + middle
+        return rng.choice([full, full.upper(), full.title()])
+
+    def assigned(value: str, own: str) -> tuple[str, str, str]:
+        before, after = rng.choice(
+            [("=", ""), (" = ", ""), (": ", ""), (":", ""), (' = "', '"'), ("='", "'"), (': "', '"'),
+             ('": "', '"'), ("=`", "`")]
+        )
+        return own + before, value, after
+
+    def strong() -> str:
+        return rng.choice([
+            lambda: draw("0123456789abcdef", 24, 64), lambda: draw("0123456789ABCDEF", 24, 64),
+            lambda: draw(alnum, 18, 64), lambda: draw(alnum + "+/", 24, 86) + rng.choice(["", "=", "=="]),
+            lambda: draw(alnum + "_-", 20, 64),
+            lambda: draw(lower, 2, 5) + rng.choice("_-") + draw(alnum, 20, 48),
+            lambda: draw(upper, 4, 4) + draw(upper + digits, 16, 16),
+        ])()
+
+    def password() -> str:
+        signs = "!@#$%^&*:?+-_="
+        value = list(draw(alnum + signs, 5, 17) + rng.choice(upper + signs) + rng.choice(lower) + rng.choice(digits))
+        rng.shuffle(value)
+        return rng.choice([lambda: "".join(value).lstrip("=:"), lambda: word() + rng.choice(signs[:8]) + draw(digits, 2, 4)
+                           + draw(upper + signs[:8], 2, 4)])().ljust(8, "7")
+
+    def jwt() -> str:
+        return f"eyJ{draw(alnum, 15, 40)}.eyJ{draw(alnum, 20, 120)}.{draw(alnum + '_-', 30, 60)}"
+
+    def secret() -> tuple[str, str, str]:
+        kind = rng.randrange(8)
+        if kind < 2:
+            return assigned(strong(), name())
+        if kind < 4:
+            return assigned(password(), name())
+        if kind == 4:
+            return "\n".join(["", draw(alnum + "+/", 64, 64), ""]), draw(alnum + "+/", 20, 64), "\n"
+        if kind == 5:
+            return rng.choice(["Authorization: Bearer ", "bearer ", "token "]), rng.choice([jwt, strong])(), ""
+        if kind == 6:
+            return rng.choice(["", "("]), jwt(), ""
+        value = rng.choice([draw(lower, 2, 5) + rng.choice("_-") + draw(alnum, 24, 48),
+                            draw(lower, 2, 5) + rng.choice(["_", "-", "_v1_"]) + draw("0123456789abcdef", 32, 64),
+                            draw(lower, 4, 4) + "-" + draw(digits, 10, 12) + "-" + draw(alnum, 16, 24),
+                            draw(upper, 4, 4) + draw(upper + digits, 16, 16)])
+        return rng.choice(["", "", "id "]), value, ""
+
+    def plain() -> tuple[str, str, str]:
+        words = [word() for _ in range(rng.randint(3, 6))]
+        value = rng.choice([
+            lambda: "".join(words), lambda: "".join(words).title(), lambda: "".join(words).upper(),
+            lambda: "".join(w.title() for w in words), lambda: "_".join(words), lambda: "-".join(words),
+            lambda: "_".join(words).upper(), lambda: ".".join(words), lambda: "/".join(words),
+            lambda: "/" + "/".join(words) + ".py", lambda: "--" + "-".join(words),
+            lambda: draw(digits, 16, 30), lambda: "-" * rng.randint(16, 60), lambda: "." * rng.randint(16, 60),
+            lambda: f"{words[0]}.{words[1]}{draw(digits, 1, 3)}.example.com", lambda: "".join(words) + ".",
+            lambda: f"20{draw(digits, 2, 2)}-0{draw(digits, 1, 1)}-1{draw(digits, 1, 1)}T10.{draw(digits, 2, 2)}.00",
+        ])()
+        kind = rng.randrange(5)
+        if kind < 3:
+            return rng.choice(["", "", "//", "@", "("]), value, rng.choice(["", ".", ",", "@"])
+        if kind == 3:
+            return assigned(value, rng.choice([name(), word()]))
+        return rng.choice([
+            lambda: assigned(" ".join(words), name()),
+            lambda: assigned(words[0] + "." + words[1] + "()", name()),
+            lambda: assigned(f"your-{words[0]}-here", name()),
+            lambda: assigned("<" + "_".join(words) + ">", name()),
+            lambda: assigned("${" + "_".join(words).upper() + "}", name()),
+            lambda: ("commit ", draw("0123456789abcdef", 40, 40), ""),
+            lambda: ("sha256:", draw("0123456789abcdef", 64, 64), ""),
+            lambda: ("id ", "-".join(draw("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), ""),
+        ])()
+
+    out = []
+    for k in range(2 * GENERATED):
+        before, value, after = (plain, secret)[k % 2]()
+        block = k % 2 and before.startswith("\n")
+        lead = "" if block else prose() + rng.choice([" ", "\n"])
+        text = f"{lead}{before}{value}{after}{rng.choice([' ', chr(10)])}{'' if block else prose()}"
+        start = len(lead) + len(before)
+        path = rng.choice(["", "src3", "app/settings.py", "tests/example.md"])
+        row = features(text, start, start + len(value), path, known, [(0, len(text))] if block else [])
+        out.append((row, float(k % 2)))
+    return out
+
+
 def labelled_findings(
     docs: DataFrame,
     known,
@@ -297,14 +425,16 @@ def train(
     text_col: str = "text",
 ) -> Scanner:
     """Counts the dictionary over all of ``docs`` and fits the forest on a bounded sample:
-    of each label the ``SAMPLE`` findings whose surroundings have the smallest hash."""
+    of each label the ``SAMPLE`` findings whose surroundings have the smallest hash, and
+    ``generated_findings``, so there is a forest for any corpus."""
     known = dictionary(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     findings = materialize(labelled_findings(docs, shared, label, path_col, text_col), "findings")
-    sample = None
+    made = [(row, value, k) for k, (row, value) in enumerate(generated_findings(known))]
+    sample = docs.sparkSession.createDataFrame(made, "features array<double>, label double, place long")
     for value in (0.0, 1.0):
         part = findings.where(F.col("label") == value).orderBy("place", "features").limit(SAMPLE)
-        sample = part if sample is None else sample.unionByName(part)
+        sample = sample.unionByName(part)
     return Scanner(fit(materialize(sample, "sample").orderBy("place", "features")), known)
 
 
@@ -319,8 +449,7 @@ def find_secrets(
     """(doc_id, start, length, sha256, probability) of every secret in every whole document.
 
     Positions are code points. Null and empty texts have none, a null path counts as empty,
-    repeated rows give their own findings, and without labels of both kinds nothing is a
-    secret. Other columns are not read.
+    repeated rows give their own findings. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(scanner)
 
