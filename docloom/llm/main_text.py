@@ -23,27 +23,35 @@ WINDOW = 3
 NEAR = 0.25
 
 #: Element names by role.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
 DROPPED = {
     "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head",
-    "object", "canvas", "audio", "video", "figcaption",
+    "canvas", "audio", "video", "annotation", "annotation-xml",
 }
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em",
     "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
-    "td", "th",
+    "td", "th", "math", "semantics", "menclose", "mfrac", "mi", "mn", "mo", "mover", "mpadded",
+    "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd",
+    "mtext", "mtr", "munder", "munderover",
 }
 VOID = {
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
-    "track", "wbr",
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+    "source", "track", "wbr",
 }
+#: Whole class, id or role names of removed parts, alone or with a usual word before or after.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header"
-    r"|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|recommended|related|share"
-    r"|sharing|sidebar|signup|social|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|global)[_-])?"
+    r"(?:ads?|advert(?:s|isement)?|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu"
+    r"|modal|nav|navbar|navigation|newsletter|notice|popup|promo|recommended|related|share|sharing"
+    r"|sidebar|signup|social|sponsored|subscribe|toolbar|widget)"
+    r"(?:[_-](?:area|banner|bar|block|box|buttons?|consent|container|links?|list|menu|notice|section"
+    r"|slot|widget|wrapper))?",
     re.I,
 )
+#: Elements that no name removes.
+KEPT = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(>|\Z)",
@@ -85,11 +93,13 @@ class Lines:
 
 
 def _marked(attributes: str) -> bool:
-    return any(MARKED.search(a or b or c or "") for a, b, c in LABEL.findall(attributes))
+    names = (name for found in LABEL.findall(attributes) for name in "".join(found).split())
+    return any(MARKED.fullmatch(name) for name in names)
 
 
-def read_lines(page: str) -> Lines:
-    """The page's blocks in order; unclosed parts end with the page."""
+def read_lines(page: str, marks: bool = True) -> Lines:
+    """The page's blocks in order; unclosed parts end with the page. Without ``marks`` only
+    element names remove parts."""
     lines, at, article, links = Lines(), 0, 0, 0
     skipped, depth = "", 0  # the removed element that is open, and how deep its name is nested
     size = len(page)
@@ -122,7 +132,8 @@ def read_lines(page: str) -> Lines:
                 skipped = ""
             else:
                 continue
-        if not closing and name not in VOID and (name in DROPPED or _marked(tag[3])):
+        marked = marks and not closing and name not in KEPT and _marked(tag[3])
+        if not closing and name not in VOID and (name in DROPPED or marked):
             lines.gap(article > 0)
             skipped, depth = name, 1
             continue
@@ -142,6 +153,8 @@ def read_lines(page: str) -> Lines:
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by line feeds."""
     lines = read_lines(page)
+    if not any(lines.text):
+        lines = read_lines(page, marks=False)  # a marked wrapper holds the whole page
     keep = range(len(lines.text))
     bounded = any(i and w for i, w in zip(lines.inside, lines.weight, strict=True))
     if bounded:

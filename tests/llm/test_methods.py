@@ -129,6 +129,26 @@ def test_main_text(page, text):
     assert main_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body class="home has-sidebar"><p>one</p></body>', "one"),
+        ('<body class="header-fixed"><p>one</p></body>', "one"),
+        ('<body id="menu"><p>one</p></body>', "one"),
+        ('<main class="comments-open comments"><p>one</p></main>', "one"),
+        ('<div class="no-sidebar"><p>one</p></div>', "one"),
+        ('<div class="widget"><p>one</p></div>', "one"),
+        ('<article><h2 id="share-price">S</h2><div class="social-history">x</div></article>', "S\nx"),
+        ("<article><h2 id=share>S</h2><div class='ad'>b</div><div class='share-buttons'>b</div></article>", "S"),
+        ("<article><figure><img><figcaption>cap</figcaption></figure><p>t</p></article>", "cap\nt"),
+        ("<article><p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> it is</p></article>", "so a=1 it is"),
+        ("<article><object><param name=x><p>plain</p></object></article>", "plain"),
+    ],
+)
+def test_names_of_classes_take_no_text_of_the_page(page, text):
+    assert main_text.main_text(page) == text
+
+
 # --- byte-level BPE -----------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
