@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import (
-    bpe, chat, decontaminate, fingerprint, main_text, ngram_join, quality, secret_scan, sharding,
-    url_filter,
+    align, bpe, chat, decontaminate, filter_audit, fingerprint, main_text, ngram_join, quality,
+    repeats, secret_scan, sharding, url_filter,
 )
 
 
@@ -60,6 +60,20 @@ def op10_secret_scans(spark, folder):
     return secret_scan.find_secrets(docs, secret_scan.train(docs))
 
 
+def op11_suffix_array_dedup(spark, folder):
+    return repeats.removal_digest(repeats.remove_repeats(_table(spark, folder, "documents")))
+
+
+def op12_cross_tokenizer_alignment(spark, folder):
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignment_audit(_table(spark, folder, "documents"), *paths)
+
+
+def op13_filter_audit(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return filter_audit.audit(docs, _table(spark, folder, "labels"))
+
+
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
 
@@ -75,5 +89,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_secret_scans": op10_secret_scans,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }

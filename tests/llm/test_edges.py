@@ -62,6 +62,9 @@ SIZES = {
     "op7_ngram_jaccard_join": len(DOCUMENTS),
     "op8_sharding": len(DOCUMENTS),
     "op9_url_filters": 5,
+    "op11_suffix_array_dedup": len(DOCUMENTS),
+    "op12_cross_tokenizer_alignment": len(DOCUMENTS),
+    "op13_filter_audit": 3 * 600,
 }
 
 
@@ -95,6 +98,12 @@ def test_edge_rows_give_whole_results(spark, edge_tables, name):
         assert {(r.page_id, r.text) for r in rows if r.page_id != 3} == {
             (1, "T\nOne & two"), (2, ""), (None, "")
         }
+    if name == "op11_suffix_array_dedup":
+        gone = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rows}
+        assert {(4, 0, 0, 0), (6, 0, 0, 0), (8, 150_000, 150_000, 1), (9, 50_000, 50_000, 1)} <= gone
+    if name == "op12_cross_tokenizer_alignment":
+        bare = [r for r in rows if r.doc_id in (4, 6)]
+        assert [tuple(r)[1:] for r in bare] == [(0, 0, 0, 0, 0, 0, "")] * 2
     if name == "op9_url_filters":
         assert {(r.page_id, r.host, r.path, r.rule) for r in rows} == {
             (1, "a.example.net", "/en/x", "example.net/en/"), (2, "", "", None),
