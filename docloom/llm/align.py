@@ -25,7 +25,11 @@ from docloom.plans.scratch import materialize
 #: Tokens of A in a lane, about.
 LANE = 4096
 #: Documents and characters encoded and merged at a time; a longer document is a batch by itself.
-ROWS, CHARS = 2000, 4_000_000
+ROWS, CHARS = 1000, 1_500_000
+#: Words whose ids of A a task remembers, the first it meets, and the longest of them.
+REMEMBER, REMEMBER_LENGTH = 200_000, 32
+#: A space next to more white space: A takes such texts as a whole.
+WIDE_SPACE = re.compile(r" \s|\s ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,6 +76,7 @@ class Pair:
         self.a_names = [f"{i}".encode() + s for s in (first, later) for i in range(len(self.a_bytes))]
         self.b_names = [f"{i}".encode() + s for s in (first, b";") for i in range(len(self.b_bytes))]
         self.names = self.a_names + self.b_names
+        self._words: dict[str, list[int]] = {}
 
     def _possible(self) -> np.ndarray:
         """Sorted codes a * |B| + b of the pairs whose bytes end alike."""
@@ -91,10 +96,29 @@ class Pair:
                 found.update(a * width + b for a in ids[0].get(token[at:], ()))
         return np.array(sorted(found), dtype=np.int64)
 
+    def _encode_a(self, spaced: list[str]) -> list[list[int]]:
+        """Ids of A. It cuts a text ahead of every single space between other characters, so the
+        words between such spaces are encoded once each, with the space before them."""
+        split = [None if WIDE_SPACE.search(t) else t[1:].split(" ") for t in spaced]
+        new = list(set().union(*filter(None, split)).difference(self._words))
+        whole = [t for t, words in zip(spaced, split, strict=True) if words is None]
+        made = self.a.encode_batch_fast([" " + w for w in new] + whole, add_special_tokens=False)
+        spare: dict[str, list[int]] = {}
+        for word, encoding in zip(new, made, strict=False):
+            full = len(word) > REMEMBER_LENGTH or len(self._words) >= REMEMBER
+            (spare if full else self._words)[word] = encoding.ids
+        rest = iter(made[len(new) :])
+        known = self._words.get
+        return [
+            next(rest).ids if words is None
+            else list(chain.from_iterable([known(w) or spare[w] for w in words]))
+            for words in split
+        ]
+
     def encode(self, batch: list[str]) -> tuple[list, list]:
         """Ids of A and B for each text; none where the tokens' bytes differ from space + text."""
         spaced = [" " + t for t in batch]
-        left = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        left = self._encode_a(spaced)
         right = self.b.encode(batch, num_threads=1)
         for at, text in enumerate(spaced):
             data = text.encode()
