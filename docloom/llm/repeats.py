@@ -26,7 +26,7 @@ from docloom.plans.scratch import materialize
 DEPTH = 200
 #: Lengths of the k-grams that deal windows, as shares of the window: first, then for groups of
 #: more than ``KINDS`` different runs.
-SHARES = (0.25, 0.75, 0.95, 1.0)
+SHARES = (0.4, 0.75, 0.95, 1.0)
 KINDS = 4000
 #: Bytes cut into runs at a time, and bytes of a suffix array, about.
 CHUNK = 1 << 20
@@ -71,39 +71,50 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def runs(codes: np.ndarray, sizes: np.ndarray, depth: int, gram: int, order: int):
-    """(start, windows, key, name, weight) of the runs of windows of each of several texts.
+class Runs:
+    """Runs of the windows of several texts, given one after another with their sizes: arrays
+    ``start``, ``windows``, ``key`` and ``weight``.
 
-    ``codes`` are the texts one after another, ``sizes`` their lengths. ``name`` hashes a run's
-    whole text; runs are cut so that they have no more windows than a window has k-grams.
-    ``weight`` is 2 if two windows of the run may be equal: in text with a short period the
-    key comes from more than one place.
+    Runs are cut so that they have no more windows than a window has k-grams. ``weight`` is 2 if two
+    windows of a run may be equal: in text with a short period the key comes from several places.
     """
-    count, width = len(codes) - depth + 1, depth - gram + 1
-    if count < 1:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U),) * 2 + (np.zeros(0, dtype=np.int64),)
-    up, down = _Powers.reach(len(codes) + 1)
-    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(LETTER[codes] * up[:-1])))
-    grams = (sums[gram:] - sums[:-gram]) * down[: len(codes) - gram + 1]
-    grams = mix(grams ^ seeds(order + 1, 12)[order])
-    # The place in the low bits makes the first of equal hashes the smallest.
-    low = (U(1) << U(len(codes).bit_length())) - U(1)
-    place = sliding_minimum((grams & ~low) | np.arange(len(grams), dtype=U), width)[:count]
-    place = (place & low).astype(np.int64)
-    least = grams[place]
-    ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)[:count]
-    inside = np.arange(count) + depth <= ends[text]
-    first = np.ones(count, dtype=bool)
-    first[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
-    begun = np.maximum.accumulate(np.where(first, np.arange(count), 0))
-    starts = np.flatnonzero(inside & ((np.arange(count) - begun) % width == 0))
-    # A run ends before the next one or, as the last of its text, with the text's last window.
-    stops = np.minimum(np.append(starts[1:], count), ends[text[starts]] - depth + 1)
-    windows = stops - starts
-    name = (sums[stops + depth - 1] - sums[starts]) * down[starts]
-    weight = 1 + (place[starts] != place[stops - 1])
-    return starts, windows, least[starts], mix(name + windows.astype(U)), weight
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, depth: int, gram: int, order: int):
+        self.depth, self.gram = depth, gram
+        count, width = len(codes) - depth + 1, depth - gram + 1
+        up, self._down = _Powers.reach(len(codes) + 1)
+        self._sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(LETTER[codes] * up[:-1])))
+        grams = (self._sums[gram:] - self._sums[:-gram]) * self._down[: len(codes) - gram + 1]
+        grams = mix(grams ^ seeds(order + 1, 12)[order])
+        # The place in the low bits makes the first of equal hashes the smallest.
+        low = (U(1) << U(len(codes).bit_length())) - U(1)
+        place = sliding_minimum((grams & ~low) | np.arange(len(grams), dtype=U), width)[:count]
+        place = (place & low).astype(np.int64)
+        least = grams[place]
+        ends = np.cumsum(sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)[:count]
+        at = np.arange(count)
+        inside = at + depth <= ends[text]
+        first = np.ones(count, dtype=bool)
+        first[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+        begun = np.maximum.accumulate(np.where(first, at, 0))
+        start = np.flatnonzero(inside & ((at - begun) % width == 0))
+        # A run ends before the next one or, as the last of its text, with the text's last window.
+        stop = np.minimum(np.append(start[1:], count), ends[text[start]] - depth + 1)
+        # Smallest hashes are small numbers; mixed again they spread evenly.
+        self.start, self.windows, self.key = start, stop - start, mix(least[start] + U(1))
+        self.weight = 1 + (place[start] != place[stop - 1])
+
+    def only(self, keep: np.ndarray) -> "Runs":
+        """The runs that ``keep`` flags."""
+        for name in ("start", "windows", "key", "weight"):
+            setattr(self, name, getattr(self, name)[keep])
+        return self
+
+    def names(self) -> np.ndarray:
+        """Hashes of the runs' whole texts."""
+        stop = self.start + self.windows + self.depth - 1
+        return mix((self._sums[stop] - self._sums[self.start]) * self._down[self.start] + self.windows.astype(U))
 
 
 def _chunks(batches, depth: int):
@@ -145,52 +156,53 @@ def _repeated_keys(texts: DataFrame, depth: int, gram: int, order: int) -> DataF
 
     def count(batches):
         for codes, sizes, _ in _chunks(batches, depth):
-            _, _, key, _, weight = runs(codes, sizes, depth, gram, order)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(weight)], ["key", "n"])
+            cut = Runs(codes, sizes, depth, gram, order)
+            yield pa.RecordBatch.from_arrays([_signed(cut.key), pa.array(cut.weight)], ["key", "n"])
 
     counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return counted.where("n > 1").select("key")
 
 
-RUNS = "p long, q long, at int, key long, name long, weight long, piece binary"
+RUNS = "p long, q long, at int, key long, name long, piece binary"
 
 
 def _find_runs(texts: DataFrame, depth: int, gram: int, order: int, known) -> DataFrame:
-    """Runs whose key passes ``known``, with the keys (p, q) of their text and the offset in it;
-    the first two of equal runs in a task carry their bytes."""
+    """Runs whose key passes ``known``, with the keys (p, q) of their text and the offset in it.
+    Of equal runs in a task the first carries its bytes, the second none, the others null."""
 
     def find(batches):
         copies: dict[int, int] = {}
         for codes, sizes, rows in _chunks(batches, depth):
-            cut = runs(codes, sizes, depth, gram, order)
-            keep = passes(known.value, cut[2], 64, FILTER_BITS)
-            start, windows, key, name, weight = (x[keep] for x in cut)
+            cut = Runs(codes, sizes, depth, gram, order)
+            cut = cut.only(passes(known.value, cut.key, 64, FILTER_BITS))
+            start, names = cut.start, cut.names()
             if not len(start):
                 continue
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             text = np.searchsorted(begin, start, side="right") - 1
             home = np.array(rows, dtype=np.int64)[text]
             data = codes.tobytes()
+            stops = start + cut.windows + depth - 1
             pieces = []
-            for at, stop, each in zip(start.tolist(), (start + windows).tolist(), name.tolist(), strict=True):
-                if copies.get(each, 0) > 1:
+            for at, stop, name in zip(start.tolist(), stops.tolist(), names.tolist(), strict=True):
+                seen = copies.get(name, 0)
+                if seen > 1:
                     pieces.append(None)
                     continue
                 if len(copies) >= REMEMBER:
                     copies.clear()
-                copies[each] = copies.get(each, 0) + 1
-                pieces.append(data[at : stop + depth - 1])
+                copies[name] = seen + 1
+                pieces.append(b"" if seen else data[at:stop])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(home[:, 0]),
                     pa.array(home[:, 1]),
                     pa.array((home[:, 2] + start - begin[text]).astype(np.int32)),
-                    _signed(key),
-                    _signed(name),
-                    pa.array(weight),
+                    _signed(cut.key),
+                    _signed(names),
                     pa.array(pieces, pa.binary()),
                 ],
-                ["p", "q", "at", "key", "name", "weight", "piece"],
+                ["p", "q", "at", "key", "name", "piece"],
             )
 
     return texts.mapInArrow(find, RUNS)
@@ -228,7 +240,8 @@ def _block(rows: list[tuple[int, int, bytes]], depth: int) -> pa.RecordBatch:
 
 
 def _sort_groups(pieces: DataFrame, depth: int) -> DataFrame:
-    """(key, name, spans) of runs with repeated windows; each key's pieces share a partition."""
+    """(key, name, spans) of runs with repeated windows; each key's pieces share a partition. A
+    piece without bytes says that there is one more copy."""
 
     def sort(batches):
         rows, size, last, copies = [], 0, None, 0
@@ -240,13 +253,15 @@ def _sort_groups(pieces: DataFrame, depth: int) -> DataFrame:
                 if size >= BLOCK and last[0] != key:
                     yield _block(rows, depth)
                     rows, size = [], 0
-                rows.append((key, name, piece))
-                size += len(piece)
+                # The bytes come first among equal names.
+                rows.append((key, name, piece if copies == 1 else rows[-1][2]))
+                size += len(rows[-1][2])
                 last = (key, name)
         if rows:
             yield _block(rows, depth)
 
-    placed = pieces.select("key", "name", "piece").repartition("key").sortWithinPartitions("key", "name")
+    placed = pieces.select("key", "name", "piece").repartition("key")
+    placed = placed.sortWithinPartitions("key", "name", F.col("piece").desc())
     return placed.mapInArrow(sort, f"key long, name long, spans {SPANS}")
 
 
@@ -260,6 +275,13 @@ def _lift(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.groupBy("p", "q").agg(F.flatten(F.collect_set(moved)).alias("spans"))
 
 
+def _with_bytes(pieces: DataFrame) -> DataFrame:
+    """The pieces of crowded keys; one that stands for a second copy gets the bytes of the first."""
+    bytes_ = pieces.groupBy("key", "name").agg(F.max("piece").alias("piece"), F.count("*").alias("n"))
+    copies = F.when(F.col("n") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return bytes_.select("key", "name", "piece", F.explode(copies))
+
+
 def _spans(texts: DataFrame, depth: int, level: int = 0) -> DataFrame:
     """(p, q, spans): starts of the repeated windows of the texts (p, q, text)."""
     spark = texts.sparkSession
@@ -267,18 +289,19 @@ def _spans(texts: DataFrame, depth: int, level: int = 0) -> DataFrame:
     keys = materialize(_repeated_keys(texts, depth, gram, level), "keys")
     known = spark.sparkContext.broadcast(bit_filter(keys, "key", 64, FILTER_BITS))
     found = materialize(_find_runs(texts, depth, gram, level, known), "runs")
-    each = found.groupBy("key", "name").agg(F.sum("weight").alias("n"))
-    groups = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    groups = materialize(groups.where("n > 1").select("key", "kinds"), "groups")
     pieces = found.where("piece is not null")
-    crowded = groups.where(F.col("kinds") > KINDS).select("key")
     # Equal keys of the last level are equal windows, whatever their number.
     last = level + 1 == len(SHARES)
-    small = groups if last else groups.where(F.col("kinds") <= KINDS)
-    verdicts = _sort_groups(pieces.join(small.select("key"), "key", "left_semi"), depth)
+    crowded = None
+    if not last:
+        kinds = found.groupBy("key", "name").agg(F.lit(1).alias("one")).groupBy("key").count()
+        crowded = materialize(kinds.where(F.col("count") > KINDS).select("key"), "crowded")
+        last = crowded.isEmpty()
+    small = pieces if last else pieces.join(crowded, "key", "left_anti")
+    verdicts = _sort_groups(small, depth)
     verdicts = materialize(verdicts, "verdicts")
-    if not last and not crowded.isEmpty():
-        again = pieces.join(crowded, "key", "left_semi")
+    if not last:
+        again = _with_bytes(pieces.join(crowded, "key", "left_semi"))
         again = again.select(F.col("key").alias("p"), F.col("name").alias("q"), F.col("piece").alias("text"))
         deeper = _spans(again, depth, level + 1)
         verdicts = verdicts.unionByName(
