@@ -25,9 +25,11 @@ from docloom.plans.scratch import materialize
 #: Tokens of A in a lane, about.
 LANE = 4096
 #: Documents and characters encoded and merged at a time; a longer document is a batch by itself.
-ROWS, CHARS = 1000, 1_500_000
-#: Words whose ids of A a task remembers, the first it meets, and the longest of them.
-REMEMBER, REMEMBER_LENGTH = 200_000, 32
+ROWS, CHARS = 1000, 2_500_000
+#: Characters of the words that a task remembers with their ids of A; beyond it starts anew.
+REMEMBER = 4_000_000
+#: Words encoded as one text.
+TOGETHER = 2000
 #: A space next to more white space: A takes such texts as a whole.
 WIDE_SPACE = re.compile(r" \s|\s ")
 
@@ -69,14 +71,15 @@ class Pair:
                 self.b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
-        self.a_size = np.array([len(t) for t in self.a_bytes])
-        self.b_size = np.array([len(t) for t in self.b_bytes])
+        self.a_size, self.b_size = (
+            np.array([len(t) for t in tokens]) for tokens in (self.a_bytes, self.b_bytes)
+        )
         self.codes = self._possible()
         first, later = ",".encode(), "|".encode()
         self.a_names = [f"{i}".encode() + s for s in (first, later) for i in range(len(self.a_bytes))]
         self.b_names = [f"{i}".encode() + s for s in (first, b";") for i in range(len(self.b_bytes))]
         self.names = self.a_names + self.b_names
-        self._words: dict[str, list[int]] = {}
+        self._forget()
 
     def _possible(self) -> np.ndarray:
         """Sorted codes a * |B| + b of the pairs whose bytes end alike."""
@@ -96,39 +99,92 @@ class Pair:
                 found.update(a * width + b for a in ids[0].get(token[at:], ()))
         return np.array(sorted(found), dtype=np.int64)
 
-    def _encode_a(self, spaced: list[str]) -> list[list[int]]:
-        """Ids of A. It cuts a text ahead of every single space between other characters, so the
-        words between such spaces are encoded once each, with the space before them."""
-        split = [None if WIDE_SPACE.search(t) else t[1:].split(" ") for t in spaced]
-        new = list(set().union(*filter(None, split)).difference(self._words))
-        whole = [t for t, words in zip(spaced, split, strict=True) if words is None]
-        made = self.a.encode_batch_fast([" " + w for w in new] + whole, add_special_tokens=False)
-        spare: dict[str, list[int]] = {}
-        for word, encoding in zip(new, made, strict=False):
-            full = len(word) > REMEMBER_LENGTH or len(self._words) >= REMEMBER
-            (spare if full else self._words)[word] = encoding.ids
-        rest = iter(made[len(new) :])
-        known = self._words.get
-        return [
-            next(rest).ids if words is None
-            else list(chain.from_iterable([known(w) or spare[w] for w in words]))
-            for words in split
-        ]
-
-    def encode(self, batch: list[str]) -> tuple[list, list]:
-        """Ids of A and B for each text; none where the tokens' bytes differ from space + text."""
+    def _forget(self) -> None:
+        """Rows of known words, and their ids one after another."""
+        self._row: dict[str, int] = {}
+        self._chars = 0
+        self._ids, self._sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words with the space before them; many at once, cut by the bytes of their tokens."""
+        ids, sizes = [self._ids], [self._sizes]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            text = " " + " ".join(part)
+            (encoding,) = self.a.encode_batch_fast([text], add_special_tokens=False)
+            made = np.array(encoding.ids, dtype=np.int64)
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            stops = np.searchsorted(np.cumsum(self.a_size[made]), ends) + 1
+            ids.append(made)
+            sizes.append(np.diff(stops, prepend=0))
+        self._row.update(zip(words, range(len(self._row), len(self._row) + len(words)), strict=True))
+        self._chars += sum(map(len, words))
+        self._ids, self._sizes = np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_a(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, one text after another, and their offsets. A cuts a text ahead of every single
+        space between other characters, so the words between such spaces are encoded once each."""
+        if self._chars > REMEMBER:
+            self._forget()
+        split = [[] if len(t) == 1 or WIDE_SPACE.search(t) else t[1:].split(" ") for t in spaced]
+        new = set().union(*split).difference(self._row)
+        self._learn(list(new))
+        counts = np.array([len(words) for words in split], dtype=np.int64)
+        rows = np.fromiter(map(self._row.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        before = np.cumsum(self._sizes) - self._sizes
+        sizes = np.concatenate(([0], np.cumsum(self._sizes[rows])))
+        ids = self._ids[_expand(before[rows], self._sizes[rows])]
+        starts = sizes[np.concatenate(([0], np.cumsum(counts)))]
+        whole = [i for i, t in enumerate(spaced) if len(t) > 1 and not split[i]]
+        if not whole:
+            return ids, starts
+        parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        made = self.a.encode_batch_fast([spaced[i] for i in whole], add_special_tokens=False)
+        for i, encoding in zip(whole, made, strict=True):
+            parts[i] = np.array(encoding.ids, dtype=np.int64)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A with their offsets by text, and the same of B; none for a text whose tokens'
+        bytes differ from space + text on either side."""
         spaced = [" " + t for t in batch]
-        left = self._encode_a(spaced)
-        right = self.b.encode(batch, num_threads=1)
-        for at, text in enumerate(spaced):
-            data = text.encode()
-            a, b = left[at], right[at]
-            if len(text) == 1 or not (
-                b"".join(map(self.a_bytes.__getitem__, a)) == data
-                and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            ):
-                left[at], right[at] = [], []
-        return left, right
+        a, a_from = self._encode_a(spaced)
+        b, b_from = _flat(self.b.encode(batch, num_threads=1))
+        data = [t.encode() for t in spaced]
+        size = np.array([len(d) for d in data])
+        good = size > 1
+        for ids, starts, sizes in ((a, a_from, self.a_size), (b, b_from, self.b_size)):
+            ends = np.concatenate(([0], np.cumsum(sizes[ids])))
+            good &= np.diff(ends[starts]) == size
+        a, a_from, b, b_from = *_only(good, a, a_from), *_only(good, b, b_from)
+        asked = np.frombuffer(b"".join(d for d, g in zip(data, good, strict=True) if g), dtype=np.uint8)
+        wrong = (self._spell(a, self.a_bytes, self.a_size) != asked) | (
+            self._spell(b, self.b_bytes, self.b_size) != asked
+        )
+        if wrong.any():
+            text = np.repeat(np.flatnonzero(good), size[good])
+            good[text[wrong]] = False
+            a, a_from, b, b_from = *_only(good, a, a_from), *_only(good, b, b_from)
+        return a, a_from, b, b_from
+
+    @staticmethod
+    def _spell(ids, tokens, sizes) -> np.ndarray:
+        """The bytes of tokens one after another."""
+        letters = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        return letters[_expand((np.cumsum(sizes) - sizes)[ids], sizes[ids])]
+
+
+def _expand(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each pair, ``sizes`` numbers each."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _only(good: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with none left for texts that are not ``good``."""
+    if good.all():
+        return ids, starts
+    sizes = np.diff(starts)
+    return ids[np.repeat(good, sizes)], np.concatenate(([0], np.cumsum(sizes * good)))
 
 
 @lru_cache(maxsize=2)
@@ -190,10 +246,8 @@ def _ends(ids, starts, sizes) -> np.ndarray:
     return ends - np.repeat(before, np.diff(starts))
 
 
-def align(left: list[list[int]], right: list[list[int]], pair: Pair, lane: int = LANE):
+def align(a, a_from, b, b_from, pair: Pair, lane: int = LANE):
     """For a batch of documents: ids, cuts and document offsets of both sides."""
-    a, a_from = _flat(left)
-    b, b_from = _flat(right)
     a_ends, b_ends = _ends(a, a_from, pair.a_size), _ends(b, b_from, pair.b_size)
     a_cut, b_cut = lockstep(a_ends, b_ends, _lanes(a_ends, b_ends, a_from, b_from, lane))
     return a, a_cut, a_from, b, b_cut, b_from
@@ -256,8 +310,7 @@ def align_documents(
         pair = tokenizers(a_path, b_path)
         width = len(pair.b_bytes)
         for ids, held in _chunks(batches):
-            left, right = pair.encode(held)
-            a, a_cut, a_from, b, b_cut, b_from = found = align(left, right, pair)
+            a, a_cut, a_from, b, b_cut, b_from = found = align(*pair.encode(held), pair)
             # The n-th cuts of both sides belong together.
             links = np.searchsorted(pair.codes, a[a_cut] * width + b[b_cut]).astype(np.int32)
             cuts = np.concatenate(([0], np.cumsum(a_cut)))[a_from]
