@@ -29,12 +29,18 @@ RULES = [
 ]
 
 
+def _partitions(spark) -> int | None:
+    """Set by a caller whose tables lie in files of one row group."""
+    wanted = spark.conf.get("docloom.partitions", None)
+    return int(wanted) if wanted else None
+
+
 def _documents(spark, folder) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
 def _pages(spark, folder) -> DataFrame:
-    return P.scan_pages(spark, f"{folder}/pages.parquet")
+    return P.scan_pages(spark, f"{folder}/pages.parquet", _partitions(spark))
 
 
 def _corpus(spark, folder) -> DataFrame:
@@ -77,7 +83,7 @@ def _index(spark, folder) -> index.Index:
     """Index of the whole corpus, built once per session and folder."""
     path = _index_path(spark.sparkContext.applicationId, folder)
     if not exists(spark, f"{path}/stats"):
-        return index.write_index(_corpus(spark, folder), path)
+        return index.write_index(_corpus(spark, folder), path, partitions=_partitions(spark))
     return index.read_index(spark, path)
 
 
@@ -385,7 +391,7 @@ def merge_index(spark, folder):
 
 def rebuild_index(spark, folder):
     path = scratch_path(spark, "index")
-    built = R.rebuild_index(_corpus(spark, folder), path)
+    built = R.rebuild_index(_corpus(spark, folder), path, _partitions(spark))
     return built.vocabulary.agg(
         F.count("*").alias("n_terms"),
         F.lit(built.n_docs).alias("n_docs"),

@@ -3,14 +3,14 @@
 Layout under one folder, each part split into numbered segments:
 
     postings/segment=N/bucket=B   one row per (term, document, column), sorted by term
-    vocabulary/segment=N          distinct terms, sorted
+    dictionary/segment=N/bucket=B one row per term: documents that it gains and its levels
     doc_len/segment=N             tokens per document
     retired/segment=N             (doc_id, old segment) pairs that segment N replaces
     stats/segment=N               document and token totals up to segment N; written last
 
 A refresh appends a segment for the changed documents only. Postings of replaced document
 versions stay in place and are removed on read by an anti-join with ``retired``, which is
-empty after a rebuild.
+empty after a rebuild; the dictionary of the segment that retires them counts them off.
 """
 
 from dataclasses import dataclass
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import tokenize
-from docloom.plans.scratch import exists
+from docloom.plans.scratch import exists, materialize
 from docloom.schemas import INDEXED, LONG, POSTINGS, STR
 
 BUCKETS = 16
@@ -87,6 +87,25 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def dictionary(postings: DataFrame) -> DataFrame:
+    """(term, bucket, df, levels): documents per term and what bounds its part of any score.
+
+    A level holds the documents whose frequency ``f`` of the term lies between two powers of two:
+    the largest ``f`` and the fewest tokens in it. No document of a level scores more than one that
+    has both, whatever the average length is at the time of a search.
+    """
+    per_doc = postings.groupBy("bucket", "term", "doc_id").agg(
+        F.sum("tf").alias("f"), F.max("n_tokens").alias("n")
+    )
+    level = F.floor(F.log2("f")).alias("level")
+    per_level = per_doc.groupBy("bucket", "term", level).agg(
+        F.count("*").alias("df"), F.max("f").cast("long").alias("f"), F.min("n").cast("long").alias("n")
+    )
+    return per_level.groupBy("term", "bucket").agg(
+        F.sum("df").alias("df"), F.collect_list(F.struct("f", "n")).alias("levels")
+    )
+
+
 def corpus_stats(doc_len: DataFrame) -> DataFrame:
     return doc_len.agg(
         F.count("*").alias("n_docs"),
@@ -100,13 +119,17 @@ class Index:
 
     path: str
     postings: DataFrame
-    vocabulary: DataFrame
+    dictionary: DataFrame
     doc_len: DataFrame
     n_docs: int
     n_tokens: int
     buckets: int
     segment: int
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self.dictionary.select("term")
+
     @property
     def avgdl(self) -> float:
         return self.n_tokens / self.n_docs if self.n_docs else 0.0
@@ -123,7 +146,16 @@ _STATS = T.StructType(
 )
 _PAIRS = T.StructType([T.StructField("doc_id", LONG), T.StructField("old", T.IntegerType()), _SEGMENT])
 _LENGTHS = T.StructType([T.StructField("doc_id", LONG), T.StructField("n_tokens", LONG), _SEGMENT])
-_WORDS = T.StructType([T.StructField("term", STR), _SEGMENT])
+_LEVELS = T.ArrayType(T.StructType([T.StructField("f", LONG), T.StructField("n", LONG)]))
+_TERMS = T.StructType(
+    [
+        T.StructField("term", STR),
+        T.StructField("df", LONG),
+        T.StructField("levels", _LEVELS),
+        T.StructField("bucket", T.IntegerType()),
+        _SEGMENT,
+    ]
+)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, segment: int) -> DataFrame:
@@ -144,7 +176,11 @@ def read_index(spark: SparkSession, path: str) -> Index:
     schema = T.StructType([*POSTINGS.fields, _SEGMENT])
     postings = _read(spark, f"{path}/postings", schema, last.segment)
     doc_len = _read(spark, f"{path}/doc_len", _LENGTHS, last.segment)
+    words = _read(spark, f"{path}/dictionary", _TERMS, last.segment).drop("segment")
     if last.segment > 0:
+        words = words.groupBy("term", "bucket").agg(
+            F.sum("df").alias("df"), F.flatten(F.collect_list("levels")).alias("levels")
+        ).filter("df > 0")
         retired = _read(spark, f"{path}/retired", _PAIRS, last.segment).select(
             "doc_id", F.col("old").alias("segment")
         )
@@ -153,7 +189,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(
         path=path,
         postings=postings,
-        vocabulary=_read(spark, f"{path}/vocabulary", _WORDS, last.segment).select("term"),
+        dictionary=words.select("term", "bucket", "df", "levels"),
         doc_len=doc_len,
         n_docs=last.n_docs,
         n_tokens=last.n_tokens,
@@ -162,11 +198,12 @@ def read_index(spark: SparkSession, path: str) -> Index:
     )
 
 
-def _write_segment(corpus: DataFrame, path: str, segment: int, buckets: int) -> None:
-    """Postings, vocabulary and lengths of ``corpus``; the statistics row is left to the caller.
+def _write_segment(corpus: DataFrame, path: str, segment: int, buckets: int, lost=None) -> None:
+    """Postings, dictionary and lengths of ``corpus``; the statistics row is left to the caller.
 
+    The texts are tokenised once: everything else is read from the postings written first.
     ``rebalance`` lets adaptive execution split the bucket of a very frequent term into
-    several even files, so no salt is needed.
+    several even files, so no salt is needed. ``lost`` are terms of retired documents.
     """
     spark = corpus.sparkSession
     (
@@ -178,60 +215,84 @@ def _write_segment(corpus: DataFrame, path: str, segment: int, buckets: int) ->
         .parquet(f"{path}/postings/segment={segment}")
     )
     written = spark.read.schema(POSTINGS).parquet(f"{path}/postings/segment={segment}")
+    words = dictionary(written)
+    if lost is not None:
+        words = words.unionByName(lost)
     (
-        written.select("term")
-        .distinct()
-        .sortWithinPartitions("term")
+        words.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
-        .parquet(f"{path}/vocabulary/segment={segment}")
+        .partitionBy("bucket")
+        .parquet(f"{path}/dictionary/segment={segment}")
     )
+    # A document without any token has no posting.
+    sizes = written.groupBy("doc_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"))
     (
-        doc_lengths(corpus)
+        corpus.select("doc_id").join(sizes, "doc_id", "left").fillna(0, ["n_tokens"])
         .write.mode("overwrite")
         .parquet(f"{path}/doc_len/segment={segment}")
     )
 
 
-def _write_stats(spark: SparkSession, path: str, segment: int, doc_len: DataFrame, buckets: int):
-    (
-        corpus_stats(doc_len)
-        .select("n_docs", "n_tokens", F.lit(buckets).alias("buckets"))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .parquet(f"{path}/stats/segment={segment}")
+def _totals(doc_len: DataFrame) -> tuple[int, int]:
+    row = corpus_stats(doc_len).first()
+    return row.n_docs, row.n_tokens
+
+
+def _write_stats(spark: SparkSession, path: str, segment: int, n_docs: int, n_tokens: int, buckets: int):
+    row = spark.range(1).select(
+        F.lit(n_docs).cast("long").alias("n_docs"),
+        F.lit(n_tokens).cast("long").alias("n_tokens"),
+        F.lit(buckets).alias("buckets"),
     )
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/segment={segment}")
     return read_index(spark, path)
 
 
-def write_index(corpus: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
-    """Full build (also the rebuild of an existing corpus) into the empty folder ``path``."""
+def write_index(
+    corpus: DataFrame, path: str, buckets: int = BUCKETS, partitions: int | None = None
+) -> Index:
+    """Full build (also the rebuild of an existing corpus) into the empty folder ``path``.
+
+    ``partitions`` deals the corpus anew before it is tokenised, for a corpus stored in a few
+    large row groups that Spark would read with as few tasks.
+    """
     spark = corpus.sparkSession
     if exists(spark, f"{path}/stats"):
         raise FileExistsError(f"{path} already holds an index; rebuild into a new folder")
+    if partitions:
+        corpus = corpus.repartition(partitions)
     _write_segment(corpus, path, 0, buckets)
-    doc_len = spark.read.schema(_LENGTHS).parquet(f"{path}/doc_len")
-    return _write_stats(spark, path, 0, doc_len, buckets)
+    totals = _totals(spark.read.schema(_LENGTHS).parquet(f"{path}/doc_len"))
+    return _write_stats(spark, path, 0, *totals, buckets)
 
 
 def merge_index(spark: SparkSession, path: str, changed: DataFrame) -> Index:
     """Append a segment for ``changed`` corpus rows and retire their older versions.
 
-    Nothing already written is rewritten. A run that failed before its statistics row was
+    Nothing already written is rewritten. Totals follow from the retired and the added
+    documents. The terms of retired documents are counted off in the new dictionary; for them the
+    term and id columns of the postings are read. A run that failed before its statistics row was
     written is invisible to readers and its segment number is used again.
     """
     current = read_index(spark, path)
     segment = current.segment + 1
-    old = current.doc_len.join(changed.select("doc_id"), "doc_id", "left_semi")
+    old = materialize(
+        current.doc_len.join(changed.select("doc_id"), "doc_id", "left_semi"), "retired"
+    )
     (
         old.select("doc_id", F.col("segment").alias("old"))
         .write.mode("overwrite")
         .parquet(f"{path}/retired/segment={segment}")
     )
-    _write_segment(changed, path, segment, current.buckets)
-    added = spark.read.schema(_LENGTHS).parquet(f"{path}/doc_len/segment={segment}")
-    kept = current.doc_len.join(added.select("doc_id"), "doc_id", "left_anti")
-    doc_len = kept.select("doc_id", "n_tokens").unionByName(added.select("doc_id", "n_tokens"))
-    return _write_stats(spark, path, segment, doc_len, current.buckets)
+    gone = current.postings.join(old.select("doc_id"), "doc_id", "left_semi")
+    gone = gone.groupBy("bucket", "term", "doc_id").agg(F.lit(1).alias("one"))
+    lost = gone.groupBy("term", "bucket").agg((-F.count("*")).alias("df"))
+    lost = lost.withColumn("levels", F.array().cast(_LEVELS))
+    _write_segment(changed, path, segment, current.buckets, lost)
+    added = _totals(spark.read.schema(_LENGTHS).parquet(f"{path}/doc_len/segment={segment}"))
+    left = [a - b + c for a, b, c in zip((current.n_docs, current.n_tokens), _totals(old), added, strict=True)]
+    return _write_stats(spark, path, segment, *left, current.buckets)
 
 
 def merge_postings(postings: DataFrame, changed: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -25,14 +25,17 @@ from docloom.plans.scratch import materialize
 from docloom.plans.local import local_table
 from docloom.schemas import CLAUSE, INDEXED, QUERIES
 
-# More distinct terms than this are joined instead of being pushed into the scan.
-PUSHED_TERMS = 200
+KINDS = ("all", "any", "not")
 
 
 def clause(phrase, kind="all", slot=0, cols=None, prefix=False, initial=False):
     """One clause; ``cols`` are column names, a leading '-' excludes instead."""
+    if kind not in KINDS:
+        raise ValueError(f"kind of a clause: {kind}, not one of {', '.join(KINDS)}")
     if cols is not None:
         named = {c.lstrip("-") for c in cols}
+        if not named <= set(INDEXED):
+            raise ValueError(f"no indexed column {', '.join(sorted(named - set(INDEXED)))}")
         keep = all(c.startswith("-") for c in cols)
         cols = [i for i, name in enumerate(INDEXED) if (name in named) != keep]
     return Row(
@@ -179,8 +182,7 @@ class Batch:
 
     clauses: DataFrame
     queries: int
-    tokens: int
-    simple: bool
+    restricted: bool
     positional: bool
     near: bool
     prefix_lengths: list
@@ -193,25 +195,41 @@ def _positional() -> Column:
     return (F.size("tokens") > 1) | F.col("initial") | F.col("near_key").isNotNull()
 
 
+def _plain() -> Column:
+    """One whole word in any column: the dictionary knows all that its weight needs."""
+    return ~_positional() & F.col("cols").isNull() & ~F.col("prefix")
+
+
 def parse(queries: DataFrame) -> Batch:
-    """Tokenise a ``QUERIES`` table once and look over it; every fact has a fixed size."""
+    """Tokenise a ``QUERIES`` table once and look over it; every fact has a fixed size.
+
+    Raises ValueError for a kind or a column that does not exist and for a repeated query_id.
+    """
     clauses = materialize(clause_rows(queries), "clauses")
     last = F.length(F.element_at("tokens", -1))
+    bad_cols = F.exists("cols", lambda c: (c < 0) | (c >= len(INDEXED)))
     row = clauses.agg(
         F.count_distinct("query_id").alias("queries"),
-        F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"),
-        F.bool_or(~_positional()).alias("simple"),
+        F.bool_or(F.col("kind").isNull() | ~F.col("kind").isin(*KINDS)).alias("bad_kind"),
+        F.bool_or(F.coalesce(bad_cols, F.lit(False))).alias("bad_cols"),
+        (F.count("*") - F.count_distinct("query_id", "clause_id")).alias("repeated"),
+        F.bool_or(~_positional() & ~_plain()).alias("restricted"),
         F.bool_or(_positional()).alias("positional"),
         F.bool_or(F.col("near_key").isNotNull()).alias("near"),
         F.collect_set(F.when(F.col("prefix"), last)).alias("lengths"),
         F.bool_and((F.col("n_slots") == 1) & F.col("slot").isNotNull()).alias("single_slot"),
         F.bool_or(F.col("source").isNotNull()).alias("source_bound"),
     ).first()
+    if row.bad_kind:
+        raise ValueError(f"a clause has a kind that is not one of {', '.join(KINDS)}")
+    if row.bad_cols:
+        raise ValueError(f"a clause names a column beyond the {len(INDEXED)} indexed ones")
+    if row.repeated:
+        raise ValueError("a query_id occurs more than once")
     return Batch(
         clauses=clauses,
         queries=row.queries,
-        tokens=row.tokens,
-        simple=bool(row.simple),
+        restricted=bool(row.restricted),
         positional=bool(row.positional),
         near=bool(row.near),
         prefix_lengths=sorted(row.lengths),
@@ -228,13 +246,14 @@ def pattern_tokens(batch: Batch, index: Index) -> DataFrame:
     """
     # A word that is also part of a proximity clause is looked up once, with positions.
     patterns = batch.clauses.groupBy("pattern", "tokens", "cols", "prefix", "initial").agg(
-        F.bool_or(_positional()).alias("positional")
+        F.bool_or(_positional()).alias("positional"), F.bool_and(_plain()).alias("plain")
     )
     tokens = patterns.select(
         "pattern",
         "cols",
         "initial",
         "positional",
+        "plain",
         "prefix",
         F.size("tokens").alias("n_terms"),
         F.posexplode("tokens").alias("idx", "term"),
@@ -254,20 +273,35 @@ def pattern_tokens(batch: Batch, index: Index) -> DataFrame:
     return tokens.drop("prefix")
 
 
-def look_up(tokens: DataFrame, index: Index, batch: Batch) -> DataFrame:
-    """Postings of the wanted terms. A short term list is pushed down into the scan."""
-    postings = index.postings
-    if batch.prefix_lengths or batch.tokens <= PUSHED_TERMS:
-        terms = tokens.select("term").distinct().limit(PUSHED_TERMS + 1)
-        bucket = bucket_of(F.col("term"), index.buckets).alias("bucket")
-        terms = terms.select("term", bucket).collect()
-        if len(terms) <= PUSHED_TERMS:
-            postings = postings.filter(
-                F.col("bucket").isin(sorted({t.bucket for t in terms}))
-                & F.col("term").isin([t.term for t in terms])
-            )
+def pattern_terms(batch: Batch, index: Index) -> DataFrame:
+    """``pattern_tokens`` with what the dictionary holds of each term: bucket, df and levels.
+
+    Written once: it is small, and its measured size lets Spark broadcast it to the postings.
+    """
+    tokens = pattern_tokens(batch, index).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    return materialize(tokens.filter("n_terms > 0").join(index.dictionary, ["bucket", "term"]), "terms")
+
+
+def look_up(terms: DataFrame, index: Index) -> DataFrame:
+    """Postings of the wanted terms, by join on bucket and term.
+
+    The dictionary's buckets prune the partitions of the postings at run time, for two terms as
+    for thousands.
+    """
     wanted = F.col("cols").isNull() | F.array_contains("cols", F.col("col"))
-    return postings.join(tokens, "term").filter(wanted)
+    terms = terms.filter("df > 0").drop("df", "levels")
+    return index.postings.join(terms, ["bucket", "term"]).filter(wanted)
+
+
+def word_hits(terms: DataFrame, index: Index, keys: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(key, doc_id, f, n_tokens) of plain words among ``keys``, of all documents or of ``docs``."""
+    wanted = terms.filter("plain").join(keys.select(F.col("key").alias("pattern")).distinct(), "pattern", "left_semi")
+    found = look_up(wanted, index).select("pattern", "doc_id", "tf", "n_tokens")
+    if docs is not None:
+        found = found.join(docs, "doc_id", "left_semi")
+    return found.groupBy(F.col("pattern").alias("key"), "doc_id").agg(
+        F.sum("tf").alias("f"), F.max("n_tokens").alias("n_tokens")
+    )
 
 
 def phrase_starts(found: DataFrame) -> DataFrame:
@@ -344,30 +378,22 @@ def near_starts(batch: Batch, starts: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Hits:
-    """``hits``: (key, doc_id, f, n_tokens); ``df``: documents per pattern."""
-
-    hits: DataFrame
-    df: DataFrame
+HITS = "key string, doc_id long, f long, n_tokens int"
 
 
-def pattern_hits(batch: Batch, index: Index) -> Hits:
-    """Hits of all patterns, written once: frequencies, candidates and scores all use them.
-
-    Reading them back also gives the optimizer their true size for the joins that follow.
-    """
-    tokens = pattern_tokens(batch, index)
-    parts = []
-    if batch.simple:
-        found = look_up(tokens.filter(~F.col("positional")), index, batch)
+def pattern_hits(batch: Batch, terms: DataFrame, index: Index) -> DataFrame:
+    """(key, doc_id, f, n_tokens) of all patterns but plain words, written once: their
+    frequencies, candidates and scores come from here."""
+    parts = [index.postings.sparkSession.createDataFrame([], HITS)]
+    if batch.restricted:
+        found = look_up(terms.filter(~F.col("positional") & ~F.col("plain")), index)
         parts.append(
             found.groupBy(F.col("pattern").alias("key"), "doc_id").agg(
                 F.sum("tf").alias("f"), F.max("n_tokens").alias("n_tokens")
             )
         )
     if batch.positional:
-        starts = phrase_starts(look_up(tokens.filter("positional"), index, batch))
+        starts = phrase_starts(look_up(terms.filter("positional"), index))
         if batch.near:
             starts = materialize(starts, "starts")
             close = near_starts(batch, starts).groupBy("key", "doc_id")
@@ -377,8 +403,9 @@ def pattern_hits(batch: Batch, index: Index) -> Hits:
                 F.sum(F.size("starts")).alias("f"), F.max("n_tokens").alias("n_tokens")
             )
         )
-    hits = materialize(reduce(DataFrame.unionByName, parts), "hits")
-    return Hits(hits, hits.groupBy(F.col("key").alias("pattern")).agg(F.count("*").alias("df")))
+    if len(parts) == 1:
+        return parts[0]
+    return materialize(reduce(DataFrame.unionByName, parts[1:]), "hits")
 
 
 def match_all(left: DataFrame, right: DataFrame) -> DataFrame:

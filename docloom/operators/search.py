@@ -6,14 +6,12 @@ from pyspark.sql import types as T
 
 from docloom.operators.index import Index
 from docloom.operators.match import Batch, parse, text_queries
-from docloom.operators.rank import bm25, top_k
+from docloom.operators.rank import bm25, bm25_best, top_k
 from docloom.operators.snippet import with_snippet
 from docloom.plans.local import local_table
+from docloom.plans.scratch import materialize
 from docloom.schemas import STR
 
-# Result rows up to this number may pass through the driver to prune the corpus scan.
-PUSHED_ROWS = 1000
-
 
 def filter_source(scored: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Keep hits of the query's source; NULL means no restriction.
@@ -28,17 +26,13 @@ def filter_source(scored: DataFrame, corpus: DataFrame, queries: DataFrame) -> D
     return free.unionByName(bound.drop("wanted"))
 
 
-def join_corpus(hits: DataFrame, corpus: DataFrame, bounded: bool) -> DataFrame:
-    """Stored columns for ranked hits.
+def join_corpus(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Stored columns for ranked hits, by one join.
 
-    A bounded number of hits is fetched once, so that their ids reach the Parquet scan as
-    a pushed filter and only matching row groups of the corpus are read. A larger number is
-    joined, with the strategy chosen by Spark from the measured sizes.
+    The ranked hits are written first: they are few, and with their size measured Spark
+    broadcasts them where that pays, so that the corpus is read in place.
     """
-    if bounded:
-        rows = [row.asDict() for row in hits.collect()]
-        hits = local_table(hits.sparkSession, rows, hits.schema)
-        corpus = corpus.filter(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
+    hits = materialize(hits, "ranked")
     stored = corpus.select("doc_id", "title", "url", "source", "content")
     return hits.join(stored, "doc_id")
 
@@ -49,6 +43,9 @@ def rank_batch(queries: DataFrame, index: Index, corpus: DataFrame, k: int = 10)
 
 
 def _rank(batch: Batch, index: Index, corpus: DataFrame, k: int) -> DataFrame:
+    # A source is tested after scoring, so the best of it may be far down among all documents.
+    if k > 0 and batch.queries and batch.single_slot and not batch.source_bound:
+        return top_k(bm25_best(batch, index, k), k).select("query_id", "rank", "doc_id", "score")
     scored = bm25(batch, index)
     if batch.source_bound:
         scored = filter_source(scored, corpus, batch.clauses)
@@ -60,8 +57,7 @@ def search_batch(
 ) -> DataFrame:
     """All queries of a ``QUERIES`` table: query_id, rank, id, title, url, source, score, snippet."""
     batch = parse(queries)
-    bounded = 0 <= k * batch.queries <= PUSHED_ROWS
-    rows = join_corpus(_rank(batch, index, corpus, k), corpus, bounded)
+    rows = join_corpus(_rank(batch, index, corpus, k), corpus)
     shown = ["query_id", "rank", F.col("doc_id").alias("id"), "title", "url", "source", "score"]
     if snippets:
         rows = with_snippet(rows, batch, index)

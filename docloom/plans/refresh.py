@@ -106,6 +106,6 @@ def refresh(
     return apply_batch(pages.sparkSession, batch, sources, corpus_path, index_path)
 
 
-def rebuild_index(corpus: DataFrame, path: str) -> Index:
+def rebuild_index(corpus: DataFrame, path: str, partitions: int | None = None) -> Index:
     """A fresh index in a new folder, with all replaced postings gone."""
-    return write_index(corpus, path)
+    return write_index(corpus, path, partitions=partitions)

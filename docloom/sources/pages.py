@@ -13,8 +13,11 @@ def page_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType([*PAGES.fields, *[f for f in CAPTURE.fields if f.name in stored]])
 
 
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(page_schema(spark, path)).parquet(path)
+def scan_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Stored pages. ``partitions`` deals them anew, for files of a few large row groups that Spark
+    would read with as few tasks."""
+    pages = spark.read.schema(page_schema(spark, path)).parquet(path)
+    return pages.repartition(partitions) if partitions else pages
 
 
 def admit_fetch(pages: DataFrame) -> DataFrame:
