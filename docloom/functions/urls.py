@@ -167,6 +167,66 @@ def matches_rules(url: Column, include: Column, exclude: Column) -> Column:
     return wanted & ~F.exists(exclude, lambda p: F.rlike(url, p))
 
 
+# Path segments that rules and URLs are compared by ahead of the regular expressions.
+KEY_SEGMENTS = 8
+
+# The signs that a pattern does not take literally, and those that repeat what
+# stands before them; the ending of a scope that takes the start page with and without slash.
+_SIGNS = r"\\.^$*+?()\[\]{}|"
+_REPEATS = ("*", "+", "?", "{")
+SLASH_OR_END = "(/|$)"
+
+
+def _rest(url: Column) -> Column:
+    """Everything behind the authority."""
+    return F.regexp_extract(url, r"(?s)^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)$", 1)
+
+
+def path_keys(url: Column) -> Column:
+    """What stands behind the authority up to each slash (without it), and as a whole:
+    'https://h/a/b' gives ['', '/a', '/a/b']. Only the first ``KEY_SEGMENTS`` segments count."""
+    whole = F.regexp_replace(_rest(url), "(\r\n|[\n\r\u0085\u2028\u2029])$", "")
+    return let(
+        F.split(whole, "/", -1),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.least(F.size(parts), F.lit(KEY_SEGMENTS + 1))),
+            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
+        ),
+    )
+
+
+def pattern_key(pattern: Column, domain: Column) -> Column:
+    """A key that ``path_keys`` of every URL on the host ``domain`` has which ``pattern`` matches.
+
+    Only a pattern that is tied to the start and names scheme and host (as they are or escaped)
+    says something about the path: its literal beginning, up to the last slash. All
+    others, and those with alternatives, get '' as every URL does.
+    """
+    escaped = F.regexp_replace(domain, f"([{_SIGNS}])", r"\\$1")
+    tail = F.lit("")
+    for host in (escaped, domain):
+        for scheme in ("http://", "https://"):
+            start = F.concat(F.lit("^" + scheme), host)
+            behind = F.substring(pattern, F.length(start) + 1, F.length(pattern))
+            tail = F.when(pattern.startswith(F.concat(start, F.lit("/"))), behind).otherwise(tail)
+
+    def literal(tail):
+        ends = tail.endswith(SLASH_OR_END)
+        body = F.when(ends, F.substring(tail, F.lit(1), F.length(tail) - len(SLASH_OR_END))).otherwise(tail)
+        run = F.regexp_extract(body, rf"^((?:[^{_SIGNS}]|\\[^A-Za-z0-9])*)", 1)
+        after = F.substring(body, F.length(run) + 1, F.lit(1))
+        run = F.when(after.isin(*_REPEATS), F.regexp_replace(run, r"(\\.|.)$", "")).otherwise(run)
+        text = F.regexp_replace(run, r"\\(.)", "$1")
+        # A literal that the pattern's own ending closes is a whole segment, any other is cut.
+        whole = ends & (after == "")
+        cut = F.regexp_replace(text, "/[^/]*$", "")
+        key = F.when(whole, F.regexp_replace(text, "/$", "")).otherwise(cut)
+        key = F.array_join(F.slice(F.split(key, "/", -1), 1, KEY_SEGMENTS + 1), "/")
+        return F.when(body.contains("|"), "").otherwise(key)
+
+    return let(tail, literal)
+
+
 def package_include_pattern(doc_url: Column, doc_type: Column, repair: bool = False) -> Column:
     """Scope pattern of a seed URL.
 

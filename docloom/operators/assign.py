@@ -1,9 +1,11 @@
-"""Which sources a URL belongs to, as an equi-join on host."""
+"""Which sources a URL belongs to, as an equi-join on host and path beginning."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.urls import authority, host_allowed, host_suffixes, matches_rules
+from docloom.functions.urls import (
+    authority, host_allowed, host_suffixes, matches_rules, path_keys, pattern_key,
+)
 
 RULE_COLUMNS = ("source", "source_ord", "_include", "_exclude")
 
@@ -53,16 +55,41 @@ def keep_own(rows: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame
     return rows.join(rules, "source").filter(fits).drop("_domains", "_include", "_exclude")
 
 
-def assign_sources(pages: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
-    """All (row, source) pairs whose host and patterns fit; adds source and source_ord.
+def rule_keys(by_host: DataFrame) -> DataFrame:
+    """Rules of a host by what their URLs' paths must begin with; '' where a rule does not say.
 
-    Rules are first matched with the distinct hosts, through the suffixes of each host, and
-    then joined with the rows on the whole host. Neither side is compared pair by pair, and
-    short suffixes such as 'com' never meet the page table.
+    Of one rule's keys those that begin with another one are left out, so a URL meets a rule once.
+    """
+    keys = F.array_distinct(F.transform("_include", lambda p: pattern_key(p, F.col("_domain"))))
+    open_ = (F.size("_include") == 0) | (F.col("_host") != F.col("_domain"))
+    keys = F.when(open_, F.array(F.lit(""))).otherwise(keys)
+    keyed = by_host.withColumn("_keys", keys)
+    least = F.filter(
+        "_keys",
+        lambda k: ~F.exists(
+            "_keys", lambda o: (o != k) & ((o == "") | k.startswith(F.concat(o, F.lit("/"))))
+        ),
+    )
+    return keyed.withColumn("_key", F.explode(least)).drop("_keys", "_domain")
+
+
+def candidate_rules(pages: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
+    """Rows with each rule whose host and path beginning fit, ahead of the regular expressions.
+
+    Rules are first matched with the distinct hosts, through the suffixes of each host. Rows then
+    meet the rules of their host on the path, cut at its slashes: a host may have any number
+    of rules for its sub-paths, and a row meets those of its own path only. Rows are repeated for
+    the few cuts of a path, so they should be narrow.
     """
     hosts = pages.select(F.lower(authority(F.col(url))).alias("_host")).distinct()
     suffixes = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_domain"))
-    by_host = suffixes.join(domain_rules(sources), "_domain").drop("_domain")
+    rules = rule_keys(suffixes.join(domain_rules(sources), "_domain"))
     tagged = pages.withColumn("_host", F.lower(authority(F.col(url))))
+    tagged = tagged.withColumn("_key", F.explode(path_keys(F.col(url))))
+    return tagged.join(rules, ["_host", "_key"]).drop("_host", "_key")
+
+
+def assign_sources(pages: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
+    """All (row, source) pairs whose host and patterns fit; adds source and source_ord."""
     fits = matches_rules(F.col(url), F.col("_include"), F.col("_exclude"))
-    return tagged.join(by_host, "_host").filter(fits).drop("_host", "_include", "_exclude")
+    return candidate_rules(pages, sources, url).filter(fits).drop("_include", "_exclude")
