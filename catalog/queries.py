@@ -31,7 +31,7 @@ RULES = [
 
 def _partitions(spark) -> int | None:
     """Set by a caller whose tables lie in files of one row group."""
-    wanted = spark.conf.get("docloom.partitions", None)
+    wanted = spark.conf.get("spark.docloom.partitions", None)
     return int(wanted) if wanted else None
 
 
