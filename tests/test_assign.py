@@ -68,7 +68,7 @@ def test_keys(spark):
     ).first()
     assert row.deep == ["", "/a", "/a/b?x#y"] and row.bare == [""]
     assert [row[f"p{i}"] for i in range(len(PATTERNS))] == [
-        "/a", "/a/b", "/a", "", "", "", "", "/a", "", "", "", "/a.b", "", "", "", "/a/?q=", "", "", "",
+        "/a", "/a/b", "/a", "", "", "", "", "/a", "", "", "", "/a.b", "", "", "", "/a/?q=/x", "", "", "",
         "/a/b/c/d/e/f/g/h", "",
     ]
 
