@@ -3,8 +3,9 @@
 Markup is stripped to one line for each block element, a removed part (menu, advert, form ...)
 leaving empty lines. Text lengths, without link text, are summed over a sliding window of
 lines; a region goes from a surge, where the sums leave zero, to the dive where they return
-to it, and everything between is kept, short lines too. On a page with an article or main
-element all regions inside it are kept, else those that come near the highest sum.
+to it. The main text lies between the first surge and the last dive of the regions that belong to
+it, and everything between them is kept, short and linked lines too. An article or main element
+bounds the lines that are looked at.
 """
 
 import html
@@ -19,8 +20,10 @@ from docloom.llm.common import slices, texts
 
 #: Lines in a window; a removed part leaves as many empty ones.
 WINDOW = 3
-#: Share of the highest sum that a region outside an article must reach.
+#: Share of the highest sum at which a region belongs to the text by itself. Smaller ones do with
+#: a heading, with a sentence of their own, or between two others.
 NEAR = 0.25
+SENTENCE = re.compile(r"\S\s.*[.!?…:;][\"'”’»)\]]*$")
 
 #: Element names by role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
@@ -42,12 +45,12 @@ VOID = {
 }
 #: Whole class, id or role names of removed parts, alone or with a usual word before or after.
 MARKED = re.compile(
-    r"(?:(?:site|page|main|top|bottom|global)[_-])?"
-    r"(?:ads?|advert(?:s|isement)?|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu"
+    r"(?:(?:site|page|main|top|bottom|global|post|article|blog|entry|user|reader)[_-])?"
+    r"(?:ads?|adverts?|advertisements?|alerts?|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu"
     r"|modal|nav|navbar|navigation|newsletter|notice|popup|promo|recommended|related|share|sharing"
     r"|sidebar|signup|social|sponsored|subscribe|toolbar|widget)"
     r"(?:[_-](?:area|banner|bar|block|box|buttons?|consent|container|links?|list|menu|notice|section"
-    r"|slot|widget|wrapper))?",
+    r"|slot|widget|wrapper|this|top|bottom|left|right|thread|form|reply|count|\d+(?:x\d+)?))?",
     re.I,
 )
 #: Elements that no name removes.
@@ -59,6 +62,9 @@ TAG = re.compile(
 )
 LABEL = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3"}
+FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
+STORY = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -68,6 +74,8 @@ class Lines:
     text: list[str] = field(default_factory=list)
     weight: list[int] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)
+    heading: list[bool] = field(default_factory=list)
+    titled: bool = False
     parts: list[str] = field(default_factory=list)
     plain: int = 0
 
@@ -83,13 +91,15 @@ class Lines:
             self.text.append(line)
             self.weight.append(self.plain)
             self.inside.append(inside)
-        self.parts, self.plain = [], 0
+            self.heading.append(self.titled)
+        self.parts, self.plain, self.titled = [], 0, False
 
     def gap(self, inside: bool) -> None:
         self.end(inside)
         self.text += [""] * WINDOW
         self.weight += [0] * WINDOW
         self.inside += [inside] * WINDOW
+        self.heading += [False] * WINDOW
 
 
 def _marked(attributes: str) -> bool:
@@ -97,6 +107,17 @@ def _marked(attributes: str) -> bool:
     return any(MARKED.fullmatch(name) for name in names)
 
 
+def _holds(page: str, at: int, name: str, article: int) -> bool:
+    """Whether an element of a dropped name holds the story itself: the header of an article, or a
+    form around an article or a heading."""
+    if name == "header":
+        return article > 0
+    if name != "form":
+        return False
+    end = FORM_END.search(page, at)
+    return STORY.search(page, at, end.start() if end else len(page)) is not None
+
+
 def read_lines(page: str, marks: bool = True) -> Lines:
     """The page's blocks in order; unclosed parts end with the page. Without ``marks`` only
     element names remove parts."""
@@ -132,8 +153,10 @@ def read_lines(page: str, marks: bool = True) -> Lines:
                 skipped = ""
             else:
                 continue
-        marked = marks and not closing and name not in KEPT and _marked(tag[3])
-        if not closing and name not in VOID and (name in DROPPED or marked):
+        # Articles inside an article are comments if they say so.
+        kept = name in KEPT and not (name == "article" and article > 0)
+        marked = marks and not closing and not kept and _marked(tag[3])
+        if not closing and name not in VOID and (marked or name in DROPPED and not _holds(page, at, name, article)):
             lines.gap(article > 0)
             skipped, depth = name, 1
             continue
@@ -142,6 +165,7 @@ def read_lines(page: str, marks: bool = True) -> Lines:
         elif name in ("br", "td", "th"):
             lines.parts.append(" ")
         if name not in INLINE:
+            lines.titled = lines.titled or closing and name in HEADINGS
             lines.end(article > 0)
             links = 0
             if name in MAIN:
@@ -151,7 +175,7 @@ def read_lines(page: str, marks: bool = True) -> Lines:
 
 
 def main_text(page: str) -> str:
-    """Blocks of the main text, joined by line feeds."""
+    """Blocks of the main text in page order, joined by two line feeds."""
     lines = read_lines(page)
     if not any(lines.text):
         lines = read_lines(page, marks=False)  # a marked wrapper holds the whole page
@@ -164,25 +188,26 @@ def main_text(page: str) -> str:
     for k, weight in enumerate(weights):
         run += weight - (weights[k - WINDOW] if k >= WINDOW else 0)
         sums.append(run)
-    highest = max(sums, default=0)
-    # Regions: lines from a surge to its dive, with the highest sum between them.
-    regions: list[tuple[int, list[str]]] = []
-    before = 0
-    for k, total in zip(keep, sums, strict=True):
-        if total and not before:
-            regions.append((0, []))
+    # Regions: places of the surge and the dive.
+    regions: list[list[int]] = []
+    for k, total in enumerate(sums):
+        if total and (not k or not sums[k - 1]):
+            regions.append([k, k])
         if total:
-            peak, text = regions[-1]
-            regions[-1] = (max(peak, total), text)
-        before = total
-        if lines.text[k]:
-            if not total and not bounded:
-                continue
-            if not total:
-                regions.append((0, []))
-            regions[-1][1].append(lines.text[k])
-    return "\n".join(
-        line for peak, text in regions if bounded or peak >= NEAR * highest for line in text
+            regions[-1][1] = k
+    highest = max(sums, default=0)
+
+    def belongs(first: int, last: int) -> bool:
+        rows = range(first, last + 1)
+        return bounded or max(sums[first : last + 1]) >= NEAR * highest or any(
+            lines.heading[keep[k]] or weights[k] and SENTENCE.search(lines.text[keep[k]]) for k in rows
+        )
+
+    own = [region for region in regions if belongs(*region)]
+    if not own:
+        return "\n\n".join(lines.text[k] for k in keep if lines.text[k])
+    return "\n\n".join(
+        lines.text[k] for k in keep[own[0][0] : own[-1][1] + 1] if lines.text[k]
     )
 
 

@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE = {
-    # The pages of the tables keep their main text in one article of h1 and p elements.
+    # The pages of the tables keep their main text in one article of h1 and p elements; blocks are
+    # joined by two line feeds.
     "op3_html_extraction": r"""
         WITH articles AS (
             SELECT page_id, url,
@@ -16,7 +17,7 @@ ORACLE = {
             FROM articles
         ), texts AS (
             SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(
-                b, lambda x: regexp_replace(x, '&amp;?', '&', 'g')), lambda x: x <> ''), chr(10)), '') AS text
+                b, lambda x: regexp_replace(x, '&amp;?', '&', 'g')), lambda x: x <> ''), chr(10) || chr(10)), '') AS text
             FROM blocks
         )
         SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts

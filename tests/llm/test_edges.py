@@ -96,7 +96,7 @@ def test_edge_rows_give_whole_results(spark, edge_tables, name):
         assert {(r.doc_id, r.item_id) for r in rows} == {(5, 1), (3, 1), (None, 1)}
     if name == "op3_html_extraction":
         assert {(r.page_id, r.text) for r in rows if r.page_id != 3} == {
-            (1, "T\nOne & two"), (2, ""), (None, "")
+            (1, "T\n\nOne & two"), (2, ""), (None, "")
         }
     if name == "op11_suffix_array_dedup":
         gone = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rows}

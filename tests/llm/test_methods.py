@@ -114,13 +114,13 @@ def test_counts_match_a_plain_count(spark):
     "page, text",
     [
         ("<nav>a</nav><article><h1>T</h1><p>x\n  y<br>z</p><p>a &lt;b&gt; &#39;q&#39;</article>f",
-         "T\nx y z\na <b> 'q'"),
-        ("<article><p>one</p><div class='ad'>buy</div><aside>s</aside><p>two</article>", "one\ntwo"),
+         "T\n\nx y z\n\na <b> 'q'"),
+        ("<article><p>one</p><div class='ad'>buy</div><aside>s</aside><p>two</article>", "one\n\ntwo"),
         ("<div class=\"comments\"><p>c</p></div><main><p>m <b>n</b>o</p></main>", "m no"),
         ("<div id=sidebar><div>x</div></div><div><p>" + "body text " * 9 + "</p><p>It.</p></div>",
-         "body text " * 8 + "body text\nIt."),
+         "body text " * 8 + "body text\n\nIt."),
         ("<script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>x</p> --><p>y</p>", "y"),
-        ("<article><p title='a>b'>t</p><p>cut &am", "t\ncut &am"),
+        ("<article><p title='a>b'>t</p><p>cut &am", "t\n\ncut &am"),
         ("", ""),
         ("plain text only", "plain text only"),
     ],
@@ -129,6 +129,37 @@ def test_main_text(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = "<p>" + "body text of the story " * 9 + "</p>"
+BODY = "body text of the story " * 8 + "body text of the story"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # A heading before an advert, a short closing paragraph, a paragraph that is one link.
+        (f"<h1>Head</h1><div class=ad>buy</div>{LONG}", f"Head\n\n{BODY}"),
+        (f"<nav>m</nav><h1>Head</h1>{LONG}<div class=ad>buy</div><p>It ends here.</p>",
+         f"Head\n\n{BODY}\n\nIt ends here."),
+        (f"<article>{LONG}<div class=ad>buy</div><p>The End</p></article>", f"{BODY}\n\nThe End"),
+        (f"{LONG}<p><a>l1</a></p><p><a>l2</a></p><p><a>l3</a></p><p><a>l4</a></p>{LONG}",
+         f"{BODY}\n\nl1\n\nl2\n\nl3\n\nl4\n\n{BODY}"),
+        # A header or a form that holds the story.
+        (f"<article><header><h1>Head</h1></header>{LONG}</article>", f"Head\n\n{BODY}"),
+        (f"<body><form action=x><nav>m</nav><article><h1>Head</h1>{LONG}</article></form></body>",
+         f"Head\n\n{BODY}"),
+        # Reader comments, adverts, notices and share bars.
+        (f'<main>{LONG}<article class="comment"><p>So true, I like it.</p></article></main>', BODY),
+        (f'<main>{LONG}<div class="post-comments"><p>So true, I like it.</p></div></main>', BODY),
+        (f'<article><div class="ad-300x250">a</div>{LONG}<div class="advert-top">b</div></article>', BODY),
+        (f'<article>{LONG}<div class="share-this">c</div><div class="alert">d</div></article>', BODY),
+        # A list of links behind the text is outside its last dive.
+        (f"<main>{LONG}<ul>" + "<li><a>x</a></li>" * 9 + "</ul></main>", f"{BODY}\n\nx\n\nx"),
+    ],
+)
+def test_main_text_lies_between_first_surge_and_last_dive(page, text):
+    assert main_text.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -138,9 +169,9 @@ def test_main_text(page, text):
         ('<main class="comments-open comments"><p>one</p></main>', "one"),
         ('<div class="no-sidebar"><p>one</p></div>', "one"),
         ('<div class="widget"><p>one</p></div>', "one"),
-        ('<article><h2 id="share-price">S</h2><div class="social-history">x</div></article>', "S\nx"),
+        ('<article><h2 id="share-price">S</h2><div class="social-history">x</div></article>', "S\n\nx"),
         ("<article><h2 id=share>S</h2><div class='ad'>b</div><div class='share-buttons'>b</div></article>", "S"),
-        ("<article><figure><img><figcaption>cap</figcaption></figure><p>t</p></article>", "cap\nt"),
+        ("<article><figure><img><figcaption>cap</figcaption></figure><p>t</p></article>", "cap\n\nt"),
         ("<article><p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> it is</p></article>", "so a=1 it is"),
         ("<article><object><param name=x><p>plain</p></object></article>", "plain"),
     ],
