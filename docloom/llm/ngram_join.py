@@ -76,56 +76,61 @@ def _blocks(batches, column: int, most: int = 200_000):
             yield batch, rows, sets
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, vertex, n_shingles) of every document; vertex is null for an empty set."""
+def _cut(shingles: np.ndarray, over: int, under: int) -> np.ndarray:
+    """The hash-order prefix of a set, ``TOKEN_BITS`` of each hash."""
+    n = len(shingles)
+    return shingles[: n + -over * n // under + 1 + n // SPARE] >> U(64 - TOKEN_BITS)
 
-    def sizes(batches):
+
+def _prefixes(texts: DataFrame, over: int, under: int) -> DataFrame:
+    """(token): the hash-order prefix of each distinct set of a task."""
+
+    def cut(batches):
+        done: set[int] = set()
+        for _, _, sets in _blocks(batches, 0):
+            tokens = []
+            for s in sets:
+                if len(s) and (key := _vertex(s)) not in done:
+                    done.add(key)
+                    tokens.append(_cut(s, over, under))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64))], ["token"])
+
+    return texts.mapInArrow(cut, "token long")
+
+
+def document_sets(
+    docs: DataFrame, id_col: str, text_col: str, over: int, under: int, known
+) -> DataFrame:
+    """(doc_id, vertex, n_shingles, tokens) of every document; vertex is null for an empty set.
+    The first document of a vertex in a task has the tokens of its prefix that pass ``known``."""
+
+    def read(batches):
+        done: set[int] = set()
         for batch, rows, sets in _blocks(batches, 1):
-            keys = [_signed(_vertex(s)) if len(s) else None for s in sets]
+            keys, tokens = [], []
+            for s in sets:
+                key = _vertex(s) if len(s) else None
+                if key is None or key in done:
+                    tokens.append(None)
+                else:
+                    done.add(key)
+                    prefix = _cut(s, over, under)
+                    prefix = prefix[passes(known.value, prefix, TOKEN_BITS, FILTER_BITS)]
+                    tokens.append(prefix.view(np.int64))
+                keys.append(None if key is None else _signed(key))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(rows[0], len(rows)),
                     pa.array(keys, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(tokens, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "vertex", "n_shingles"],
+                ["doc_id", "vertex", "n_shingles", "tokens"],
             )
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return ids.mapInArrow(sizes, "doc_id long, vertex long, n_shingles long")
-
-
-def _prefixes(texts: DataFrame, tenths: tuple[int, int], known=None) -> DataFrame:
-    """(vertex, n, token): hash-order prefixes; with ``known`` only tokens that pass it."""
-    over, under = tenths
-
-    def cut(batches):
-        done: set[int] = set()
-        for _, _, sets in _blocks(batches, 0):
-            keys, sizes, tokens = [], [], []
-            for s in sets:
-                if not len(s) or (key := _vertex(s)) in done:
-                    continue
-                done.add(key)
-                n = len(s)
-                prefix = s[: n + over * n // under + 1 + n // SPARE] >> U(64 - TOKEN_BITS)
-                if known is not None:
-                    prefix = prefix[passes(known.value, prefix, TOKEN_BITS, FILTER_BITS)]
-                if len(prefix):
-                    keys.append(np.full(len(prefix), key, dtype=U))
-                    sizes.append(np.full(len(prefix), n, dtype=np.int32))
-                    tokens.append(prefix)
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.concatenate(sizes)),
-                        pa.array(np.concatenate(tokens).view(np.int64)),
-                    ],
-                    ["vertex", "n", "token"],
-                )
-
-    return texts.mapInArrow(cut, "vertex long, n int, token long")
+    return ids.mapInArrow(read, "doc_id long, vertex long, n_shingles long, tokens array<long>")
 
 
 def _sets(texts: DataFrame, known) -> DataFrame:
@@ -155,15 +160,22 @@ def _need(n, over: int, under: int):
     return F.floor((n * over + (under - 1)) / under).cast("int")
 
 
-def _candidates(docs: DataFrame, text_col: str, over: int, under: int) -> DataFrame:
-    """(vertex, shingles) of every set that the hash-order prefixes cannot rule out."""
+def _candidates(
+    docs: DataFrame, id_col: str, text_col: str, over: int, under: int
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, vertex, n_shingles) of all documents, and (vertex, shingles) of every set that the
+    hash-order prefixes cannot rule out. Texts are read three times: for the counts of prefix
+    tokens, for the documents with the tokens that occur again, and for the sets that remain."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string"))
-    counts = _prefixes(texts, (-over, under)).groupBy("token").count()
+    counts = _prefixes(texts, over, under).groupBy("token").count()
     shared = materialize(counts.where("count > 1").select("token"), "shared")
     known = spark.sparkContext.broadcast(bit_filter(shared, "token", TOKEN_BITS, FILTER_BITS))
+    info = materialize(document_sets(docs, id_col, text_col, over, under, known), "doc-sets")
     # A task counts a set once, so a count above 1 may still come from copies in other tasks.
-    postings = _prefixes(texts, (-over, under), known).distinct()
+    postings = info.select(
+        "vertex", F.col("n_shingles").cast("int").alias("n"), F.explode("tokens").alias("token")
+    ).distinct()
     matched = postings.join(shared, "token").select("vertex", "n", "token")
     matched = materialize(matched, "matched")
     spread = matched.groupBy("token").agg(
@@ -177,9 +189,8 @@ def _candidates(docs: DataFrame, text_col: str, over: int, under: int) -> DataFr
     )
     mask = spark.sparkContext.broadcast(bit_filter(alive, "vertex", 64, FILTER_BITS))
     found = _sets(texts, mask).join(alive, "vertex", "left_semi")
-    return materialize(
-        found.groupBy("vertex").agg(F.first("shingles").alias("shingles")), "sets"
-    )
+    sets = found.groupBy("vertex").agg(F.first("shingles").alias("shingles"))
+    return info.drop("tokens"), materialize(sets, "sets")
 
 
 def _adaptive(sets: DataFrame, over: int, under: int) -> DataFrame:
@@ -360,8 +371,7 @@ def _membership(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     over, under = percent, 100
-    info = materialize(document_sets(docs, id_col, text_col), "doc-sets")
-    sets = _candidates(docs, text_col, over, under)
+    info, sets = _candidates(docs, id_col, text_col, over, under)
     merged = components(set_links(sets, over, under)).withColumnRenamed("node", "vertex")
     lowest = info.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(merged, "vertex", "left").withColumn(
