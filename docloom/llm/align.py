@@ -27,7 +27,7 @@ LANE = 4096
 #: Documents and characters encoded and merged at a time; a longer document is a batch by itself.
 ROWS, CHARS = 1000, 2_500_000
 #: Characters of the words that a task remembers with their ids of A; beyond it starts anew.
-REMEMBER = 4_000_000
+REMEMBER = 6_000_000
 #: Words encoded as one text.
 TOGETHER = 2000
 #: A space next to more white space: A takes such texts as a whole.
