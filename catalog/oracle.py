@@ -245,6 +245,11 @@ RULE_NAMES = "(VALUES ('net-en'), ('org'), ('secure'), ('fr'), ('blog')) AS name
 ORACLE = {
     "scan_pages": "SELECT page_id, url, length(html) AS n_chars FROM pages",
     "stored_corpus": f"WITH {SINGLE_BATCH} SELECT doc_id, url, source, content_hash FROM merged",
+    "get_document": f"""WITH {SINGLE_BATCH} SELECT doc_id, url, source, content_hash FROM merged
+WHERE doc_id = 7 UNION ALL
+SELECT doc_id, url, source, content_hash FROM merged WHERE url = 'https://example.org/doc/12'""",
+    "read_keys": f"""WITH {SINGLE_BATCH} SELECT doc_id, url, source, content_hash FROM merged
+WHERE url IN (SELECT 'https://example.org/doc/' || (doc_id * 2) FROM labels)""",
     "results_json": "SELECT '{\"source\":\"' || source || '\",\"count\":' || count(*) || '}' AS json "
     "FROM documents GROUP BY source",
     "list_urls": "SELECT 'https://example.org/doc/' || doc_id AS url FROM documents",
@@ -375,6 +380,8 @@ SELECT source, start AS url, 1 AS crawl_ord, 0 AS depth FROM owners
 UNION ALL
 SELECT source, target, nth + 1, 1 FROM found WHERE nth <= 3""",
     "refresh": STORED,
+    "refresh_order": f"""SELECT DISTINCT {NORMAL} AS url, 'zeta' AS source
+FROM (SELECT url, {HOST} AS host FROM pages) WHERE {below("example.org")} OR {below("example.com")} OR {below("example.net")}""",
     "refresh_summary": f"""WITH {REFRESHED},
 firsts AS (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_ord, page_id) AS nth FROM pairs)

@@ -1,5 +1,6 @@
 """One Spark query per operator; each takes (spark, folder of the tables)."""
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -281,6 +282,43 @@ def read_by_url(spark, folder):
     return corpus.read_by_url(_corpus(spark, folder), urls).select("url", "doc_id", "content_hash")
 
 
+def get_document(spark, folder):
+    """Two point reads: one by id, one by URL, from the stored corpus after changes."""
+    path = scratch_path(spark, "corpus")
+    tables.write_corpus(_corpus(spark, folder), path)
+    tables.update_corpus(_changed(spark, folder), path)
+    stored = tables.read_corpus(spark, path)
+    by_id = corpus.get_document(stored, doc_id=7)
+    wanted = _corpus(spark, folder).filter("doc_id = 12").select("url")
+    by_url = corpus.get_document(tables.read_corpus(spark, path, wanted), url=ROOT + "doc/12")
+    hashed = X.content_hash(F.col("content")).alias("content_hash")
+    return by_id.unionByName(by_url).select("doc_id", "url", "source", hashed)
+
+
+def read_keys(spark, folder):
+    """Current stored rows of the URLs of labelled documents, from the buckets that hold one."""
+    path = scratch_path(spark, "corpus")
+    tables.write_corpus(_corpus(spark, folder), path)
+    tables.update_corpus(_changed(spark, folder), path)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    urls = labels.select(F.concat(F.lit(ROOT + "doc/"), F.col("doc_id") * 2).alias("url"))
+    return tables.read_corpus(spark, path, urls).select("doc_id", "url", "source", "content_hash")
+
+
+def refresh_order(spark, folder):
+    """Two sources in a listed file that both cover every page: the first listed keeps it."""
+    listed = [
+        {"name": name, "start_urls": [], "allowed_domains": ["example.com", "example.net", "example.org"]}
+        for name in ("zeta", "alpha")
+    ]
+    path = scratch_path(spark, "sources")
+    spark.createDataFrame([(json.dumps(listed),)], "value string").coalesce(1).write.text(path)
+    found = rules.read_sources(spark, path)
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    R.refresh(_pages(spark, folder), found, corpus_path, index_path)
+    return tables.read_corpus(spark, corpus_path).select("url", "source")
+
+
 def count_by_source(spark, folder):
     return corpus.count_by_source(_corpus(spark, folder))
 
@@ -630,7 +668,7 @@ def stream_refresh(spark, folder):
     return _stored(spark, corpus_path)
 
 
-_HELPERS = {"c", "near", "lru_cache", "exists", "materialize", "scratch_path", "local_table"}
+_HELPERS = {"c", "near", "json", "lru_cache", "exists", "materialize", "scratch_path", "local_table"}
 
 QUERIES = {
     name: value

@@ -150,7 +150,7 @@ def read_by_url(corpus: DataFrame, urls: DataFrame) -> DataFrame:
 def get_document(corpus: DataFrame, doc_id=None, url=None) -> DataFrame:
     """Point read with a pushed filter; the id wins when both are given."""
     if doc_id is None and url is None:
-        raise ValueError("doc_id or url is required")
+        raise ValueError("give the id or the URL of a document")
     wanted = F.col("doc_id") == doc_id if doc_id is not None else F.col("url") == url
     return corpus.filter(wanted).select("doc_id", "url", "source", "title", "content", "fetched_at")
 

@@ -80,7 +80,9 @@ def apply_batch(
     # The number is written with the rows, so it names one version in all that follows.
     batch = materialize(batch.withColumn("version", F.monotonically_increasing_id()), "batch")
     corpus = read_corpus(spark, corpus_path)
-    flagged = materialize(flag_versions(batch, corpus), "flagged")
+    # Only the URLs of the batch are compared; of the others the largest id is asked for.
+    stored = materialize(read_corpus(spark, corpus_path, batch), "stored")
+    flagged = materialize(flag_versions(batch, stored), "flagged")
     indexed = exists(spark, f"{index_path}/stats")
     used = max_doc_id(read_index(spark, index_path).doc_len) if indexed else 0
     changed = materialize(changed_rows(batch, flagged, corpus, used), "changed")

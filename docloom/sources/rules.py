@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.urls import SEED_EXCLUDES, authority, package_include_pattern
 from docloom.operators.assign import source_order
@@ -12,8 +13,12 @@ SOURCE_PAGES, SEED_PAGES = 5000, 1000
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list of sources; ``source_ord`` is their order, equal where the file has none."""
-    return source_rules(spark.read.schema(SOURCES).json(path, multiLine=True))
+    """JSON list of sources, read as one value so that its order is known: ``source_ord`` is the
+    place in the list where an entry has none. Of several files each counts from 0."""
+    listed = F.from_json("value", T.ArrayType(SOURCES))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("place", "s"))
+    rows = rows.select("place", "s.*").withColumn("source_ord", F.coalesce("source_ord", "place"))
+    return source_rules(rows.drop("place"))
 
 
 def source_rules(sources: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.plans.scratch import exists
+from docloom.plans.scratch import exists, materialize
 from docloom.schemas import CORPUS
 
 # Rows are laid out by URL hash within a segment. Large corpora want thousands of buckets; the
@@ -33,16 +33,32 @@ def _last_segment(spark: SparkSession, path: str):
     return found.orderBy(F.desc("segment")).select("segment", "buckets").first()
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows. Those that a later segment replaces are left out by a join with the
-    replaced URLs, a narrow table of updates only."""
+def _bucket(url, buckets: int):
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def read_corpus(spark: SparkSession, path: str, urls: DataFrame | None = None) -> DataFrame:
+    """Current rows, or those of ``urls`` (url).
+
+    Those that a later segment replaces are left out by a join with the replaced URLs, a narrow
+    table of updates only. Wanted URLs are joined on their bucket as well, so that buckets
+    without any are not read.
+    """
     last = _last_segment(spark, path)
     if last is None:
         return spark.createDataFrame([], CORPUS)
     rows = spark.read.schema(_STORED).parquet(f"{path}/rows").filter(F.col("segment") <= last.segment)
+    if urls is not None:
+        # Written, so that their size is known and few of them are broadcast.
+        keyed = urls.select("url").distinct().withColumn("bucket", _bucket("url", last.buckets))
+        keyed = materialize(keyed, "keys").filter(F.length("url") > 0)
+        wanted = keyed.select("url")
+        rows = rows.join(keyed, ["bucket", "url"], "left_semi")
     if last.segment:
         newer = spark.read.schema(_REPLACED).parquet(f"{path}/replaced")
         newer = newer.filter(F.col("segment") <= last.segment)
+        if urls is not None:
+            newer = newer.join(wanted, "url", "left_semi")
         newer = newer.groupBy("url").agg(F.max("segment").alias("_newest"))
         current = F.col("_newest").isNull() | (F.col("segment") >= F.col("_newest"))
         rows = rows.join(newer, "url", "left").filter(current)
@@ -53,7 +69,7 @@ def _append(rows: DataFrame, path: str, segment: int, buckets: int) -> None:
     """Files sorted by id, with a Bloom filter for point reads by URL; the marker comes last."""
     spark = rows.sparkSession
     rows = rows.select(*CORPUS.names)
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("bucket", _bucket("url", buckets))
     (
         placed.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "doc_id")

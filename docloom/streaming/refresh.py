@@ -36,7 +36,7 @@ def stream_refresh(
     def merge(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
         extracted = materialize(extract_batch(batch, sources), "extracted")
-        fresh = drop_stale(extracted, read_corpus(session, corpus_path))
+        fresh = drop_stale(extracted, read_corpus(session, corpus_path, extracted))
         apply_batch(session, fresh, sources, corpus_path, index_path)
 
     return (
