@@ -60,6 +60,11 @@ def union(*parts):
     return " UNION ALL ".join(parts)
 
 
+def holding(*terms):
+    inside = ", ".join(f"'{t}'" for t in terms)
+    return f"doc_id IN (SELECT doc_id FROM tok WHERE term IN ({inside}))"
+
+
 def without(*terms):
     inside = ", ".join(f"'{t}'" for t in terms)
     return f"doc_id NOT IN (SELECT doc_id FROM tok WHERE term IN ({inside}))"
@@ -332,6 +337,23 @@ FROM tok JOIN dl USING (doc_id) GROUP BY term, doc_id, col""",
     "bm25_repeated": ranked(words("the", "the", "de"), "met = 3"),
     "bm25_any": ranked(words("thtion", "des", "que"), "met > 0"),
     "bm25_not": ranked(words("the"), without("of", "src3")),
+    "bm25_nested": ranked(
+        words("the", "des", "of", "que"),
+        f"{holding('the', 'des')} AND {holding('of', 'que')} AND {without('src2')}",
+    ),
+    "bm25_nested_parts": ranked(
+        union(
+            inst(0, f"term = 'the' AND {holding('src1')}"),
+            inst(1, f"term = 'src1' AND {holding('the')}"),
+            inst(2, f"term = 'de' AND {holding('src3')}"),
+            inst(3, f"term = 'src3' AND {holding('de')}"),
+            f"SELECT 4 AS p, doc_id, col, pos FROM ({PHRASE}) WHERE {holding('src5')}",
+            inst(5, "term = 'src5' AND doc_id IN (SELECT doc_id FROM (" + PHRASE + "))"),
+        ),
+        "met > 0",
+        f"{words('the', 'src1', 'de', 'src3')} UNION ALL SELECT 4, doc_id, col, pos FROM ({PHRASE}) "
+        f"UNION ALL {inst(5, "term = 'src5'")}",
+    ),
     "bm25_phrase": ranked(PHRASE, without("src1")),
     "bm25_prefix": ranked(
         union(inst(0, "term LIKE 'men%'"), inst(1, "term LIKE 'qu%'")), "met = 2"

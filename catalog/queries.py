@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import html as H
 from docloom.functions import text as X
 from docloom.functions import urls as U
-from docloom.operators import assign, corpus, extract, frontier, index, links, match, rank, search
+from docloom.operators import assign, boolean, corpus, extract, frontier, index, links, match, rank, search
 from docloom.plans import refresh as R
 from docloom.plans.scratch import exists, materialize, scratch_path
 from docloom.plans.local import local_table
@@ -483,6 +483,19 @@ bm25_near = _ranked(lambda: near(["the", "of"], 2))
 bm25_near_three = _ranked(lambda: near(["the", "of", "and"], 3))
 
 
+def _nested(expression):
+    def run(spark, folder):
+        queries = boolean.expressions_frame(spark, {"q": expression()})
+        return _score(rank.bm25(queries, _index(spark, folder))).select("doc_id", "score")
+
+    return run
+
+
+w = boolean.word
+bm25_nested = _nested(lambda: (w("the") | w("des")) & (w("of") | w("que")) - w("src2"))
+bm25_nested_parts = _nested(lambda: w("the") & w("src1") | w("de") & w("src3") | w("of the") & w("src5"))
+
+
 def match_sets(spark, folder):
     """(the OR des) AND (of OR que) NOT src2, composed from document sets."""
     live = _index(spark, folder).postings
@@ -668,7 +681,7 @@ def stream_refresh(spark, folder):
     return _stored(spark, corpus_path)
 
 
-_HELPERS = {"c", "near", "json", "lru_cache", "exists", "materialize", "scratch_path", "local_table"}
+_HELPERS = {"c", "w", "near", "json", "lru_cache", "exists", "materialize", "scratch_path", "local_table"}
 
 QUERIES = {
     name: value

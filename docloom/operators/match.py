@@ -6,7 +6,9 @@ A query is a row of the ``QUERIES`` table. Each clause is a phrase of one or mor
   slot is required) or 'not' (removes the document);
 * ``cols`` restricts it to some indexed columns, ``prefix`` makes its last token a prefix,
   ``initial`` ties it to the start of a column;
-* clauses of one query that share a ``near_group`` must lie within ``near`` tokens.
+* clauses of one query that share a ``near_group`` must lie within ``near`` tokens;
+* kinds are conjunctions of alternatives. Deeper nesting takes a program (``boolean.py``), which
+  stands in the place of kinds and slots.
 
 Equal clauses of different queries are looked up once: hits belong to a *pattern* (tokens
 plus restrictions), and queries only refer to patterns.
@@ -188,6 +190,7 @@ class Batch:
     prefix_lengths: list
     single_slot: bool
     source_bound: bool
+    programs: DataFrame | None = None
 
 
 def _positional() -> Column:
@@ -203,7 +206,8 @@ def _plain() -> Column:
 def parse(queries: DataFrame) -> Batch:
     """Tokenise a ``QUERIES`` table once and look over it; every fact has a fixed size.
 
-    Raises ValueError for a kind or a column that does not exist and for a repeated query_id.
+    Raises ValueError for a kind or a column that does not exist and for a repeated query_id. In a
+    table with programs every query needs a sound one.
     """
     clauses = materialize(clause_rows(queries), "clauses")
     last = F.length(F.element_at("tokens", -1))
@@ -226,6 +230,17 @@ def parse(queries: DataFrame) -> Batch:
         raise ValueError(f"a clause names a column beyond the {len(INDEXED)} indexed ones")
     if row.repeated:
         raise ValueError("a query_id occurs more than once")
+    programs = None
+    if "program" in queries.columns:
+        from docloom.operators.boolean import well_formed, without_empty
+
+        sound = well_formed(F.col("program"), F.size("clauses"))
+        programs = materialize(queries.select("query_id", "program", sound.alias("sound")), "programs")
+        if not programs.filter("NOT sound").isEmpty():
+            raise ValueError("a query has no program, or one that is not sound")
+        known = clauses.groupBy("query_id").agg(F.collect_set("clause_id").alias("known"))
+        programs = programs.join(known, "query_id")
+        programs = programs.select("query_id", without_empty(F.col("program"), F.col("known")).alias("program"))
     return Batch(
         clauses=clauses,
         queries=row.queries,
@@ -235,6 +250,7 @@ def parse(queries: DataFrame) -> Batch:
         prefix_lengths=sorted(row.lengths),
         single_slot=bool(row.single_slot),
         source_bound=bool(row.source_bound),
+        programs=programs,
     )
 
 

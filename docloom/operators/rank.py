@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.boolean import leading_clauses, verdict
 from docloom.operators.index import Index
 from docloom.operators.match import Batch, parse, pattern_hits, pattern_terms, word_hits
 from docloom.plans.ordered import global_row_number
@@ -90,11 +91,13 @@ def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
 
     The candidates of a query come from its rarest required slot, by the frequencies of the
     dictionary; the other clauses are looked up for candidate documents only. A frequent word
-    adds nothing for documents that cannot match anyway.
+    adds nothing for documents that cannot match anyway. Queries with programs: ``bm25_nested``.
     """
     batch = queries if isinstance(queries, Batch) else parse(queries)
     if not batch.queries:
         return index.postings.sparkSession.createDataFrame([], SCORED)
+    if batch.programs is not None:
+        return bm25_nested(batch, index)
     found = look_up_batch(batch, index)
     wanted = found.clauses.drop("df", "bound")
     if batch.single_slot:
@@ -105,15 +108,7 @@ def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
         rarest = cost.groupBy("query_id").agg(
             F.min_by("slot", F.struct("cost", "slot")).alias("slot")
         )
-        leading = wanted.join(rarest, ["query_id", "slot"]).select("query_id", "key").distinct()
-        leading = materialize(leading, "leading")
-        first = materialize(found.hits_of(leading), "first")
-        # Spread by document as well: one query may hold a large share of all candidates.
-        candidates = leading.join(first, "key").select("query_id", "doc_id")
-        candidates = materialize(candidates.repartition("query_id", "doc_id").distinct(), "candidates")
-        others = wanted.join(leading, "key", "left_anti")
-        rest = found.hits_of(others, candidates.select("doc_id"))
-        pairs = candidates.join(wanted, "query_id").join(first.unionByName(rest), ["key", "doc_id"])
+        pairs = candidate_pairs(found, wanted, wanted.join(rarest, ["query_id", "slot"]))
     scored = pairs.groupBy("query_id", "doc_id").agg(
         (-F.sum(F.when(F.col("slot").isNotNull(), found.part()))).alias("score"),
         F.size(F.collect_set("slot")).alias("met"),
@@ -124,6 +119,43 @@ def bm25(queries: DataFrame | Batch, index: Index) -> DataFrame:
     return scored.filter(keep).select("query_id", "doc_id", "score")
 
 
+def candidate_pairs(found: Lookup, wanted: DataFrame, leading: DataFrame) -> DataFrame:
+    """Hits of the ``wanted`` clauses in documents that hold one of the ``leading`` clauses."""
+    leading = materialize(leading.select("query_id", "key").distinct(), "leading")
+    first = materialize(found.hits_of(leading), "first")
+    # Spread by document as well: one query may hold a large share of all candidates.
+    candidates = leading.join(first, "key").select("query_id", "doc_id")
+    candidates = materialize(candidates.repartition("query_id", "doc_id").distinct(), "candidates")
+    others = wanted.join(leading, "key", "left_anti")
+    rest = found.hits_of(others, candidates.select("doc_id"))
+    return candidates.join(wanted, "query_id").join(first.unionByName(rest), ["key", "doc_id"])
+
+
+def bm25_nested(batch: Batch, index: Index) -> DataFrame:
+    """(query_id, doc_id, score, used) for queries with programs; ``used`` are the clauses that count.
+
+    Each program is weighed with the document frequencies first: candidates are the documents of the
+    cheapest clauses that every match must hold one of. The program is then run on what a
+    candidate holds, which are as many values as its query has clauses at most.
+    """
+    found = look_up_batch(batch, index)
+    wanted = found.clauses.drop("df", "bound")
+    by_clause = F.map_from_entries(F.collect_list(F.struct("clause_id", "df")))
+    costs = found.clauses.groupBy("query_id").agg(by_clause.alias("costs"))
+    programs = batch.programs.filter(F.size("program") > 0).join(costs, "query_id")
+    lead = leading_clauses(F.col("program"), F.col("costs")).alias("lead")
+    programs = materialize(programs.select("query_id", "program", lead), "programs")
+    leading = programs.select("query_id", F.explode("lead").alias("clause_id"))
+    pairs = candidate_pairs(found, wanted, wanted.join(leading, ["query_id", "clause_id"]))
+    held = pairs.groupBy("query_id", "doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("clause_id", found.part()))).alias("parts")
+    )
+    judged = held.join(programs.drop("lead"), "query_id").select(
+        "query_id", "doc_id", verdict(F.col("program"), F.col("parts")).alias("v")
+    )
+    return judged.filter("v.met").select("query_id", "doc_id", (-F.col("v.score")).alias("score"), "v.used")
+
+
 def bm25_best(batch: Batch, index: Index, k: int) -> DataFrame:
     """Scores of documents that can be among the ``k`` best, for queries of alternatives only.
 

@@ -39,17 +39,18 @@ def join_corpus(hits: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def rank_batch(queries: DataFrame, index: Index, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score) for every query, without stored columns."""
-    return _rank(parse(queries), index, corpus, k)
+    return _rank(parse(queries), index, corpus, k).select("query_id", "rank", "doc_id", "score")
 
 
 def _rank(batch: Batch, index: Index, corpus: DataFrame, k: int) -> DataFrame:
     # A source is tested after scoring, so the best of it may be far down among all documents.
-    if k > 0 and batch.queries and batch.single_slot and not batch.source_bound:
-        return top_k(bm25_best(batch, index, k), k).select("query_id", "rank", "doc_id", "score")
+    alternatives = batch.single_slot and batch.programs is None
+    if k > 0 and batch.queries and alternatives and not batch.source_bound:
+        return top_k(bm25_best(batch, index, k), k)
     scored = bm25(batch, index)
     if batch.source_bound:
         scored = filter_source(scored, corpus, batch.clauses)
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+    return top_k(scored, k)
 
 
 def search_batch(

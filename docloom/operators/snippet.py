@@ -66,11 +66,15 @@ def content_hits(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
 def with_snippet(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
     """Add ``snippet`` to ranked rows that carry query_id, doc_id and content.
 
-    The rows are used twice, so they are fetched from the corpus once and written.
+    The rows are used twice, so they are fetched from the corpus once and written. Where they name
+    the clauses ``used`` for their score, only these are shown.
     """
     rows = materialize(rows, "ranked")
     hits = content_hits(rows, batch, index)
     none = F.array().cast("array<struct<start:int,phrase:int,size:int>>")
+    found = F.coalesce("hits", none)
+    if "used" in rows.columns:
+        found = F.filter(found, lambda hit: F.array_contains("used", hit["phrase"]))
     return rows.join(hits, ["query_id", "doc_id"], "left").withColumn(
-        "snippet", snippet(F.col("content"), F.coalesce("hits", none))
+        "snippet", snippet(F.col("content"), found)
     )

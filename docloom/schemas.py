@@ -70,5 +70,8 @@ CLAUSE = _struct(
 
 QUERIES = _struct(query_id=STR, clauses=T.ArrayType(CLAUSE), source=STR)
 
+# What a table of nested boolean queries has in addition (operators/boolean.py).
+PROGRAM = T.StructField("program", T.ArrayType(INT))
+
 # Indexed columns, numbered in this order.
 INDEXED = ("title", "content", "source", "url")
