@@ -26,6 +26,9 @@ SLACK = 1e-6
 # Clauses are looked up in stages: those left for later can add less than such a share of the mark.
 STAGES = (1.0, 0.6, 0.3)
 
+# Bins of a query's scores, to find the one that holds its k-th.
+BINS = 1024
+
 SCORED = "query_id string, doc_id long, score double"
 
 
@@ -220,16 +223,26 @@ def _kth(sums: DataFrame, k: int) -> DataFrame:
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     """Best ``k`` rows per query with their rank; 0 gives none, a negative ``k`` all.
 
-    Spark pushes a small rank limit below the shuffle, so at most k rows per query leave a
-    task. For a ``k`` beyond what it pushes, ranks are counted over range partitions, so that
+    The same plan for every ``k``: a histogram of each query's scores finds the bin that its k-th
+    score is in, rows beyond that bin go, and the others are numbered over range partitions, so that
     one query's scores need not fit into one task.
     """
-    ranked = scored.withColumn("_tie", F.round("score", TIE_DIGITS))
-    pushed = int(scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if not 0 <= k <= pushed:
-        ranked = global_row_number(ranked, ["query_id"], ["_tie", "doc_id"], "rank")
-        ranked = ranked.filter(F.col("rank") <= k) if k >= 0 else ranked
-    else:
-        best = Window.partitionBy("query_id").orderBy("_tie", "doc_id")
-        ranked = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    rows = materialize(scored.withColumn("_tie", F.round("score", TIE_DIGITS)), "scored")
+    if k >= 0:
+        rows = _reaching(rows, k)
+    ranked = global_row_number(rows, ["query_id"], ["_tie", "doc_id"], "rank")
+    ranked = ranked.filter(F.col("rank") <= k) if k >= 0 else ranked
     return ranked.drop("_tie").withColumn("rank", F.col("rank").cast("long"))
+
+
+def _reaching(rows: DataFrame, k: int) -> DataFrame:
+    """Rows up to the bin that holds their query's k-th score; a query has ``BINS`` + 1 bins at most."""
+    ends = rows.groupBy("query_id").agg(F.min("_tie").alias("_low"), F.max("_tie").alias("_high"))
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(10.0**-TIE_DIGITS))
+    place = F.floor((F.col("_tie") - F.col("_low")) / width * BINS)
+    placed = rows.join(ends, "query_id").withColumn("_bin", place)
+    counts = placed.groupBy("query_id", "_bin").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("query_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    last = counts.filter(F.col("_before") < k).groupBy("query_id").agg(F.max("_bin").alias("_last"))
+    return placed.join(last, "query_id").filter("_bin <= _last").select(rows.columns)
