@@ -233,6 +233,53 @@ FROM hits JOIN dfs USING (term) JOIN dl USING (doc_id), st WHERE term IN ({insid
 GROUP BY doc_id HAVING count(*) = {len(terms)}"""
 
 
+def snippets(found, instances):
+    """Extracts for ``found`` (query_id, doc_id) and their instances in the content, (query_id,
+    doc_id, p, pos, size), as the table snippets. The instances must not overlap."""
+    token = r"[\p{L}\p{N}]+"
+    return rf"""found AS ({found}), spots AS ({instances}),
+pieces AS (SELECT doc_id, regexp_extract_all(content, '{token}') AS ws,
+                  regexp_split_to_array(content, '{token}') AS gs
+           FROM corpus WHERE doc_id IN (SELECT doc_id FROM found)),
+numbers AS (SELECT doc_id, gs, unnest(generate_series(0, len(ws) - 1)) AS opening FROM pieces
+            WHERE len(ws) > 0),
+sentences AS (SELECT doc_id, opening FROM numbers
+              WHERE opening = 0 OR regexp_matches(gs[opening + 1], '[.:][ \t\n\r]+$')),
+opened AS (SELECT a.query_id, a.doc_id, a.pos, s.opening
+           FROM spots a ASOF JOIN sentences s ON a.doc_id = s.doc_id AND a.pos >= s.opening),
+candidates AS (
+  SELECT DISTINCT query_id, doc_id, pos AS first, 0 AS bonus, 2 * pos AS ord FROM spots
+  UNION ALL
+  SELECT DISTINCT query_id, doc_id, opening, CASE WHEN opening = 0 THEN 120 ELSE 100 END, 2 * pos + 1
+  FROM opened JOIN pieces USING (doc_id) WHERE opening < pos AND len(ws) > 12),
+weighed AS (
+  SELECT c.query_id, c.doc_id, c.first, c.ord, max(a.pos + a.size) AS stop,
+         any_value(c.bonus) + 999 * count(DISTINCT a.p) + count(*) AS weight
+  FROM candidates c JOIN spots a ON a.query_id = c.query_id AND a.doc_id = c.doc_id
+       AND a.pos BETWEEN c.first AND c.first + 11
+  GROUP BY c.query_id, c.doc_id, c.first, c.ord),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY weight DESC, ord) AS nth
+         FROM weighed),
+placed AS (
+  SELECT f.query_id, f.doc_id, ws, gs, len(ws) AS n,
+         CASE WHEN b.first IS NULL THEN 0 WHEN ord % 2 = 1 THEN b.first
+              ELSE greatest(0, least(b.first - (12 - (stop - b.first)) // 2, len(ws) - 12)) END AS start
+  FROM found f JOIN pieces p USING (doc_id)
+       LEFT JOIN best b ON b.query_id = f.query_id AND b.doc_id = f.doc_id AND nth = 1),
+bounds AS (SELECT *, least(start + 12, n) - 1 AS stop FROM placed),
+marks AS (SELECT query_id, doc_id, list(pos) AS opens, list(least(pos + size - 1, stop)) AS closes
+          FROM spots JOIN bounds USING (query_id, doc_id) WHERE pos BETWEEN start AND stop
+          GROUP BY query_id, doc_id),
+snippets AS (
+  SELECT query_id, doc_id, CASE WHEN n = 0 THEN gs[1] ELSE
+    array_to_string(list_transform(generate_series(start, stop), lambda i:
+      CASE WHEN i > start OR start = 0 THEN gs[i + 1] ELSE '...' END
+      || CASE WHEN list_contains(opens, i) THEN '[' ELSE '' END || ws[i + 1]
+      || CASE WHEN list_contains(closes, i) THEN ']' ELSE '' END), '')
+    || CASE WHEN stop >= n - 1 THEN gs[n + 1] ELSE '...' END END AS snippet
+  FROM bounds LEFT JOIN marks USING (query_id, doc_id))"""
+
+
 REFRESHED = f"""admitted AS (
   SELECT page_id, {NORMAL} AS url, {TITLE} AS title, {CONTENT_TOKENS} AS tokens FROM pages),
 {assigned("admitted", "page_id, url, title, tokens")}"""
@@ -381,6 +428,19 @@ scored AS (SELECT c.source AS query_id, a.doc_id, a.s FROM all_scored a JOIN cor
     "search_hits": f"""{BASE}, {TWO_WORDS}, scored AS ({word_scores("'q'", "the", "and")}),
 best AS ({ranking("", 10)})
 SELECT query_id, rank, doc_id AS id, title, url, source, score FROM best JOIN corpus USING (doc_id)""",
+    "search_text": f"""{BASE}, {TWO_WORDS}, scored AS ({word_scores("'q'", "the", "and")}),
+ranks AS ({ranking("", 10)}),
+{snippets("SELECT query_id, doc_id FROM ranks",
+          "SELECT query_id, doc_id, term AS p, pos, 1 AS size FROM tok JOIN ranks USING (doc_id) "
+          "WHERE col = 1 AND term IN ('the', 'and')")}
+SELECT rank, doc_id AS id, title, url, source, score, snippet
+FROM ranks JOIN corpus USING (doc_id) JOIN snippets USING (doc_id)""",
+    "snippet": f"""{BASE}, phrases AS ({PHRASE}), held AS (
+  SELECT 'a' AS query_id, doc_id, col, 'of the' AS p, pos, 2 AS size FROM phrases
+  UNION ALL SELECT 'b', doc_id, col, term, pos, 1 FROM tok WHERE term = 'que'),
+{snippets("SELECT DISTINCT query_id, doc_id FROM held",
+          "SELECT query_id, doc_id, p, pos, size FROM held WHERE col = 1")}
+SELECT query_id, doc_id AS id, snippet FROM snippets""",
     "page_budget": """SELECT source, url, nth + 1 AS crawl_ord FROM (
   SELECT source, 'https://example.org/' || doc_id AS url,
          row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS nth,

@@ -552,7 +552,7 @@ def search_text(spark, folder):
 
 
 def search_hits(spark, folder):
-    """The same search without snippets, which SQL can express."""
+    """The same search without snippets."""
     queries = match.queries_frame(spark, {"q": [c("the"), c("and")]})
     stored = _corpus(spark, folder)
     return _score(search.search_batch(queries, _index(spark, folder), stored, snippets=False))

@@ -1,11 +1,9 @@
 """Highlighted extracts of the content column for rows that are already ranked."""
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import window
+from docloom.functions.window import HITS, extract
 from docloom.operators.index import Index, build_postings
 from docloom.operators.match import (
     Batch,
@@ -16,21 +14,6 @@ from docloom.operators.match import (
 from docloom.plans.scratch import materialize
 from docloom.schemas import INDEXED
 
-# Executors get the helper with the task, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(window)
-
-
-def snippet(content: Column, hits: Column) -> Column:
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        made = [
-            window.extract(text, [(h["start"], h["phrase"], h["size"]) for h in instances])
-            for text, instances in zip(texts, found)
-        ]
-        return pd.Series(made, dtype="object")
-
-    return cut(content, hits)
-
 
 def content_hits(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
     """(query_id, doc_id, hits): phrase instances in the content of the ranked rows.
@@ -71,10 +54,9 @@ def with_snippet(rows: DataFrame, batch: Batch, index: Index) -> DataFrame:
     """
     rows = materialize(rows, "ranked")
     hits = content_hits(rows, batch, index)
-    none = F.array().cast("array<struct<start:int,phrase:int,size:int>>")
-    found = F.coalesce("hits", none)
+    found = F.coalesce("hits", F.array().cast(HITS))
     if "used" in rows.columns:
         found = F.filter(found, lambda hit: F.array_contains("used", hit["phrase"]))
     return rows.join(hits, ["query_id", "doc_id"], "left").withColumn(
-        "snippet", snippet(F.col("content"), found)
+        "snippet", extract(F.col("content"), found)
     )

@@ -2,8 +2,9 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.functions.window import extract
+from docloom.functions.window import HITS, extract
 from docloom.operators import index as I
 from docloom.operators.match import clause, near, queries_frame
 from docloom.operators.rank import bm25
@@ -118,11 +119,12 @@ def test_only_negative_clauses_match_nothing(spark, built):
     assert bm25(queries_frame(spark, {"q": [clause("the", "not")]}), index).count() == 0
 
 
-def test_snippet_window_equals_fts5_on_random_texts():
+def test_snippet_window_equals_fts5_on_random_texts(spark):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
     rng = random.Random(3)
-    for round_ in range(1500):
+    rows = []
+    for _ in range(1500):
         words = [rng.choice("a b c d e f g h i j k l m".split()) for _ in range(rng.randint(1, 70))]
         text = rng.choice(["", " ", "- "]) + "".join(
             w + rng.choice([" ", " ", " ", ". ", ": ", "."]) for w in words
@@ -140,7 +142,36 @@ def test_snippet_window_equals_fts5_on_random_texts():
             for i in range(len(words))
             if words[i : i + len(p.split())] == p.split()
         )
-        assert extract(text, hits) == row[0], (round_, text, phrases)
+        rows.append((text, hits, row[0]))
+    made = spark.createDataFrame(rows, f"text string, hits {HITS}, want string")
+    made = made.withColumn("got", extract(F.col("text"), F.col("hits")))
+    assert len(rows) > 1000
+    assert made.filter("NOT got <=> want").collect() == []
+
+
+def test_snippet_of_odd_texts(spark):
+    """No token, no hit, NULL, marks without a letter, and a hit that reaches past the window."""
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [
+        (1, "", []),
+        (2, " .. ", []),
+        (3, None, []),
+        (4, "(one) two.", []),
+        (5, "\u0301 cafe\u0301 x", [(0, 0, 1)]),
+        (6, long, [(0, 0, 15)]),
+        (7, long, [(18, 0, 2)]),
+    ]
+    made = spark.createDataFrame(rows, f"id int, text string, hits {HITS}")
+    got = made.select("id", extract(F.col("text"), F.col("hits"))).collect()
+    assert dict(map(tuple, got)) == {
+        1: "",
+        2: " .. ",
+        3: None,
+        4: "(one) two.",
+        5: "\u0301 [cafe\u0301] x",
+        6: "..." + " ".join(f"w{i}" for i in range(1, 13)) + "...",
+        7: "..." + " ".join(f"w{i}" for i in range(8, 18)) + " [w18 w19]",
+    }
 
 
 def test_merged_index_equals_rebuilt_index(spark, built, folder):
