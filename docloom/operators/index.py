@@ -4,6 +4,8 @@ Layout under one folder, each part split into numbered segments:
 
     postings/segment=N/bucket=B   one row per (term, document, column), sorted by term
     dictionary/segment=N/bucket=B one row per term: documents that it gains and its levels
+    vocabulary/segment=N/part=P   its terms in order, dealt into blocks of the parts P
+    heads/segment=N/bucket=B      for every beginning of a term the blocks that hold such terms
     doc_len/segment=N             tokens per document
     retired/segment=N             (doc_id, old segment) pairs that segment N replaces
     stats/segment=N               document and token totals up to segment N; written last
@@ -21,11 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import tokenize
+from docloom.plans.ordered import place
 from docloom.plans.scratch import exists, materialize
 from docloom.schemas import INDEXED, LONG, POSTINGS, STR
 
 BUCKETS = 16
 
+#: Terms in a block of the sorted vocabulary, and characters of a beginning that leads to blocks.
+BLOCK = 256
+HEAD = 8
+
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -120,6 +127,8 @@ class Index:
     path: str
     postings: DataFrame
     dictionary: DataFrame
+    words: DataFrame
+    heads: DataFrame
     doc_len: DataFrame
     n_docs: int
     n_tokens: int
@@ -156,6 +165,20 @@ _TERMS = T.StructType(
         _SEGMENT,
     ]
 )
+_INT = T.IntegerType()
+_WORDS = T.StructType(
+    [T.StructField("term", STR), T.StructField("block", _INT), T.StructField("part", _INT), _SEGMENT]
+)
+_HEADS = T.StructType(
+    [
+        T.StructField("head", STR),
+        T.StructField("part", _INT),
+        T.StructField("low", _INT),
+        T.StructField("high", _INT),
+        T.StructField("bucket", _INT),
+        _SEGMENT,
+    ]
+)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, segment: int) -> DataFrame:
@@ -190,6 +213,8 @@ def read_index(spark: SparkSession, path: str) -> Index:
         path=path,
         postings=postings,
         dictionary=words.select("term", "bucket", "df", "levels"),
+        words=_read(spark, f"{path}/vocabulary", _WORDS, last.segment),
+        heads=_read(spark, f"{path}/heads", _HEADS, last.segment),
         doc_len=doc_len,
         n_docs=last.n_docs,
         n_tokens=last.n_tokens,
@@ -225,6 +250,8 @@ def _write_segment(corpus: DataFrame, path: str, segment: int, buckets: int, los
         .partitionBy("bucket")
         .parquet(f"{path}/dictionary/segment={segment}")
     )
+    gained = spark.read.schema(_TERMS).parquet(f"{path}/dictionary/segment={segment}").filter("df > 0")
+    _write_vocabulary(gained.select("term"), path, segment, buckets)
     # A document without any token has no posting.
     sizes = written.groupBy("doc_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"))
     (
@@ -234,6 +261,49 @@ def _write_segment(corpus: DataFrame, path: str, segment: int, buckets: int, los
     )
 
 
+def _write_vocabulary(terms: DataFrame, path: str, segment: int, buckets: int) -> None:
+    """The sorted vocabulary in blocks and, for every beginning of up to ``HEAD`` characters, the
+    interval of blocks in each part that it reaches.
+
+    Terms that share a beginning are neighbours, so a beginning needs one row for each part that it
+    reaches. Longer prefixes use the row of their first characters.
+    """
+    spark = terms.sparkSession
+    row = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    words = place(terms, [], ["term"]).select(
+        "term", F.floor(row / BLOCK).cast("int").alias("block"), F.col("_part").alias("part")
+    )
+    folder = f"{path}/vocabulary/segment={segment}"
+    words.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(folder)
+    lengths = F.sequence(F.lit(1), F.least(F.length("term"), F.lit(HEAD)))
+    heads = spark.read.schema(_WORDS).parquet(folder).select(
+        "part", "block", F.explode(F.transform(lengths, lambda n: F.substring("term", F.lit(1), n))).alias("head")
+    )
+    spans = heads.groupBy("head", "part").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    (
+        spans.withColumn("bucket", bucket_of(F.col("head"), buckets))
+        .hint("rebalance", "bucket")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{path}/heads/segment={segment}")
+    )
+
+
+def prefix_words(prefixes: DataFrame, index: Index) -> DataFrame:
+    """Add ``word`` to (prefix, ...) rows: every term of the vocabulary that begins with it.
+
+    The beginning of a prefix names its interval of blocks; only these blocks are read and tested.
+    A term of several segments comes more than once.
+    """
+    head = F.substring("prefix", 1, HEAD)
+    wanted = prefixes.withColumn("head", head).withColumn("bucket", bucket_of(head, index.buckets))
+    spans = wanted.join(index.heads, ["bucket", "head"]).drop("bucket", "head")
+    blocks = spans.withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    words = index.words.withColumnRenamed("term", "word")
+    found = words.join(blocks, ["segment", "part", "block"]).filter(F.startswith("word", "prefix"))
+    return found.drop("segment", "part", "block")
+
+
 def _totals(doc_len: DataFrame) -> tuple[int, int]:
     row = corpus_stats(doc_len).first()
     return row.n_docs, row.n_tokens

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.let import let
 from docloom.functions.text import tokenize
-from docloom.operators.index import Index, bucket_of
+from docloom.operators.index import Index, bucket_of, prefix_words
 from docloom.plans.scratch import materialize
 from docloom.plans.local import local_table
 from docloom.schemas import CLAUSE, INDEXED, QUERIES
@@ -187,7 +187,7 @@ class Batch:
     restricted: bool
     positional: bool
     near: bool
-    prefix_lengths: list
+    prefixes: bool
     single_slot: bool
     source_bound: bool
     programs: DataFrame | None = None
@@ -210,7 +210,6 @@ def parse(queries: DataFrame) -> Batch:
     table with programs every query needs a sound one.
     """
     clauses = materialize(clause_rows(queries), "clauses")
-    last = F.length(F.element_at("tokens", -1))
     bad_cols = F.exists("cols", lambda c: (c < 0) | (c >= len(INDEXED)))
     row = clauses.agg(
         F.count_distinct("query_id").alias("queries"),
@@ -220,7 +219,7 @@ def parse(queries: DataFrame) -> Batch:
         F.bool_or(~_positional() & ~_plain()).alias("restricted"),
         F.bool_or(_positional()).alias("positional"),
         F.bool_or(F.col("near_key").isNotNull()).alias("near"),
-        F.collect_set(F.when(F.col("prefix"), last)).alias("lengths"),
+        F.bool_or("prefix").alias("prefixes"),
         F.bool_and((F.col("n_slots") == 1) & F.col("slot").isNotNull()).alias("single_slot"),
         F.bool_or(F.col("source").isNotNull()).alias("source_bound"),
     ).first()
@@ -247,7 +246,7 @@ def parse(queries: DataFrame) -> Batch:
         restricted=bool(row.restricted),
         positional=bool(row.positional),
         near=bool(row.near),
-        prefix_lengths=sorted(row.lengths),
+        prefixes=bool(row.prefixes),
         single_slot=bool(row.single_slot),
         source_bound=bool(row.source_bound),
         programs=programs,
@@ -255,11 +254,7 @@ def parse(queries: DataFrame) -> Batch:
 
 
 def pattern_tokens(batch: Batch, index: Index) -> DataFrame:
-    """(pattern, idx, term) look-ups. A prefix token is expanded over the vocabulary.
-
-    The expansion is an equi-join: every vocabulary term is cut to the few lengths that
-    occur among the prefixes, and the cut is compared.
-    """
+    """(pattern, idx, term) look-ups. A prefix token is expanded over the sorted vocabulary."""
     # A word that is also part of a proximity clause is looked up once, with positions.
     patterns = batch.clauses.groupBy("pattern", "tokens", "cols", "prefix", "initial").agg(
         F.bool_or(_positional()).alias("positional"), F.bool_and(_plain()).alias("plain")
@@ -274,18 +269,12 @@ def pattern_tokens(batch: Batch, index: Index) -> DataFrame:
         F.size("tokens").alias("n_terms"),
         F.posexplode("tokens").alias("idx", "term"),
     )
-    if batch.prefix_lengths:
+    if batch.prefixes:
         is_prefix = F.col("prefix") & (F.col("idx") == F.col("n_terms") - 1)
-        lengths = F.array(*[F.lit(n) for n in batch.prefix_lengths])
-        words = index.vocabulary.select(
-            F.col("term").alias("word"), F.explode(lengths).alias("n")
-        )
-        words = words.filter(F.length("word") >= F.col("n"))
-        words = words.select("word", F.substring("word", F.lit(1), F.col("n")).alias("term"))
-        expanded = tokens.filter(is_prefix).join(words, "term").drop("n")
+        cut = tokens.filter(is_prefix).drop("prefix").withColumnRenamed("term", "prefix")
+        expanded = prefix_words(cut, index).drop("prefix").withColumnRenamed("word", "term")
         # A term of several index segments is in the vocabulary more than once.
-        expanded = expanded.drop("term").withColumnRenamed("word", "term").distinct()
-        tokens = tokens.filter(~is_prefix).unionByName(expanded)
+        return tokens.filter(~is_prefix).drop("prefix").unionByName(expanded.distinct())
     return tokens.drop("prefix")
 
 
