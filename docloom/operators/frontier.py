@@ -20,6 +20,34 @@ _VISITED = T.StructType(
     ]
 )
 
+_SEEN = T.StructType(
+    [T.StructField("source", STR), T.StructField("url", STR), T.StructField("shard", T.IntegerType())]
+)
+
+#: Folders over which visits are dealt by a hash of (source, url).
+SHARDS = 64
+
+
+def with_shard(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("shard", F.pmod(F.xxhash64("source", "url"), F.lit(SHARDS)).cast("int"))
+
+
+def add_seen(rows: DataFrame, folder: str) -> None:
+    """Append (source, url) to the visits of ``folder``."""
+    dealt = with_shard(rows.select("source", "url")).hint("rebalance", "shard")
+    dealt.write.mode("append").partitionBy("shard").parquet(folder)
+
+
+def seen_among(found: DataFrame, folder: str) -> DataFrame:
+    """(source, url) of ``found`` that ``folder`` holds; only shards that may hold one are read.
+
+    ``found`` should be a written table: its measured size lets Spark broadcast it, and with the
+    filter its shards prune the folders at run time.
+    """
+    wanted = with_shard(found.select("source", "url")).filter("shard >= 0")
+    visits = found.sparkSession.read.schema(_SEEN).parquet(folder)
+    return visits.join(wanted, ["shard", "source", "url"], "left_semi").select("source", "url")
+
 
 def dedupe_first(found: DataFrame) -> DataFrame:
     """First occurrence of each (source, url) by (parent_ord, pos), without a sort."""
@@ -74,33 +102,35 @@ def crawl_frontier(
     download would. All sources advance together, one level per round: the links of the pages
     just visited are tested against the rules of the source that visited them, so what a round
     makes follows the visits and not the number of sources. Every level is a written table, so
-    the plan of a round does not grow and lost executors do not repeat earlier rounds.
+    the plan of a round does not grow and lost executors do not repeat earlier rounds. A round
+    reads its own level, and of the earlier visits only the shards that its links fall into.
     """
     spark = pages.sparkSession
     links = link_table(pages)
     budgets = materialize(source_budgets(sources, max_pages), "budgets")
-    folder = scratch_path(spark, "visited")
+    levels, seen = scratch_path(spark, "visited"), scratch_path(spark, "seen")
 
-    def visited():
-        return spark.read.schema(_VISITED).parquet(folder)
+    def read(folder):
+        return spark.read.schema(_VISITED).option("basePath", levels).parquet(folder)
 
     def write(level, found, used):
         left = budgets.join(used, "source", "left").fillna(0, ["used"])
-        page_budget(found, left).write.parquet(f"{folder}/depth={level}")
+        folder = f"{levels}/depth={level}"
+        page_budget(found, left).write.parquet(folder)
+        visits = read(folder)
+        add_seen(visits, seen)
+        return visits
 
     none_used = budgets.select("source", F.lit(0).cast("long").alias("used"))
-    write(0, start_frontier(sources), none_used)
-    level = 0
-    while True:
-        frontier = visited().filter(F.col("depth") == level)
-        if frontier.isEmpty():
-            return visited()
+    level, frontier = 0, write(0, start_frontier(sources), none_used)
+    while not frontier.isEmpty():
         found = frontier.select(
             "source", F.col("url").alias("src_url"), F.col("crawl_ord").alias("parent_ord")
         ).join(links, "src_url")
-        found = keep_own(dedupe_first(found), sources)
-        found = drop_seen(found, visited().select("source", "url"), ["source", "url"])
+        found = materialize(keep_own(dedupe_first(found), sources), "found")
+        found = drop_seen(found, seen_among(found, seen), ["source", "url"])
         # Only a source that visited something at this level can go on from it.
         used = frontier.groupBy("source").agg(F.max("crawl_ord").alias("used"))
         level += 1
-        write(level, found, used)
+        frontier = write(level, found, used)
+    return read(levels)

@@ -1,11 +1,13 @@
 from pyspark.sql import functions as F
 
 from docloom.operators.assign import assign_sources
-from docloom.operators.frontier import crawl_frontier
+from docloom.operators.frontier import SHARDS, add_seen, crawl_frontier, seen_among
 from docloom.operators.links import pending_links
 from docloom.plans.local import local_table
+from docloom.plans.scratch import materialize
 from docloom.schemas import SOURCES
 from docloom.sources.rules import read_seeds, read_sources, seed_rules, source_rules
+from test_tables import files_read
 
 SITE = {
     "/": ["/a", "b?x=1", "/a#top", "http://other.org/z", "mailto:x@y", "/missing"],
@@ -68,6 +70,19 @@ def test_crawl_visits_in_queue_order(spark):
             assert [v.crawl_ord for v in own] == list(range(1, len(own) + 1))
 
 
+def test_visits_are_looked_up_in_their_shards(spark, folder):
+    """Four links read four of the 64 shards at most, however many visits there are."""
+    path = folder + "/seen"
+    visits = spark.range(5000).select(F.lit("s").alias("source"), F.concat(F.lit("u"), "id").alias("url"))
+    add_seen(visits, path)
+    add_seen(spark.createDataFrame([("t", "u1"), ("t", "x")], "source string, url string"), path)
+    rows = [("s", "u7", 1), ("s", "x", 2), ("t", "x", 3), ("t", "u7", 4)]
+    found = materialize(spark.createDataFrame(rows, "source string, url string, pos int"), "found")
+    assert {tuple(r) for r in seen_among(found, path).collect()} == {("s", "u7"), ("t", "x")}
+    every = files_read(spark.read.parquet(path), "shard")
+    assert 0 < files_read(seen_among(found, path), "shard") <= 2 * len(rows) < SHARDS <= every
+
+
 def test_pending_links_and_assignment(spark):
     found = {(r.source, r.url) for r in pending_links(pages(spark), sources(spark)).collect()}
     assert ("site", "http://h.org/missing") in found
