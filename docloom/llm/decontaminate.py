@@ -290,17 +290,23 @@ def train(
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> list[LeakModel]:
-    """One model for each block of benchmark passages, all in the same latent space."""
+    """One model for each block of benchmark passages, all in the same latent space.
+
+    A block takes ``BLOCK`` passages and then the rest of the item that it ends with. Rows without
+    an id are left out, equal rows count once, rows of one id with different texts are one item;
+    an item without words has no passage, and without any passage there is no model.
+    """
     spark = docs.sparkSession
     items = benchmark.select(
         F.col(item_col).cast("long"), F.col(item_text).cast("string")
     ).where(F.col(item_col).isNotNull())
     blocks: list[list[Passage]] = []
     used = np.zeros(PLACES, dtype=bool)
-    for row in items.toLocalIterator():
+    # A block ends between items only, so that no item is found by two models.
+    for row in items.distinct().orderBy(item_col).toLocalIterator():
         for passage in passages(row[0], (row[1] or "").encode("utf-8", "replace")):
             used[_places(passage.hashes)] = True
-            if not blocks or len(blocks[-1]) >= BLOCK:
+            if not blocks or (len(blocks[-1]) >= BLOCK and blocks[-1][-1].item != passage.item):
                 blocks.append([])
             blocks[-1].append(passage)
     if not blocks:

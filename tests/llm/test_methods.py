@@ -267,6 +267,23 @@ def test_copies_and_paraphrases_are_found_and_clean_documents_left(spark):
     assert {p for p in found if p[0] < 10_000} == known
 
 
+def test_an_item_gives_one_row_however_small_the_blocks(spark, monkeypatch):
+    """Items of several passages, one row repeated, with a block for every item."""
+    docs, benchmark = table(spark, "documents").select("doc_id", "text"), table(spark, "benchmark")
+    items = benchmark.orderBy("item_id").limit(4)
+    long = items.select("item_id", F.concat_ws(" ", *["text"] * 6).alias("text"))
+    planted = long.select((F.col("item_id") + 50_000).alias("doc_id"), "text")
+    long = long.unionByName(long.limit(1))
+    docs = docs.limit(20).unionByName(planted)
+    monkeypatch.setattr(decontaminate, "BLOCK", 1)
+    models = decontaminate.train(docs, long)
+    assert len(models) == 4 and all(len(m.items) > 1 for m in models)
+    rows = decontaminate.find_leaks(docs, long).collect()
+    pairs = [(r.doc_id, r.item_id) for r in rows]
+    assert len(pairs) == len(set(pairs))
+    assert {(r.item_id + 50_000, r.item_id) for r in items.collect()} <= set(pairs)
+
+
 def test_short_verbatim_items_of_a_large_benchmark_are_all_found(spark):
     texts = [r.text.split() for r in table(spark, "documents").orderBy("doc_id").collect()]
     texts = [t for t in texts if len(t) > 150]
