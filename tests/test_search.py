@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.window import HITS, extract
 from docloom.operators import index as I
+from docloom.operators import rank
 from docloom.operators.match import clause, near, queries_frame
 from docloom.operators.rank import bm25
-from docloom.operators.search import search, search_batch
+from docloom.operators.search import rank_batch, search, search_batch
 
 WORDS = "alpha beta gamma delta men menu mente the of and 3.14 don't ñandú Straße x_y".split()
 
@@ -194,3 +195,27 @@ def test_merged_index_equals_rebuilt_index(spark, built, folder):
     queries = queries_frame(spark, {"q": [clause("src", prefix=True)]})
     both = [{r.doc_id: r.score for r in bm25(queries, i).collect()} for i in (merged, fresh)]
     assert both[0] == pytest.approx(both[1], rel=1e-12)
+
+
+def test_a_document_meets_the_queries_of_its_own_source_only(spark, built, fts, monkeypatch):
+    """Candidates are as many as documents, however many sources ask for the same words."""
+    corpus, index = built
+    made, write = {}, rank.materialize
+
+    def recorded(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(rank, "materialize", recorded)
+    queries = queries_frame(spark, {"": CASES["the of"]})
+    names = spark.range(40).select(F.concat(F.lit("src"), F.col("id")).alias("query_id"))
+    queries = names.join(queries.drop("query_id")).withColumn("source", F.col("query_id"))
+    free = queries_frame(spark, {"free": CASES["the of"]})
+    rows = rank_batch(queries.unionByName(free.select(queries.columns)), index, corpus, -1).collect()
+    want = {"free": {r[0] for r in fts.execute("SELECT rowid FROM t WHERE t MATCH 'the of'")}}
+    for i in range(3):
+        found = fts.execute(f"SELECT rowid FROM t WHERE t MATCH 'the of' AND source = 'src{i}'")
+        want[f"src{i}"] = {r[0] for r in found}
+    assert {q: {r.doc_id for r in rows if r.query_id == q} for q in want} == want
+    assert {r.query_id for r in rows} == set(want)
+    assert made["candidates"].count() <= 2 * len(_rows())
