@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from docloom.functions.window import HITS, extract
 from docloom.operators import index as I
 from docloom.operators import rank
+from docloom.operators import search as S
+from docloom.operators import snippet as N
 from docloom.operators.match import clause, near, queries_frame
 from docloom.operators.rank import bm25
 from docloom.operators.search import rank_batch, search, search_batch
@@ -219,3 +221,19 @@ def test_a_document_meets_the_queries_of_its_own_source_only(spark, built, fts,
     assert {q: {r.doc_id for r in rows if r.query_id == q} for q in want} == want
     assert {r.query_id for r in rows} == set(want)
     assert made["candidates"].count() <= 2 * len(_rows())
+
+
+def test_snippets_of_all_matches_move_no_text_before_the_last_join(spark, built, monkeypatch):
+    corpus, index = built
+    queries = queries_frame(spark, {name: CASES[name] for name in ('"of the"', "NEAR(the of, 3)")})
+    few = search_batch(queries, index, corpus, k=1000).collect()
+    written = []
+    for module in (S, N):
+        def recorded(df, name, write=module.materialize):
+            written.append(df.columns)
+            return write(df, name)
+
+        monkeypatch.setattr(module, "materialize", recorded)
+    every = search_batch(queries, index, corpus, k=-1).collect()
+    assert len(every) > 10 and sorted(every) == sorted(few)
+    assert written and not [columns for columns in written if "content" in columns]
