@@ -1,6 +1,8 @@
 """Page extraction: title, Markdown content and links."""
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,16 @@ cloudpickle.register_pickle_by_value(markdown)
 
 
 def main_content(html: Column) -> Column:
-    """Markdown of the main content. Only the HTML column crosses to Python, by Arrow."""
+    """Markdown of the main content. Only the HTML column crosses to Python, by Arrow.
+
+    A page is a Python string only while it is converted, and texts go back to Arrow in pieces.
+    """
 
-    @F.pandas_udf("string")
-    def convert(pages: pd.Series) -> pd.Series:
-        return pd.Series([markdown.to_markdown(page) for page in pages], dtype="object")
+    @F.arrow_udf("string")
+    def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            for made in markdown.in_pieces(pages):
+                yield pa.array(made, pa.string())
 
     # Marked so that a filter on the result is not pushed down as a second conversion.
     return normalize_text(convert.asNondeterministic()(drop_boilerplate(html)))

@@ -112,3 +112,16 @@ def test_links_behind_any_number_of_attributes(spark):
     rows = spark.createDataFrame([(p,) for p in pages], "h string")
     got = {r.h: r.l for r in rows.select("h", H.link_hrefs(F.col("h")).alias("l")).collect()}
     assert got == pages
+
+
+def test_pages_are_converted_some_at_a_time(spark):
+    import pyarrow as pa
+
+    from docloom.functions.markdown import PIECE, in_pieces
+    from docloom.operators.extract import main_content
+
+    pages = [None if i == 7 else f"<main><p>page {i}</p></main>" for i in range(2 * PIECE + 1)]
+    assert [len(made) for made in in_pieces(pa.array(pages))] == [PIECE, PIECE, 1]
+    rows = spark.createDataFrame(list(enumerate(pages)), "n int, html string").coalesce(1)
+    got = dict(rows.select("n", main_content(F.col("html"))).collect())
+    assert got == {n: f"page {n}" if page else got[7] for n, page in enumerate(pages)}
