@@ -37,7 +37,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids by number and digest, and the digest of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    # Workers live on into the stages of the next run, which need the memory.
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, remember=False)
 
 
 STAGES = [

@@ -73,20 +73,21 @@ class Vocabulary:
             else:
                 return True
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+    def _encode_piece(self, piece: str, keep: bool = True) -> tuple[int, ...]:
         if (known := self._pieces.get(piece)) is not None:
             return known
         data = piece.encode("utf-8", "replace")
         whole = self.ranks.get(data)
         ids = (whole,) if whole is not None else self._prefixes.reset(data).ids()
-        if len(piece) <= REMEMBER_LENGTH and len(self._pieces) < REMEMBER:
+        if keep and len(piece) <= REMEMBER_LENGTH and len(self._pieces) < REMEMBER:
             self._pieces[piece] = ids
         return ids
 
-    def _encode_span(self, text: str) -> tuple[int, ...]:
+    def _encode_span(self, text: str, keep: bool = True) -> tuple[int, ...]:
+        """The ids of ``text``; a single piece is not kept where the caller remembers the text."""
         pieces = self.pattern.findall(text)
         if len(pieces) == 1:
-            return self._encode_piece(pieces[0])
+            return self._encode_piece(pieces[0], keep)
         return tuple(i for p in pieces for i in self._encode_piece(p))
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
@@ -101,7 +102,7 @@ class Vocabulary:
         spare: dict[str, tuple[int, ...]] = {}
         for word in sorted(new):
             full = len(word) > REMEMBER_LENGTH or len(self._words) >= REMEMBER
-            (spare if full else self._words)[word] = self._encode_span(" " + word)
+            (spare if full else self._words)[word] = self._encode_span(" " + word, full)
         known = self._words.get
         for text, words in zip(texts, split, strict=True):
             if words is None:
@@ -111,6 +112,13 @@ class Vocabulary:
                 ids = chain.from_iterable([known(w) or spare[w] for w in words[1:]])
                 yield list(chain(first, ids))
 
+    def forget(self) -> None:
+        """Give up what earlier texts left: workers outlive their tasks, and other steps follow."""
+        self._pieces.clear()
+        self._words.clear()
+        self._pairs.clear()
+        self._prefixes.reset(b"")
+
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
 
@@ -237,11 +245,17 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    remember: bool = True,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass.
 
-    The ids of a text are hashed and decoded where they are made, so they are not moved.
+    The ids of a text are hashed and decoded where they are made, so they are not moved. Unless a
+    worker is to ``remember`` the words of a task for the next one, it gives up their memory.
     """
 
     def check(batches):
@@ -258,6 +272,8 @@ def round_trip(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(listed), pa.array(decoded)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if not remember:
+            known.forget()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(
