@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices, texts
+from docloom.llm.common import give_back, slices, texts
 
 #: Pieces and words that a task remembers, the first it meets, and the longest of them.
 REMEMBER = 400_000
+#: The same where the worker has to leave memory to other steps; words beyond are encoded again.
+REMEMBER_BRIEFLY = 100_000
 #: Token pairs whose compatibility a task remembers.
 REMEMBER_PAIRS = 400_000
 REMEMBER_LENGTH = 64
@@ -37,6 +39,7 @@ class Vocabulary:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, ranks))
+        self.remember = REMEMBER
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -79,7 +82,7 @@ class Vocabulary:
         data = piece.encode("utf-8", "replace")
         whole = self.ranks.get(data)
         ids = (whole,) if whole is not None else self._prefixes.reset(data).ids()
-        if keep and len(piece) <= REMEMBER_LENGTH and len(self._pieces) < REMEMBER:
+        if keep and len(piece) <= REMEMBER_LENGTH and len(self._pieces) < self.remember:
             self._pieces[piece] = ids
         return ids
 
@@ -101,7 +104,7 @@ class Vocabulary:
         new = set().union(*[words[1:] for words in split if words]).difference(self._words)
         spare: dict[str, tuple[int, ...]] = {}
         for word in sorted(new):
-            full = len(word) > REMEMBER_LENGTH or len(self._words) >= REMEMBER
+            full = len(word) > REMEMBER_LENGTH or len(self._words) >= self.remember
             (spare if full else self._words)[word] = self._encode_span(" " + word, full)
         known = self._words.get
         for text, words in zip(texts, split, strict=True):
@@ -152,6 +155,7 @@ class Prefixes:
         """Add the tokens of the prefixes that end from ``first`` to ``final``."""
         v, data, last = self.vocabulary, self.data, self.last
         rank, pairs, longest = v.ranks.get, v._pairs, v.longest
+        most_pairs = min(REMEMBER_PAIRS, v.remember)
         for end in range(first, final + 1):
             for start in range(end - 1, max(-1, end - longest - 1), -1):
                 token = rank(data[start:end])
@@ -162,7 +166,7 @@ class Prefixes:
                 pair = last[start - 1] << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
-                    if len(pairs) >= REMEMBER_PAIRS:
+                    if len(pairs) >= most_pairs:
                         pairs.clear()
                     fits = pairs[pair] = v.compatible(last[start - 1], token)
                 if fits:
@@ -255,11 +259,13 @@ def round_trip(
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass.
 
     The ids of a text are hashed and decoded where they are made, so they are not moved. Unless a
-    worker is to ``remember`` the words of a task for the next one, it gives up their memory.
+    worker is to ``remember`` the words of a task for the next one, it keeps fewer of them and gives
+    up their memory.
     """
 
     def check(batches):
         known = vocabulary(path, pattern)
+        known.remember = REMEMBER if remember else REMEMBER_BRIEFLY
         names = {rank: str(rank) for rank in known.tokens}
         for batch in slices(batches, 500):
             counts, listed, decoded = [], [], []
@@ -274,6 +280,8 @@ def round_trip(
             )
         if not remember:
             known.forget()
+            batch = counts = listed = decoded = None
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(

@@ -51,6 +51,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return what Arrow holds of the batches of a task that are gone to the system.
+
+    Workers outlive their tasks and take turns, so each would keep its largest batches while
+    others work.
+    """
+    pa.default_memory_pool().release_unused()
+
+
 def bit_filter(df: DataFrame, value: str, width: int, bits: int) -> np.ndarray:
     """A filter of ``2**bits`` bits over ``value``, evenly spread numbers of ``width`` bits.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import U, bit_filter, fresh, mix, passes, utf8
+from docloom.llm.common import U, bit_filter, fresh, give_back, mix, passes, utf8
 from docloom.llm.components import components
 from docloom.llm.shingles import shingle_set
 from docloom.plans.scratch import materialize
@@ -74,6 +74,8 @@ def _blocks(batches, column: int, most: int = 200_000):
                 rows, sets, size = [], [], 0
         if rows:
             yield batch, rows, sets
+    batch = None
+    give_back()
 
 
 def _cut(shingles: np.ndarray, over: int, under: int) -> np.ndarray:
