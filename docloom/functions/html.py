@@ -127,9 +127,12 @@ def unescape(text: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """Text of the first title element, '' if there is none."""
-    title = F.regexp_extract(
-        drop_boilerplate(html), r"(?is)<title\b[^>]*>(.*?)(?:</title\b|\z)", 1
-    )
+    return bare_title(drop_boilerplate(html))
+
+
+def bare_title(bare: Column) -> Column:
+    """The same of a page without boilerplate."""
+    title = F.regexp_extract(bare, r"(?is)<title\b[^>]*>(.*?)(?:</title\b|\z)", 1)
     return strip(unescape(title))
 
 
